@@ -46,7 +46,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << max(12, (n - 1).bit_length())
+            size = 1 << max(12, int(n - 1).bit_length())
             both = []
             for x in (self.base, self.inverse):
                 a = np.full(size, x, U64)
