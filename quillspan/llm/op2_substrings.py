@@ -313,11 +313,11 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     long_prefixes[[r["keys"] for r in counts]] = True
     seen = spans_by_document(names.filter("kind = 1").unionByName(candidates(names, buckets)))
     seen = materialize(seen)
-    joined = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).join(seen, F.col("_id") == F.col("_doc")).select("_id", "_text", "spans")
+    joined = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).join(seen.hint("merge"), F.col("_id") == F.col("_doc")).select("_id", "_text", "spans")
     found = materialize(suffixes(joined, long_prefixes, buckets))
     gone = materialize(spans_by_document(found.filter("kind = 1").unionByName(repeats(found, buckets))))
     gone = gone.select(F.col("_doc"), F.col("spans").alias("_spans"))
-    full = docs.join(gone, F.col(doc_id).cast("long") == F.col("_doc"), "left")
+    full = docs.join(gone.hint("merge"), F.col(doc_id).cast("long") == F.col("_doc"), "left")
     n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long")
     full = full.withColumn("n_words", n_words).withColumn("n_removed", F.when(F.col("_spans").isNull(), F.lit(0)).otherwise(_removed(F.col("_spans"), F.col("n_words"))).cast("long"))
     part = F.when(F.col("_spans").isNotNull(), F.col(text))
