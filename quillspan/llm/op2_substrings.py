@@ -39,7 +39,7 @@ WINDOW, ANCHOR = 50, 16
 GROUP = 1_000_000
 _COUNTERS_LOG2 = 16
 #: Buckets for each shuffle partition, so that partitions get about as much each.
-_SPREAD = 8
+_SPREAD = 3
 _WORD = r"[^\x20\x09-\x0D]+"
 _RECORD = "kind int, bucket int, keys array<long>, docs array<long>, starts array<int>, counts array<int>, flags array<boolean>"
 
