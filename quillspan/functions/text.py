@@ -57,17 +57,16 @@ def tokenize(text: Column) -> Column:
 
 def bounded_levenshtein(a: Column, b: Column, most: Column) -> Column:
     """The edit distance, or ``most + 1`` if it is larger."""
-    # The built-in's threshold is a constant, so a limit that varies by row is applied afterwards.
-    distance = F.levenshtein(a, b)
-    return F.when(distance > most, most + 1).otherwise(distance)
+    distance = F.call_function("levenshtein", a, b, most.cast("int"))
+    return F.when(distance < 0, most + 1).otherwise(distance)
 
 
 def similarity(a: Column, b: Column, floor: float = 0.5) -> Column:
     """1 less the distance's share of the longer length; 0 if the distance is over what the floor allows."""
     longest = F.greatest(F.length(a), F.length(b))
     most = F.ceil(longest.cast("double") * F.lit(1.0 - floor))
-    distance = F.levenshtein(a, b)
-    return F.when(longest == 0, F.lit(1.0)).when(distance > most, F.lit(0.0)).otherwise(F.lit(1.0) - distance.cast("double") / longest)
+    distance = F.nullif(F.call_function("levenshtein", a, b, most.cast("int")), F.lit(-1))  # -1 is over the limit
+    return F.when(longest == 0, F.lit(1.0)).otherwise(F.coalesce(F.lit(1.0) - distance.cast("double") / longest, F.lit(0.0)))
 
 
 def token_coverage(needle: Column, matched: Column) -> Column:
