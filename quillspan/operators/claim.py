@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import importance_rank, normalize_quote, overlap_ratio, snap_to_words
 from ..settings import DUPLICATE, MIN_ALLOWANCE, MIN_QUOTE, Settings
+from ..tables import cut
 from .locate import locate, locate_sentences, sentence_parts
 
 REPEAT = "duplicate of an earlier highlight"
@@ -41,7 +42,8 @@ def claim_spans(hits: DataFrame, pages: DataFrame, settings: Settings) -> DataFr
     """
     placed = hits.join(pages.select("doc_id", "page", "normalized"), ["doc_id", "page"])
     start, end = snap_to_words(F.col("normalized"), F.col("start"), F.col("end"))
-    placed = placed.withColumns({"s": start, "e": end}).withColumn("matched_text", F.substring(F.col("normalized"), F.col("s") + 1, F.col("e") - F.col("s")))
+    # The folds below read each span many times, so it's made once.
+    placed = cut(placed.withColumns({"s": start, "e": end})).withColumn("matched_text", F.substring(F.col("normalized"), F.col("s") + 1, F.col("e") - F.col("s")))
     row = F.struct("ord", "part", "cand_no", F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"), "confidence", "matched_text")
     grouped = placed.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.first(F.length("normalized")).alias("page_chars"))
     allowance = F.greatest(F.col("page_chars").cast("double") * F.lit(settings.clamped_ceiling), F.lit(float(MIN_ALLOWANCE)))
@@ -71,14 +73,15 @@ def match_highlights(pages: DataFrame, candidates: DataFrame, settings: Settings
     rank = importance_rank(F.col("importance"))
     least = importance_rank(F.lit(settings.min_importance))
     ordered = candidate_order(candidates.select("doc_id", "cand_no", "text", "importance")).filter(rank >= least).withColumn("needle", normalize_quote(F.col("text")))
+    ordered, pages = cut(ordered), cut(pages.select("doc_id", "page", "normalized"))
     short = ordered.filter(F.length("needle") < MIN_QUOTE)
     wanted = ordered.filter(F.length("needle") >= MIN_QUOTE)
     whole = locate(pages, wanted.select("doc_id", "cand_no", "needle"), settings).withColumn("part", F.lit(0))
     lost = wanted.join(whole.select("doc_id", "cand_no"), ["doc_id", "cand_no"], "left_anti")
     parts = locate_sentences(pages, lost.select("doc_id", "cand_no", "needle"), settings)
     hits = whole.withColumn("is_whole", F.lit(True)).unionByName(parts.withColumn("is_whole", F.lit(False)))
-    hits = hits.join(wanted.select("doc_id", "cand_no", "ord"), ["doc_id", "cand_no"])
-    claims = claim_spans(hits, pages, settings).join(hits.select("doc_id", "cand_no", "part", "is_whole"), ["doc_id", "cand_no", "part"])
+    hits = cut(hits.join(wanted.select("doc_id", "cand_no", "ord"), ["doc_id", "cand_no"]))
+    claims = cut(claim_spans(hits, pages, settings)).join(hits.select("doc_id", "cand_no", "part", "is_whole"), ["doc_id", "cand_no", "part"])
     by_candidate = claims.groupBy("doc_id", "cand_no").agg(F.bool_or(F.col("reason").isNull()).alias("taken"), F.max("confidence").alias("best"), F.bool_or("is_whole").alias("is_whole"), F.first("reason", ignorenulls=True).alias("why"))
     groups = assign_groups(by_candidate.filter("taken").join(wanted.select("doc_id", "cand_no", "ord"), ["doc_id", "cand_no"]))
     matched = claims.filter("reason IS NULL").drop("reason", "is_whole").join(groups, ["doc_id", "cand_no"]).join(wanted.select("doc_id", "cand_no", "importance"), ["doc_id", "cand_no"])
