@@ -162,10 +162,28 @@ def _dealt(records: DataFrame) -> DataFrame:
     return records.repartition(partitions(records.sparkSession), "bucket").sortWithinPartitions("bucket")
 
 
+def _gathered(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Spans of many buckets as rows by bucket of the document, so many spans at a time."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        if held:
+            d, s, e = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            yield _bucketed(1, (d % buckets).astype(np.int64), np.zeros(len(d)), d, s, e - s)
+
+    for spans in found:
+        if len(spans[0]):
+            held.append(spans)
+        if sum(len(x[0]) for x in held) >= most:
+            yield from rows()
+    yield from rows()
+
+
 def candidates(records: DataFrame, buckets: int) -> DataFrame:
     """Spans of candidate windows (kind 1), by bucket of the document."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for table in _by_bucket(batches):
             name, doc, start, count, flag = (_flat(table, x) for x in ("keys", "docs", "starts", "counts", "flags"))
             order = np.lexsort((doc, name))
@@ -175,11 +193,9 @@ def candidates(records: DataFrame, buckets: int) -> DataFrame:
             begins = np.flatnonzero(first)
             repeated = several | np.repeat(np.maximum.reduceat(flag, begins), np.diff(np.append(begins, len(name))))
             repeated &= ~flag
-            d, s, e = _spans(doc[repeated], start[repeated], count[repeated])
-            if len(d):
-                yield _bucketed(1, (d % buckets).astype(np.int64), np.zeros(len(d)), d, s, e - s)
+            yield _spans(doc[repeated], start[repeated], count[repeated])
 
-    return _dealt(records.filter("kind = 0").select("bucket", "keys", "docs", "starts", "counts", "flags")).mapInArrow(scan, _RECORD)
+    return _dealt(records.filter("kind = 0").select("bucket", "keys", "docs", "starts", "counts", "flags")).mapInArrow(lambda batches: _gathered(found(batches), buckets), _RECORD)
 
 
 def spans_by_document(records: DataFrame) -> DataFrame:
@@ -253,7 +269,7 @@ def _suffix_rows(bucket: np.ndarray, prefix: np.ndarray, rest: np.ndarray, doc:
 def repeats(records: DataFrame, buckets: int) -> DataFrame:
     """Windows that a smaller document has (kind 1), from the subtrees of each bucket's prefixes."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for table in _by_bucket(batches):
             symbols = _flat(table, "keys").reshape(-1, 2)
             doc, place = _flat(table, "docs"), _flat(table, "starts")
@@ -261,11 +277,9 @@ def repeats(records: DataFrame, buckets: int) -> DataFrame:
             prefix, rest, doc, place = symbols[order, 0], symbols[order, 1], doc[order], place[order]
             several, smallest, _ = _settle((prefix, rest), doc)
             later = several & ~smallest
-            d, s, e = _spans(doc[later], place[later], np.ones(later.sum(), np.int64))
-            if len(d):
-                yield _bucketed(1, (d % buckets).astype(np.int64), np.zeros(len(d)), d, s, e - s)
+            yield _spans(doc[later], place[later], np.ones(later.sum(), np.int64))
 
-    return _dealt(records.filter("kind = 0").select("bucket", "keys", "docs", "starts")).mapInArrow(scan, _RECORD)
+    return _dealt(records.filter("kind = 0").select("bucket", "keys", "docs", "starts")).mapInArrow(lambda batches: _gathered(found(batches), buckets), _RECORD)
 
 
 def _cut(spans: list | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
