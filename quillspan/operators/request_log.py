@@ -38,7 +38,7 @@ def usage_snapshot(usage: DataFrame, keys: DataFrame, today: str) -> DataFrame:
 def request_spacing(log: DataFrame, per_minute: int) -> DataFrame:
     """The gap to the key's request before, and whether it is shorter than the rate allows."""
     before = F.lag("ts").over(Window.partitionBy("key").orderBy("ts", "request_id"))
-    gap = F.unix_millis(F.col("ts").cast("timestamp")) - F.unix_millis(before.cast("timestamp"))
+    gap = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before.cast("timestamp"))) / 1000)
     return log.select("request_id", "key", gap.alias("gap_ms"), (gap < -(-60_000 // per_minute)).alias("too_close"))
 
 

@@ -412,7 +412,7 @@ def daily_budget(spark, sf):
     return request_log.daily_budget(_log(spark, sf), 4)
 
 
-@query(f"WITH {_LOG}, l AS (SELECT request_id, key, epoch_ms(ts) - epoch_ms(lag(ts) OVER (PARTITION BY key ORDER BY ts, request_id)) AS gap_ms FROM rl) SELECT *, gap_ms < 4000 AS too_close FROM l")
+@query(f"WITH {_LOG}, l AS (SELECT request_id, key, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY key ORDER BY ts, request_id))) // 1000 AS gap_ms FROM rl) SELECT *, gap_ms < 4000 AS too_close FROM l")
 def request_spacing(spark, sf):
     return request_log.request_spacing(_log(spark, sf), 15)
 
