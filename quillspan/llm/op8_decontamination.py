@@ -7,12 +7,11 @@ and comparing the words themselves confirms an occurrence. All documents of a ba
 shift, so the loop runs over numpy arrays and skips what the table skips.
 
 The benchmark is the stated query set. It is dealt into blocks of at most ``block_bytes`` of text, measured first,
-and each block's tables are broadcast; documents are searched against every block.
+and each block's tables are broadcast; one scan for each block follows another, without a shuffle.
 
 Cases: a null or empty text, or one without words, has no hits. Null items and items without words have no pattern.
 Items that share a window are all named. A null item_id searches like others but has no name to list. Equal
-documents give equal rows. With more than one block of patterns, rows equal in id and text give one row.
-An empty benchmark leaves every document clean.
+documents give equal rows, however many blocks there are. An empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import small_batches
 from .words import ALNUM, Chunk, chunks, covered, lists, run_hashes, sums_by_text
@@ -31,7 +31,8 @@ from .words import ALNUM, Chunk, chunks, covered, lists, run_hashes, sums_by_tex
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 _TABLE_BITS = 20
-FOUND = "n_words long, spans array<int>, items array<string>"
+#: Columns that the search adds.
+FOUND = {"n_words": T.LongType(), "spans": T.ArrayType(T.IntegerType()), "items": T.ArrayType(T.StringType())}
 
 
 def _blocks(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -137,40 +138,37 @@ def _scan(batch: pa.RecordBatch, text: str, tables: list[Search], names: list[st
     return [pa.array(cat(n_words, np.int64)), lists(cat(spans, np.int32), cat(n_spans, np.int64)), pa.array(found, pa.list_(pa.string()))]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, doc_id: str = "doc_id", keep_text: bool = True) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``n_words``, ``spans`` (start, end, start, end ... of hit words) and ``items`` (names, sorted).
 
     ``keep_text``: whether the text comes along.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop(*[c for c in ("n_words", "spans", "items") if c in docs.columns])
+    docs = docs.drop(*FOUND, "_spans", "_items")
     queries = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t"))
     held = queries.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n_blocks = -(-held // block_bytes) or 1
-    fields = [f for f in docs.schema.fields if f.name != text or keep_text or n_blocks > 1]
-    kept = [f.name for f in fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + FOUND
-    passes = []
+    found = docs
     for b in range(n_blocks):
         part = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b)
         shared = spark.sparkContext.broadcast(searches([(r.i, r.t) for r in part.toLocalIterator()], window))
+        fields = [f for f in found.schema.fields if f.name not in FOUND and (f.name != text or keep_text or b + 1 < n_blocks)]
+        schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in FOUND.items())])
+        kept = [f.name for f in fields]
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, kept=kept) -> Iterator[pa.RecordBatch]:
             tables, names = shared.value
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *_scan(batch, text, tables, names)], names=[*kept, "n_words", "spans", "items"])
-
-        passes.append(docs.mapInArrow(scan, schema))
-    if n_blocks == 1:
-        return passes[0]
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionByName(more)
-    keys = [F.col(doc_id).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text")]
-    others = [F.first(c).alias(c) for c in docs.columns]
-    merged = found.groupBy(*keys).agg(*others, F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.drop("_id", "_text").withColumn("spans", _merged_spans(F.col("spans")))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *_scan(batch, text, tables, names)], names=[*kept, *FOUND])
+
+        found = found.mapInArrow(scan, schema)
+        if b:
+            spans, items = _merged_spans(F.concat("_spans", "spans")), F.array_sort(F.array_distinct(F.concat("_items", "items")))
+            found = found.withColumns({"spans": spans, "items": items}).drop("_spans", "_items")
+        if b + 1 < n_blocks:  # the next block's scan adds to what this one found
+            found = found.withColumnsRenamed({"spans": "_spans", "items": "_items"})
+    return found
 
 
 def _merged_spans(spans: F.Column) -> F.Column:

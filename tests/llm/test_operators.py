@@ -212,6 +212,8 @@ def test_decontamination(spark, docs, empty):
         found = op8_decontamination.contamination(docs, items, block_bytes=size)
         got = {r.doc_id: (r.n_words, r.n, list(r["items"])) for r in found.withColumn("n", op8_decontamination.n_hit()).collect()}
         assert got == expected
+        assert found.columns == [c for c in docs.columns if c != "n_words"] + ["n_words", "spans", "items"]
+        assert op8_decontamination.contamination(docs.union(docs), items, block_bytes=size, keep_text=False).count() == 2 * len(ROWS)
     assert sum(n > 0 for _, n, _ in expected.values()) >= 2
     assert op8_decontamination.contamination(empty, items).count() == 0
     assert {r["items"][0] if r["items"] else None for r in op8_decontamination.contamination(docs, items.limit(0)).collect()} == {None}
