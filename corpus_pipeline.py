@@ -2,13 +2,17 @@
 
 Language ID, SimHash near-dedup, substring dedup, benchmark decontamination, mixing. All stages but the last return the
 columns of ``documents``; the last adds ``copy``, the number of each emitted copy.
+
+Cases: a null or empty text, or one without a letter, is rejected by the first stage. Rows that share a ``doc_id`` are one
+document and stay or go together. Null ids, languages and sources are kept. Further columns pass every stage unchanged,
+whatever they are called (but ``copy``, which the last stage replaces). Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.op1_mixing import emit, mix
@@ -22,36 +26,49 @@ from quillspan.llm.scratch import materialize
 LEAST_SCORE = 0.1
 
 
+#: Columns that the operators read; others are set aside under a prefix, so that they can't clash with added ones.
+_READ = ("doc_id", "text", "lang", "source")
+
+
+def _aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with further columns set aside, and the columns that bring them back."""
+    names = {c: f"_own_{c}" for c in docs.columns if c not in _READ}
+    return docs.withColumnsRenamed(names), [F.col(names.get(c, c)).alias(c) for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a learned language; those without a letter, or like no language, go. ``lang`` stays as given."""
-    found = identify(docs)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    docs, back = _aside(docs)
+    return identify(docs).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays. Null ids are in no group and stay."""
-    gone = near_duplicates(docs).filter("component_id < doc_id").select("doc_id")
+    gone = near_duplicates(docs.select("doc_id", "text")).filter("component_id < doc_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut; a document of which nothing is left goes."""
-    found = substring_dedup(docs).filter("n_removed = 0 OR n_removed < n_words")
-    cut = found.withColumn("text", F.col("kept_text"))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    docs, back = _aside(docs)
+    cut = substring_dedup(docs).filter("n_removed = 0 OR n_removed < n_words").withColumn("text", F.col("kept_text"))
+    if "_own_n_chars" in docs.columns:
+        n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("_own_n_chars"))
+        cut = cut.withColumn("_own_n_chars", n_chars.cast(docs.schema["_own_n_chars"].dataType))
+    return cut.select(*back)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    docs, back = _aside(docs)
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter(F.size("spans") == 0).select(*docs.columns)
+    return found.filter(F.size("spans") == 0).select(*back)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents so that sources near their target weights."""
-    return emit(mix(docs)).select(*docs.columns, "copy")
+    docs, back = _aside(docs.drop("copy"))
+    return emit(mix(docs)).select(*back, "copy")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
