@@ -29,6 +29,17 @@ def dedupe_candidates(candidates: DataFrame, order: list[str]) -> DataFrame:
     return keyed.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_key", "_n")
 
 
+def too_short(quotes: DataFrame) -> DataFrame:
+    """Quotes whose ``needle`` is too short to be placed safely, with the reason of their failure."""
+    return quotes.filter(F.length("needle") < MIN_QUOTE).withColumn("reason", F.lit(SHORT))
+
+
+def union_candidates(candidates: DataFrame, cues: DataFrame, order: list[str]) -> DataFrame:
+    """Candidates and then the cues that they lack, with ``origin`` (0 or 1) and ``cand_no`` from 0 in a document."""
+    both = candidates.withColumn("origin", F.lit(0)).unionByName(novel_cues(cues, candidates).withColumn("origin", F.lit(1)))
+    return both.withColumn("cand_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("origin", *order)) - 1)
+
+
 def novel_cues(cues: DataFrame, candidates: DataFrame) -> DataFrame:
     """Cue sentences whose trimmed, lower-cased text no candidate of the document has."""
     known = candidates.select("doc_id", F.lower(F.trim("text")).alias("_known")).distinct()
@@ -74,7 +85,7 @@ def match_highlights(pages: DataFrame, candidates: DataFrame, settings: Settings
     least = importance_rank(F.lit(settings.min_importance))
     ordered = candidate_order(candidates.select("doc_id", "cand_no", "text", "importance")).filter(rank >= least).withColumn("needle", normalize_quote(F.col("text")))
     ordered, pages = cut(ordered), cut(pages.select("doc_id", "page", "normalized"))
-    short = ordered.filter(F.length("needle") < MIN_QUOTE)
+    short = too_short(ordered)
     wanted = ordered.filter(F.length("needle") >= MIN_QUOTE)
     whole = locate(pages, wanted.select("doc_id", "cand_no", "needle"), settings).withColumn("part", F.lit(0))
     lost = wanted.join(whole.select("doc_id", "cand_no"), ["doc_id", "cand_no"], "left_anti")
@@ -87,7 +98,7 @@ def match_highlights(pages: DataFrame, candidates: DataFrame, settings: Settings
     matched = claims.filter("reason IS NULL").drop("reason", "is_whole").join(groups, ["doc_id", "cand_no"]).join(wanted.select("doc_id", "cand_no", "importance"), ["doc_id", "cand_no"])
     failed = wanted.join(by_candidate, ["doc_id", "cand_no"], "left").filter("taken IS NULL OR NOT taken")
     reasons = failed.select("doc_id", "cand_no", "text", F.when(F.col("is_whole"), F.col("why")).otherwise(MISSING).alias("reason"), F.coalesce("best", F.lit(0.0)).alias("best_confidence"))
-    return matched, short.select("doc_id", "cand_no", "text", F.lit(SHORT).alias("reason"), F.lit(0.0).alias("best_confidence")).unionByName(reasons)
+    return matched, short.select("doc_id", "cand_no", "text", "reason", F.lit(0.0).alias("best_confidence")).unionByName(reasons)
 
 
 def assign_groups(taken: DataFrame) -> DataFrame:
@@ -95,4 +106,4 @@ def assign_groups(taken: DataFrame) -> DataFrame:
     return taken.select("doc_id", "cand_no", (F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1).alias("group_id"))
 
 
-__all__ = ["assign_groups", "candidate_order", "claim_spans", "dedupe_candidates", "match_highlights", "novel_cues", "sentence_parts"]
+__all__ = ["assign_groups", "candidate_order", "claim_spans", "dedupe_candidates", "match_highlights", "novel_cues", "sentence_parts", "too_short", "union_candidates"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_output, output_name, squash_space
-from ..settings import GAP_PAGE_CHARS
+from ..settings import GAP_PAGE_CHARS, PASSES
 
 STATUSES = ("pending", "processing", "completed", "failed", "skipped")
 
@@ -59,6 +59,20 @@ def progress(documents: DataFrame) -> DataFrame:
     return rows.withColumn("done", F.when(F.col("total") > 0, (F.col("total") - F.col("remaining")).cast("double") / F.col("total")).otherwise(F.lit(0.0)))
 
 
+def failed_documents(documents: DataFrame) -> DataFrame:
+    return documents.filter("status = 'failed'")
+
+
+def preflight(corpus: DataFrame, mode: str, keys: int, budget: int, spent: int) -> DataFrame:
+    """One row on a scan before it is run: courses, documents, outputs that exist, documents to process, passes over each
+    chunk, and how many requests the day still allows (null without a budget)."""
+    inputs = ~F.col("is_output")
+    counts = corpus.agg(F.countDistinct(F.when(inputs, F.col("course"))).alias("courses"), F.count_if(inputs).alias("documents"), F.count_if("is_output").alias("outputs"))
+    left = skip_existing(corpus).agg(F.count(F.lit(1)).alias("to_process"))
+    capacity = F.lit(max(0, keys * budget - spent) if budget > 0 else None).cast("long")
+    return counts.join(left).select("*", F.lit(len(PASSES[mode])).alias("passes"), capacity.alias("capacity"))  # one row each
+
+
 def resume_join(corpus: DataFrame, snapshot: DataFrame, root: str) -> DataFrame:
     """The scan with what a snapshot of the same root knows, unless that was pending or in work."""
     known = snapshot.filter((F.col("root") == root) & ~F.col("status").isin("pending", "processing")).select("doc_id", F.col("status").alias("_status"), F.col("highlight_count").alias("_count"))

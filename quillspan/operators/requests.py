@@ -74,6 +74,12 @@ def parse_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     return fields.filter("trim(text) <> '' AND importance IN ('low', 'medium', 'high')"), rejects
 
 
+def count_requests(passes: DataFrame) -> DataFrame:
+    """Requests of each document: every pass of a chunk up to its first failure, that one included."""
+    failed = F.min(F.when(~F.col("ok"), F.col("pass_no"))).over(Window.partitionBy("doc_id", "chunk_no"))
+    return passes.withColumn("failed", failed).filter("failed IS NULL OR pass_no <= failed").groupBy("doc_id").agg(F.count(F.lit(1)).alias("requests"))
+
+
 def merge_passes(passes: DataFrame) -> DataFrame:
     """Passes (doc_id, chunk_no, pass_no, ok) that count: those before a chunk's first failure; a failed primary pass takes the document."""
     chunk = Window.partitionBy("doc_id", "chunk_no")

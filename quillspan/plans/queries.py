@@ -347,9 +347,9 @@ def newest_logs(spark, sf):
     return report.newest(_read(spark, sf, "events").select("event_id", "ts", "user_id"), ["ts", "event_id"])
 
 
-@query("SELECT url, row_number() OVER (ORDER BY regexp_replace(lower(url), '(\\d+)', '00000000000000000000' || '\\1', 'g')) > 0 AS ok FROM pages")
+@query("SELECT url, array_to_string(list_transform(regexp_extract_all(lower(url), '\\d+|\\D+'), lambda p: CASE WHEN regexp_matches(p, '^\\d') THEN lpad(p, 20, '0') ELSE p END), '') AS k FROM pages")
 def natural_sort(spark, sf):
-    return _read(spark, sf, "pages").select("url", T.natural_key(F.col("url")).alias("k")).orderBy("k", "url").select("url", F.lit(True).alias("ok"))
+    return _read(spark, sf, "pages").select("url", T.natural_key(F.col("url")).alias("k")).orderBy("k", "url")
 
 
 # Requests, replies and the request log

@@ -12,6 +12,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.text import normalize_quote
 from ..settings import COOLDOWN_SECONDS
+from ..tables import scratch
+
+#: Keeps state on disk and holds several states of a key.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def daily_usage(log: DataFrame, budget: int) -> DataFrame:
@@ -35,6 +39,27 @@ def documents(stream: DataFrame, batch: Callable[[DataFrame], DataFrame], path:
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: batch(df).write.mode("append").parquet(path)).start()
 
 
+def drained(stream: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str, keys: list[str], batch: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """What a job over a stream gives once all that is there has been read, as a table.
+
+    Batches are written with their number; of rows that later batches update, the last one of each of ``keys`` counts.
+    """
+    spark, provider = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    folder, before = scratch(spark), spark.conf.get(provider)
+    write = lambda df, i: batch(df).withColumn("_batch", F.lit(i)).write.mode("overwrite").parquet(f"{folder}/rows/_b={i}")
+    spark.conf.set(provider, ROCKS)
+    try:
+        query = job(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    finally:
+        spark.conf.set(provider, before)
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{folder}/rows").drop("_b")
+    if not keys:
+        return rows.drop("_batch")
+    others = [c for c in rows.columns if c not in (*keys, "_batch")]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "_batch").alias(c) for c in others])
+
+
 class _Cooldown(StatefulProcessor):
     """Rate limits in a row and in all of one key."""
 

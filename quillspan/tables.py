@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read again, so that later plans stay short."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, as in tests, under one of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='spark-quillspan-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/quillspan-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/quillspan-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read again, so that later plans stay short."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

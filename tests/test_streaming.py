@@ -23,3 +23,22 @@ def test_usage_and_duplicates(spark, tmp_path):
     quotes.write.parquet(f"{tmp_path}/quotes")
     found = _rows(spark, streaming.dedupe(spark.readStream.schema(quotes.schema).parquet(f"{tmp_path}/quotes")), "quotes", "append")
     assert sorted((r.doc_id, r.key_text) for r in found) == [(1, "a quote"), (2, "a quote")]
+
+
+def test_cooldown_and_documents(spark, tmp_path):
+    outcomes = ["rate-limit", "rate-limit", "network", "rate-limit", "success", "rate-limit"]
+    log = spark.createDataFrame([(START + timedelta(seconds=i), i, k, o) for k in (1, 2) for i, o in enumerate(outcomes)], "ts timestamp, request_id long, key long, outcome string")
+    log.write.parquet(f"{tmp_path}/log")
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    rests = streaming.drained(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log"), streaming.cooldown, "append", [])
+    assert sorted((r.key, r.request_id, r.rest_s, r.total) for r in rests.collect()) == [(k, i, s, n) for k in (1, 2) for i, s, n in ((0, 20, 1), (1, 45, 2), (3, 90, 3), (5, 20, 4))]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+    docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    read = lambda: spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/docs")
+    for want in ([1, 2], [1, 2, 3]):  # a second start reads only what is new
+        query = streaming.documents(read(), lambda df: df.select("doc_id"), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+        query.processAllAvailable()
+        query.stop()
+        assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == want
+        spark.createDataFrame([(3, "three")], docs.schema).write.mode("append").parquet(f"{tmp_path}/docs")
