@@ -31,9 +31,10 @@ def fold_text(text: Column) -> Column:
 
     Only texts with a character beyond ASCII go through Python; others reach it as null.
     """
-    pre = F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
-    plain = F.lower(F.translate(F.regexp_replace(pre, f"[{DROPPED}]", ""), _FROM, _TO))
-    return F.regexp_replace(F.regexp_replace(plain, r"[\t\r\n\f\x0B]+", " "), " {2,}", " ")
+    beyond = text.rlike(r"[^\x00-\x7F]")
+    # translate drops the characters that have no twin
+    plain = F.lower(F.when(beyond, F.translate(_nfkc(F.when(beyond, text)), _FROM + DROPPED, _TO)).otherwise(text))
+    return F.regexp_replace(plain, r"[\t\r\n\f\x0B][ \t\r\n\f\x0B]*| [ \t\r\n\f\x0B]+", " ")
 
 
 def normalize_quote(text: Column) -> Column:

@@ -15,7 +15,7 @@ def one(spark, column, text):
     return spark.createDataFrame([(text,)], "t string").select(column(F.col("t"))).first()[0]
 
 
-@pytest.mark.parametrize(("text", "folded"), [("ﬁrst", "first"), ("“Data” – info", '"data" - info'), ("co­op", "coop"), (" A\t\nB ", " a b "), ("a…b", "a...b"), (None, None)])
+@pytest.mark.parametrize(("text", "folded"), [("ﬁrst", "first"), ("“Data” – info", '"data" - info'), ("co­op", "coop"), (" A\t\nB ", " a b "), ("a…b", "a...b"), ("x \n\t y\r\nz  é", "x y z é"), ("x\u00a0\u200b \u2003y", "x y"), ("", ""), (None, None)])
 def test_fold(spark, text, folded):
     assert one(spark, T.fold_text, text) == folded
 
