@@ -37,7 +37,7 @@ def filter_cue_sentence(spark, sf):
 _WORDS = "w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS text, unnest(range(0, len(string_split(text, ' ')))) AS i FROM conversations)"
 
 
-@query(f"WITH {_WORDS} SELECT conv_id, turn, count(*) AS words, min(lower(text)) AS first FROM w WHERE trim(text) <> '' AND 40 + i % 30 >= 55 GROUP BY 1, 2")
+@query(f"WITH {_WORDS}, f AS (SELECT conv_id, turn, i, {_FOLD.format('text')} AS str FROM w) SELECT conv_id, turn, count(*) AS words, min(str) AS first FROM f WHERE str <> '' AND 40 + i % 30 >= 55 GROUP BY 1, 2")
 def filter_ocr_words(spark, sf):
     words = _read(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "text"))
     kept = layout.filter_ocr_words(words.withColumn("confidence", 40 + F.col("i") % 30))
