@@ -2,7 +2,9 @@
 
 Blocks are the lines of a text; a line of more than ``BLOCK_WORDS`` words gives overlapping blocks of that many, so
 no part of a text is left out. A block meets a template if it holds at least the share ``THRESHOLD`` of the
-template's distinct words. The join is exact:
+template's distinct words. As notices may be wrapped, runs of words across line feeds are blocks too: for each template
+all runs of ``SLACK`` times its words, so that scattered words of other lines don't make a notice. They are sought in
+windows that lie half over each other and hold every run of the longest template. The join is exact:
 
 * words are ordered by how many blocks of the whole corpus hold them, rarest first (counted over all documents);
 * prefix filter: a block that lacks all of the first ``n - need + 1`` words of a template's n can't have ``need``;
@@ -18,7 +20,7 @@ may be several. Repeated rows are scanned each. Null and repeated doc_ids stay a
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -46,6 +48,8 @@ TEMPLATES = (
 )
 THRESHOLD = 0.8
 BLOCK_WORDS = 128
+#: Words of a run across lines for each word of a template: room for comment marks and the like.
+SLACK = 1.5
 
 
 def _words(text: str) -> list[bytes]:
@@ -58,17 +62,37 @@ def _hash(words: Sequence[bytes]) -> np.ndarray:
     return Chunk(joined, np.array([0, len(joined)]), np.zeros(1, np.int64), ALNUM).hashes()
 
 
-def _blocks(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """First and last-plus-one word of every block of the chunk, in order; lines that are too long give several."""
-    feeds = np.concatenate((np.flatnonzero(chunk.buf == 0x0A), chunk.offsets[1:-1]))
-    edges = np.unique(np.concatenate((np.searchsorted(chunk.starts, feeds), [0, len(chunk.starts)])))
+def _cut(edges: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last-plus-one word of the parts between the edges; those of more than ``size`` words give several, each half over the next."""
     low, high = edges[:-1], edges[1:]
-    more = np.maximum(1, -(-(high - low - BLOCK_WORDS // 2) // (BLOCK_WORDS // 2)))
-    start = np.repeat(low, more) + (BLOCK_WORDS // 2) * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))
-    return start, np.minimum(start + BLOCK_WORDS, np.repeat(high, more))
+    more = np.maximum(1, -(-(high - low - size // 2) // (size // 2)))
+    start = np.repeat(low, more) + (size // 2) * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))
+    return start, np.minimum(start + size, np.repeat(high, more))
 
 
-def word_frequencies(docs: DataFrame, text: str, words: list[bytes]) -> dict[bytes, int]:
+def _blocks(chunk: Chunk, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The chunk's lines, and windows that hold all its runs of ``longest`` words, each in order and with a word in at most two."""
+    feeds = np.concatenate((np.flatnonzero(chunk.buf == 0x0A), chunk.offsets[1:-1]))
+    first, last = _cut(np.unique(np.concatenate((np.searchsorted(chunk.starts, feeds), [0, len(chunk.starts)]))), BLOCK_WORDS)
+    low, high = _cut(np.unique(chunk.first), 2 * longest)
+    # What lies within a block of lines has nothing new.
+    newest = np.searchsorted(first, low, "right") - 1
+    new = (last[newest] < high) & (last[np.maximum(newest - 1, 0)] < high)
+    return [(first, last), (low[new], high[new])]
+
+
+def _holding(blocks: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks that hold some of the words, and these words; a word lies in at most two."""
+    first, last = blocks
+    if not len(first):
+        return
+    newest = np.searchsorted(first, words, "right") - 1
+    for block in (newest, newest - 1):
+        inside = (block >= 0) & (words < last[block])
+        yield block[inside], words[inside]
+
+
+def word_frequencies(docs: DataFrame, text: str, words: list[bytes], longest: int) -> dict[bytes, int]:
     """How many blocks of all documents hold each of the words; as many rows as words."""
     hashes = _hash(words)
     order = np.argsort(hashes)
@@ -81,19 +105,21 @@ def word_frequencies(docs: DataFrame, text: str, words: list[bytes]) -> dict[byt
                 h = chunk.hashes()
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 place = np.flatnonzero(known[at] == h)
-                first, last = _blocks(chunk)
-                # Blocks overlap by half, so a word lies in at most two.
-                newest = np.searchsorted(first, place, "right") - 1
-                for block in (newest, newest - 1):
-                    inside = (block >= 0) & (place < last[block])
-                    pairs = np.unique(block[inside] * len(known) + at[place[inside]])
-                    total += np.bincount(pairs % len(known), minlength=len(known))
+                for blocks in _blocks(chunk, longest):
+                    for block, held in _holding(blocks, place):
+                        pairs = np.unique(block * len(known) + at[held])
+                        total += np.bincount(pairs % len(known), minlength=len(known))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(known), dtype=np.int32)), pa.array(total)], names=["word", "blocks"])
 
     rows = docs.select(text).mapInArrow(count, "word int, blocks long").groupBy("word").agg(F.sum("blocks").alias("blocks")).collect()
     return {names[r.word]: r.blocks for r in rows}
 
 
+def _run(template: str) -> int:
+    """Words of a run that may hold the template."""
+    return int(np.ceil(SLACK * len(_words(template))))
+
+
 class Templates:
     """Templates in the global order, with prefixes and needs."""
 
@@ -111,9 +137,12 @@ class Templates:
             self.labels.append(label)
             self.need.append(need)
         self.prefix = np.sort(_hash(list(self.by_prefix)))
+        self.runs = [_run(t) for _, t in templates]
+        self.longest = max([1, *self.runs])
 
-    def of(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
-        """Labels and containment of the templates that the block meets."""
+    def of(self, words: list[bytes], runs: bool = False) -> Iterator[tuple[str, float]]:
+        """Labels and containment of the templates that the block meets, or one of its runs."""
+        block = set(words)
         common = sorted((w for w in block if w in self.rank), key=self.rank.__getitem__)
         tried = set()
         for i, word in enumerate(common):
@@ -125,10 +154,25 @@ class Templates:
                 if min(len(self.sets[k]) - j, len(common) - i) < need:
                     continue
                 overlap = len(self.sets[k].intersection(common))
+                if runs and overlap >= need:
+                    overlap = _most(words, self.sets[k], self.runs[k])
                 if overlap >= need:
                     yield self.labels[k], overlap / len(self.sets[k])
 
 
+def _most(words: list[bytes], template: frozenset[bytes], size: int) -> int:
+    """The most distinct words of the template that ``size`` words in a row hold."""
+    inside, most = Counter(), 0
+    for i, word in enumerate(words):
+        if word in template:
+            inside[word] += 1
+        if i >= size and words[i - size] in template:
+            inside[words[i - size]] -= 1
+            inside += Counter()  # drops zeros
+        most = max(most, len(inside))
+    return most
+
+
 def _scan(chunk: Chunk, templates: Templates, phrases: list[tuple[np.ndarray, list[bytes], str]]) -> list[list]:
     h = chunk.hashes()
     n = len(chunk.rows)
@@ -150,17 +194,14 @@ def _scan(chunk: Chunk, templates: Templates, phrases: list[tuple[np.ndarray, li
                 score[d] = 1.0
     known = np.minimum(np.searchsorted(templates.prefix, h), len(templates.prefix) - 1)
     begins = np.flatnonzero(templates.prefix[known] == h)
-    first, last = _blocks(chunk)
-    newest = np.searchsorted(first, begins, "right") - 1
-    held = np.unique(np.concatenate([newest, newest[(newest > 0)] - 1]))
-    for b in held.tolist():
-        lo, hi = int(first[b]), int(last[b])
-        if lo == hi:
-            continue
-        d = int(np.searchsorted(chunk.first, lo, "right")) - 1
-        for label, share in templates.of({chunk.word(i) for i in range(lo, hi)}):
-            more[d].add(label)
-            score[d] = max(score[d], share)
+    for runs, blocks in enumerate(_blocks(chunk, templates.longest)):
+        held = np.unique(np.concatenate([np.zeros(0, np.int64), *(b for b, _ in _holding(blocks, begins))]))
+        for b in held.tolist():
+            lo, hi = int(blocks[0][b]), int(blocks[1][b])
+            d = int(np.searchsorted(chunk.first, lo, "right")) - 1
+            for label, share in templates.of([chunk.word(i) for i in range(lo, hi)], bool(runs)):
+                more[d].add(label)
+                score[d] = max(score[d], share)
     join = lambda x: ",".join(sorted(x))
     return [chunk.counts.tolist(), [len(p) for p in places], [min(p, default=None) for p in places], [max(p, default=None) for p in places], [join(x) for x in base], [join(x | y) for x, y in zip(base, more, strict=True)], score]
 
@@ -172,7 +213,7 @@ def licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templa
     """
     small_batches(docs.sparkSession)
     vocabulary = sorted({w for _, t in templates for w in _words(t)})
-    ready = Templates(templates, word_frequencies(docs, text, vocabulary), threshold)
+    ready = Templates(templates, word_frequencies(docs, text, vocabulary, max([1, *(_run(t) for _, t in templates)])), threshold)
     phrases = [(_hash(w), w, label) for p, label in PHRASES for w in [p.encode().split()]]
     shared = docs.sparkSession.sparkContext.broadcast((ready, phrases))
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

@@ -117,6 +117,25 @@ def test_licenses(docs, empty):
     assert op3_licenses.licenses(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    rows = []
+    for label, t in op3_licenses.TEMPLATES:
+        for width in (1, 3, 5, 9):
+            for before in (0, 1, 23, 24, 25, 200):
+                v = t.split()
+                lines = [" * " + " ".join(v[a : a + width]) for a in range(0, len(v), width)]
+                rows.append((len(rows), "\n".join([*["filler " * 7] * (before // 7), "odd " * (before % 7), *lines, "", "the end"]), label))
+    rows += [(len(rows), "\n".join(["Redistribution and use in source", *["and other words"] * 40, "and binary forms, with or without modification, are permitted provided that the following conditions are met"]), "")]
+    rows += [(len(rows), "Licensed under the Apache License, Version 2.0.\nDas geht mit anderem", "apache")]
+    got = {r.doc_id: r for r in op3_licenses.licenses(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for i, t, label in rows:
+        assert got[i].labels == "apache" or "anderem" not in t
+        assert (label in got[i].labels.split(",") and got[i].score == 1) if label else not got[i].labels, t
+    two = [("x", "one two three"), ("long", " ".join(f"w{i}" for i in range(300)))]
+    df = spark.createDataFrame([(1, "one\ntwo\nthree"), (2, "a\n" * 77 + "\n".join(f"w{i}" for i in range(300))), (3, "one\n\n" + "b " * 2 + "\ntwo three"), (4, "one\n\n" + "b " * 3 + "\ntwo three")], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in op3_licenses.licenses(df, templates=two).collect()} == {1: "x", 2: "long", 3: "x", 4: ""}
+
+
 def test_tokens(docs, empty):
     from tokenizers import Tokenizer
     from tokenizers.models import Unigram
