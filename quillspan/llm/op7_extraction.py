@@ -7,7 +7,8 @@ differ. Of branches below a root that itself varies, those of low importance are
 
 Menus and adverts may also differ from page to page, which entropy alone would take for content. So a branch is removed
 as well if its presentation names it: by an element made for it (``nav``, ``footer`` ...), a role, or a word of its class or
-id. If a page has ``article`` or ``main``, only what is in them is text. What stays comes in page order.
+id. If a page has ``article`` or ``main``, only what is in them is text. What stays comes in page order. Removal goes
+by piece of text: what lies before or after a removed element in the same block stays, also where that one is inline.
 
 Cases: null, empty or broken HTML gives the text that is found, often none. Hosts of fewer than ``LEAST_PAGES`` pages
 have no tree, and only names decide. A null or odd url counts as the host ''. Repeated pages are extracted
@@ -54,7 +55,8 @@ class Blocks(HTMLParser):
         #: Open elements: tag, path hash, removed, in article or main, children.
         self.open: list[tuple[str, int, bool, bool, list[str]]] = []
         self.blocks: list[tuple[str, bool]] = []
-        self.parts: list[str] = []
+        #: Text of the present block, with whether it is removed.
+        self.parts: list[tuple[str, bool]] = []
         #: Of each path: presentations and texts.
         self.nodes: dict[int, tuple[list[str], list[str]]] = {}
 
@@ -63,18 +65,19 @@ class Blocks(HTMLParser):
 
     def _end_block(self) -> None:
         if self.parts:
-            text = " ".join("".join(self.parts).split())
-            self.parts = []
-            _, removed, main = self._state()
+            text = " ".join("".join(t for t, removed in self.parts if not removed).split())
             if text:
-                if not removed:
-                    self.blocks.append((text, main))
-                if self.style:
-                    for e in self.open:
-                        self.nodes.setdefault(e[1], ([], []))[1].append(text)
+                self.blocks.append((text, self._state()[2]))
+            if self.style and (whole := " ".join("".join(t for t, _ in self.parts).split())):
+                for e in self.open:
+                    self.nodes.setdefault(e[1], ([], []))[1].append(whole)
+            self.parts = []
 
     def _pop(self, to: int) -> None:
-        self._end_block()
+        """Close the elements from that place on; the present block ends with one of them, or with the page."""
+        first = next((i for i, e in enumerate(self.open) if e[0] in _DROPPED), len(self.open))
+        if not to or any(e[0] in _BLOCK for e in self.open[to:first]):  # what is dropped ends no block
+            self._end_block()
         if self.style:
             for e in self.open[to:]:
                 self.nodes.setdefault(e[1], ([], []))[0].append(" ".join(e[4]))
@@ -86,7 +89,7 @@ class Blocks(HTMLParser):
             if self.open[i][0] in tags:
                 self._pop(i)
                 return
-            if self.open[i][0] in _SCOPE:
+            if self.open[i][0] in _SCOPE or self.open[i][0] in _DROPPED:
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -95,9 +98,10 @@ class Blocks(HTMLParser):
             self._close({"p"})
             if tag in _CLOSES:
                 self._close(_CLOSES[tag])
-            self._end_block()
+            if not any(e[0] in _DROPPED for e in self.open):
+                self._end_block()
         elif tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", False))
         if tag in _VOID:
             return
         path, removed, main = self._state()
@@ -116,14 +120,15 @@ class Blocks(HTMLParser):
                 self.open[-1][4].append(key)
             path = xxhash.xxh64_intdigest(f"{path} {key}") >> 1
             root = tag in ("html", "body", "article", "main")
-            removed = removed or hidden or tag in _DROPPED or tag in _NOISE or (tag == "header" and not main) or (path in self.low and not root)
+            removed = removed or tag in _DROPPED or tag in _NOISE or (tag == "header" and not main) or (path in self.low and not root)
+        removed = removed or hidden
         if named and not removed and tag not in ("html", "body", "article", "main"):
             removed = bool(_NAMES.search(named)) or (not main and bool(_HEADER.search(named)))
         self.open.append((tag, path, removed, main or (tag in ("article", "main") and not removed), []))
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", False))
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 if tag in _BLOCK or tag in _DROPPED:
@@ -137,7 +142,7 @@ class Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][0] in _DROPPED:
             return
-        self.parts.append(data)
+        self.parts.append((data, self._state()[1]))
 
     def run(self, html: str) -> Blocks:
         self.feed(html)

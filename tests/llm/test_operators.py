@@ -213,6 +213,24 @@ def test_extraction(spark):
     assert op7_extraction.extract(df.limit(0)).count() == 0
 
 
+def test_extraction_within_blocks(spark):
+    dropped = [f"<{t}>gone</{t}>" for t in "script style noscript iframe object svg math canvas select button textarea audio video map".split()]
+    cases = [(f"<p>Long paragraph {x} rest</p>", "Long paragraph rest") for x in (*dropped, "<svg><g><text>gone</text></g></svg>", "<svg><path/></svg>", "<select><option>gone</select>", '<span class="ad">gone <b>gone</b></span>', "<span hidden>gone</span>", "<i role=alert>gone</i>")]
+    cases += [
+        ("<div>Intro <a class=related><div>gone</div></a> rest</div>", "Intro\n\nrest"),
+        ("<p>Intro <button><p>gone</p></button> rest</p>", "Intro rest"),
+        ("<div>Intro <noscript><div>gone</div></noscript></div>", "Intro"),
+        ("<main>Intro<video>gone</video></main><p>out</p>", "Intro"),
+        ('<article><p>One <a class="share">gone</a>two<br>three</p><nav>gone</nav>four</article>', "One two three\n\nfour"),
+        ("<p>Intro <svg>gone", "Intro"),
+        ("<p>Intro <svg><p>gone</p></svg></p><p>rest", "Intro\n\nrest"),
+        ("<div class=ad>gone <b>gone</b></div>rest <b class=x>bold</b>", "rest bold"),
+    ]
+    df = spark.createDataFrame([(i, f"http://h{i}/", html) for i, (html, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in op7_extraction.extract(df).collect()}
+    assert [got[i] for i in range(len(cases))] == [text for _, text in cases]
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     expected = {}
