@@ -3,7 +3,9 @@
 Pages of one host are merged to a style tree: an element's node is its path of tags and classes, and each page adds the
 element's presentation (the sequence of its children) and content (its text). A node's importance is the entropy of
 both over the host's pages, each relative to the logarithm of the number of pages: 0 if all pages agree, 1 if all
-differ. Of branches below a root that itself varies, those of low importance are removed from each page.
+differ. A branch of low importance is removed if the main text of the very pages that hold it varies, so each template of a
+host is judged by itself, however small its share; only ``LEAST_PAGES`` pages must hold the branch. Where whole pages are
+copies, nothing tells template from content, and nothing is removed.
 
 Menus and adverts may also differ from page to page, which entropy alone would take for content. So a branch is removed
 as well if its presentation names it: by an element made for it (``nav``, ``footer`` ...), a role, or a word of its class or
@@ -160,39 +162,41 @@ def host(url: str) -> F.Column:
 
 
 def style_nodes(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """``host``, ``path``, and hashes of ``shape`` and ``content``: a row for each page and each of its paths."""
+    """``host``, ``path``, and hashes of ``shape``, ``content`` and the page's main text by names: a row for each page and each of its paths."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = lambda x: xxhash.xxh64_intdigest(x) >> 1
         for batch in batches:
-            hosts, paths, shapes, contents = [], [], [], []
+            hosts, paths, shapes, contents, mains = [], [], [], [], []
             for at, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for path, (shape, content) in Blocks(style=True).run(page or "").nodes.items():
+                blocks = Blocks(style=True).run(page or "")
+                main = digest(blocks.text())
+                for path, (shape, content) in blocks.nodes.items():
                     hosts.append(at)
                     paths.append(path)
                     shapes.append(digest("\n".join(shape)))
                     contents.append(digest("\n".join(content)))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (paths, shapes, contents))], names=["host", "path", "shape", "content"])
+                    mains.append(main)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (paths, shapes, contents, mains))], names=["host", "path", "shape", "content", "main"])
 
-    return pages.select(host(url).alias("host"), html).mapInArrow(scan, "host string, path long, shape long, content long")
+    return pages.select(host(url).alias("host"), html).mapInArrow(scan, "host string, path long, shape long, content long, main long")
 
 
 def importance(nodes: DataFrame) -> DataFrame:
-    """``host``, ``path``, ``pages`` and ``importance`` of each node of the hosts' trees."""
-    kinds = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("shape").alias("v")), F.struct(F.lit(1).alias("k"), F.col("content").alias("v"))))
+    """``host``, ``path``, ``pages`` and ``importance`` of each node of the hosts' trees, and how much the main text of its pages varies, ``around``."""
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in enumerate(("shape", "content", "main")))))
     counts = nodes.select("host", "path", kinds.alias("x")).groupBy("host", "path", "x").count()
     n, c = F.col("pages").cast("double"), F.col("count").cast("double")
     by_kind = counts.groupBy("host", "path", F.col("x.k").alias("k")).agg(F.sum("count").alias("pages"), F.sum(c * F.log(c)).alias("s"))
     entropy = F.when(n > 1, (F.log(n) - F.col("s") / n) / F.log(n)).otherwise(F.lit(1.0))
-    share = F.when(F.col("k") == 0, F.lit(PRESENTATION)).otherwise(F.lit(1 - PRESENTATION))
-    return by_kind.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.sum(entropy * share).alias("importance"))
+    share = F.when(F.col("k") == 0, F.lit(PRESENTATION)).when(F.col("k") == 1, F.lit(1 - PRESENTATION)).otherwise(F.lit(0.0))
+    around = F.max(F.when(F.col("k") == 2, entropy)).alias("around")
+    return by_kind.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.sum(entropy * share).alias("importance"), around)
 
 
 def low_branches(nodes: DataFrame) -> DataFrame:
     """``_host`` and ``low``, the paths that are removed from its pages."""
-    tree = importance(nodes)
-    most = tree.groupBy("host").agg(F.max("pages").alias("most"), F.max("importance").alias("best"))
-    low = tree.join(most, "host").filter((F.col("pages") >= LEAST_PAGES) & (2 * F.col("pages") >= F.col("most")) & (F.col("best") > 0.5) & (F.col("importance") < LOW * F.col("best")))
+    low = importance(nodes).filter((F.col("pages") >= LEAST_PAGES) & (F.col("around") > 0.5) & (F.col("importance") < LOW * F.col("around")))
     return low.groupBy(F.col("host").alias("_host")).agg(F.collect_set("path").alias("low"))
 
 

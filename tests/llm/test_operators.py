@@ -231,6 +231,20 @@ def test_extraction_within_blocks(spark):
     assert [got[i] for i in range(len(cases))] == [text for _, text in cases]
 
 
+def test_extraction_of_templates(spark):
+    first = "<body><div class=a><div class=one>Same {}</div><p>Story {}</p></div></body>"
+    second = "<body><div class=b><ul><li>Home</ul><p>Tale {}</p></div></body>"
+    rows = [(i, first.format(i, i)) for i in range(60)] + [(100 + i, second.format(i)) for i in range(40)]
+    rows += [(200 + i, "<body><div class=c><h2>Copied</h2><p>page</p></div></body>") for i in range(10)]
+    rows += [(300 + i, f"<body><h4>Rare</h4><p>Text {i}</p></body>") for i in range(op7_extraction.LEAST_PAGES - 1)]
+    df = spark.createDataFrame([(i, "http://h/", html) for i, html in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in op7_extraction.extract(df).collect()}
+    assert all(got[i] == f"Same {i}\n\nStory {i}" for i in range(60))
+    assert all(got[100 + i] == f"Tale {i}" for i in range(40))  # a template of a third of the host
+    assert all(got[200 + i] == "Copied\n\npage" for i in range(10))
+    assert all(got[300 + i] == f"Rare\n\nText {i}" for i in range(op7_extraction.LEAST_PAGES - 1))
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     expected = {}
