@@ -3,9 +3,10 @@
 An Aho-Corasick automaton over the vocabulary reports every piece that ends at each character of a word. Dynamic
 programming carries, for each end, the best score and the number of pieces of its path. The rules are those of
 the usual unigram encoder: a later start replaces an earlier one only with a higher score; a character that is no
-piece is unknown, at 10 below the lowest score; unknowns in a row are one token.
+piece is unknown, at 10 below the lowest score; unknowns in a row are one token, or, if the vocabulary has the 256 byte
+pieces, as many as their UTF-8 has bytes (byte fallback).
 
-The vocabulary is a parameter: pieces with scores. ``read_vocabulary`` takes the normal pieces of a SentencePiece file;
+The vocabulary is a parameter: pieces with scores. ``read_vocabulary`` takes the normal and byte pieces of a SentencePiece file;
 where a file only ranks its pieces, the scores are the logarithms of Zipf's law over the ranks. A word is a longest
 run without white space, led by the word mark.
 
@@ -30,15 +31,16 @@ MARK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 KEPT, LONG = 1_000_000, 60
+_BYTES = frozenset(f"<0x{b:02X}>" for b in range(256))
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
-    """Normal pieces and scores of a SentencePiece file."""
+    """Normal pieces and scores of a SentencePiece file, then its byte pieces, whose scores say nothing."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
-    return [(p, -math.log(i + 1)) for i, p in enumerate(pieces)]
+    return [(p, -math.log(i + 1)) for i, p in enumerate(pieces)] + [(model.id_to_piece(i), 0.0) for i in range(model.get_piece_size()) if model.is_byte(i)]
 
 
 class Counter(dict):
@@ -46,6 +48,9 @@ class Counter(dict):
 
     def __init__(self, vocabulary: Sequence[tuple[str, float]]) -> None:
         super().__init__()
+        self.fallback = _BYTES.issubset(piece for piece, _ in vocabulary)
+        if self.fallback:  # byte pieces stand for no text
+            vocabulary = [x for x in vocabulary if x[0] not in _BYTES]
         self.find = ahocorasick.Automaton()
         for piece, score in vocabulary:
             self.find.add_word(piece, (len(piece), score))
@@ -85,7 +90,7 @@ class Counter(dict):
                 at, match = next(found, (n, None))
             if not single and best[end - 1] + self.unknown > top:
                 best[end], unknown[end] = best[end - 1] + self.unknown, True
-                pieces[end] = pieces[end - 1] + (not unknown[end - 1])
+                pieces[end] = pieces[end - 1] + (len(text[end - 1].encode()) if self.fallback else not unknown[end - 1])
             else:
                 best[end], pieces[end] = top, pieces[start] + 1
         return pieces[n]

@@ -149,6 +149,23 @@ def test_tokens(docs, empty):
     assert op4_tokens.token_counts(empty, vocabulary).count() == 0
 
 
+def test_tokens_by_bytes(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+    from tokenizers.models import Unigram
+
+    vocabulary = [("▁", -2.0), ("a", -2.0), ("ab", -4.0), ("né", -2.0), *((f"<0x{b:02X}>", 0.0) for b in range(256))]
+    known = Tokenizer(Unigram([("<unk>", 0.0), *vocabulary], 0, True))
+    rows = list(enumerate(["ꦲꦏ꧀ꦱꦫ", "a𓀀𓀁𓀂b né€ab", "b" * 100, "é néé\n😀😀a ñ", ("ꦲ" * 3000) + "a", None, ""]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in op4_tokens.token_counts(df, vocabulary).collect()}
+    assert got == {i: sum(len(known.encode("▁" + w).ids) for w in words(t)) for i, t in rows}
+    given = sentencepiece.SentencePieceProcessor(model_file=op4_tokens.VOCABULARY)
+    counter = op4_tokens.Counter(op4_tokens.read_vocabulary())
+    for text in ("ꦲꦏ꧀ꦱꦫ", "𓀀𓀁𓀂"):  # no choice of pieces, so scores don't matter
+        assert counter[text.encode()] == len(given.encode(text)) > 12
+
+
 def test_language(spark, docs, empty):
     rows = [(i, " ".join(rng.choice(("the of and ing tion" if i % 2 else "der und sch keit über").split()) + rng.choice("abcde") for _ in range(60)), "en" if i % 2 else "de") for i in range(300)]
     rows += [(1000, None, "en"), (1001, "12 34 !!", "de"), (None, "the of and", "en"), (1003, "", None)]
