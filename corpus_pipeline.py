@@ -3,7 +3,7 @@
 Language ID, SimHash near-dedup, substring dedup, benchmark decontamination, mixing. All stages but the last return the
 columns of ``documents``; the last adds ``copy``, the number of each emitted copy.
 
-Cases: a null or empty text, or one without a letter, is rejected by the first stage. Rows that share a ``doc_id`` are one
+Cases: a null or empty text, one without a letter, or one too unlike all learned languages is rejected by the first stage. Rows that share a ``doc_id`` are one
 document and stay or go together. Null ids, languages and sources are kept. Further columns pass every stage unchanged,
 whatever they are called (but ``copy``, which the last stage replaces). Empty tables give an empty result.
 """
@@ -22,10 +22,6 @@ from quillspan.llm.op6_simhash import near_duplicates
 from quillspan.llm.op8_decontamination import contamination
 from quillspan.llm.scratch import materialize
 
-#: Below this score the language model knows too little of a text to keep it.
-LEAST_SCORE = 0.1
-
-
 #: Columns that the operators read; others are set aside under a prefix, so that they can't clash with added ones.
 _READ = ("doc_id", "text", "lang", "source")
 
@@ -39,7 +35,7 @@ def _aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of a learned language; those without a letter, or like no language, go. ``lang`` stays as given."""
     docs, back = _aside(docs)
-    return identify(docs).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*back)
+    return identify(docs, known=True).filter((F.col("lang_pred") != UNKNOWN) & F.col("known")).select(*back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

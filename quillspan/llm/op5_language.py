@@ -10,6 +10,11 @@ The model learns from at most about ``PER_LANGUAGE`` documents of each language,
 ids; this bound is a parameter. The number of languages is bounded by ``LANGUAGES`` (the most frequent). Every
 document is predicted from its whole text; language, source and id are no inputs of that.
 
+The scores of a text sum to 1 over the languages, so they don't tell whether it is in any of them. ``likeness`` does: the
+mass that the text's presence bits have in the mean of the predicted language's training rows, relative to the most that
+so many bits can have; it doesn't depend on the number of languages, and little on length. A text is ``known`` if
+it reaches ``NEAR`` times what all but the lowest ``LOW`` share of the training rows reach, each left out of the mean.
+
 Cases: null texts and texts without a letter are ``und`` with score 0, as is everything when nothing could be
 learned. A null doc_id is never used for training and isn't held out. Null languages aren't learned. Ties of
 scores go to the language that comes first by name. Repeated rows are predicted each.
@@ -34,6 +39,7 @@ PER_LANGUAGE = 300
 LANGUAGES = 256
 LANDMARKS = 400
 RIDGE = 1e-3
+LOW, NEAR = 0.01, 0.75
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _GRAM = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -102,40 +108,66 @@ def fit_model(rows: list[tuple[str, bytes]]) -> tuple[list[str], np.ndarray, np.
     return languages, (marks.T.astype(np.float64) @ (root @ weights)).astype(np.float32), mean.astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs``, with or without the text, with ``lang_pred`` and ``score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*kept)
+def likeness(bits: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Of presence rows, the mass in the mean row relative to the most that so many bits can have."""
+    most = np.concatenate(([0.0], np.cumsum(np.sort(mean)[::-1], dtype=np.float64)))
+    return bits.astype(np.float32) @ mean / np.maximum(most[bits.sum(1)], 1e-9)
+
+
+def fit_likeness(rows: list[tuple[str, bytes]]) -> dict[str, tuple[np.ndarray, float]]:
+    """Of each language, the mean of its training rows and the least likeness of a known text."""
+    found = {}
+    for k in sorted({k for k, _ in rows}):
+        bits = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for x, b in rows if x == k])
+        n, total = len(bits), bits.sum(0)
+        others = [likeness(row[None], ((total - row) / (n - 1)).astype(np.float32))[0] for row in bits] if n > 1 else [0.0]
+        found[k] = ((total / n).astype(np.float32), NEAR * float(np.quantile(others, LOW)))
+    return found
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", keep_text: bool = True, near: dict[str, tuple[np.ndarray, float]] | None = None) -> DataFrame:
+    """``docs``, with or without the text, with ``lang_pred`` and ``score``, and ``known`` if ``near`` is given."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, near))
+    added = {"lang_pred": "string", "score": "double"} | ({} if near is None else {"known": "boolean"})
+    docs = docs.select(*[c for c in docs.columns if c not in added])
     back = [f for f in docs.schema.fields if keep_text or f.name != text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in back) + ", lang_pred string, score double"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in back), *(f"{k} {v}" for k, v in added.items())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, matrix, mean = shared.value
+        (languages, matrix, mean), near = shared.value
         for batch in batches:
             names: list[str] = []
             scores: list[float] = []
+            known: list[bool] = []
             column = batch.column(text)
             for a in range(0, len(column), 256):
                 part = [t or "" for t in column.slice(a, 256).to_pylist()]
-                best, value = [UNKNOWN] * len(part), np.zeros(len(part))
+                best, value, like = [UNKNOWN] * len(part), np.zeros(len(part)), np.zeros(len(part), bool)
                 some = [i for i, t in enumerate(part) if languages and _LETTER.search(t)]
                 if some:
-                    found = _normal(_presence([part[i] for i in some])) @ matrix + mean
-                    for i, k, v in zip(some, found.argmax(1).tolist(), np.clip(found.max(1), 0, 1).tolist(), strict=True):
+                    bits = _presence([part[i] for i in some])
+                    found = _normal(bits) @ matrix + mean
+                    chosen = found.argmax(1)
+                    for i, k, v in zip(some, chosen.tolist(), np.clip(found.max(1), 0, 1).tolist(), strict=True):
                         best[i], value[i] = languages[k], v
+                    for k in np.unique(chosen).tolist() if near is not None else ():
+                        own = chosen == k
+                        like[np.array(some)[own]] = likeness(bits[own], near[languages[k]][0]) >= near[languages[k]][1]
                 names += best
                 scores += value.tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in back), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in back), "lang_pred", "score"])
+                known += like.tolist()
+            columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())][: len(added)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in back), *columns], names=[*(f.name for f in back), *added])
 
     return docs.mapInArrow(scan, schema)
 
 
-def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
-    """``docs``, with or without the text, with ``held_out``, ``lang_pred`` and ``score``, learned from ``docs`` themselves."""
+def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep_text: bool = True, known: bool = False) -> DataFrame:
+    """``docs``, with or without the text, with ``held_out``, ``lang_pred``, ``score`` and, if asked for, ``known``, learned from ``docs`` themselves."""
     small_batches(docs.sparkSession)
-    model = fit_model(training_rows(docs, doc_id, text, lang))
-    return predict(docs.withColumn("held_out", held_out(doc_id)), model, text, keep_text)
+    rows = training_rows(docs, doc_id, text, lang)
+    near = fit_likeness(rows) if known else None
+    return predict(docs.withColumn("held_out", held_out(doc_id)), fit_model(rows), text, keep_text, near)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

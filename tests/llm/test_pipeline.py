@@ -112,6 +112,15 @@ def test_pipeline(spark, tmp_path):
         assert r.n_chars == len(r.text)
 
 
+def test_unlearned_languages(spark):
+    given = [(r[0], r[1], r[2]) for r in rows() if r[0] is not None and r[0] < 150]
+    russian, greek = ([" ".join("".join(chr(rng.randint(a, b)) for _ in range(rng.randint(3, 9))) for _ in range(n)) for n in (5, 60, 300)] for a, b in ((0x430, 0x44F), (0x3B1, 0x3C9)))
+    other = [" ".join(rng.choice("pym xoc jaqu vib".split()) + rng.choice("awn ozz ukk ipa".split()) for _ in range(60))]
+    short = [(300 + i, prose(("en", "de")[i % 2], 8), None) for i in range(10)] + [(320, prose("en", 3000), None)]
+    df = spark.createDataFrame(given + short + [(400 + i, t, None) for i, t in enumerate([*russian, *greek, *other])], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in pipeline.language_id(spark, df, "").collect()} == {r[0] for r in given + short}
+
+
 def test_empty(spark, tmp_path):
     table = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     table.write.parquet(f"{tmp_path}/documents.parquet")
