@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spark-quillspan-')}"
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset, as in tests, under one of this machine."""
+    """A new folder under ``spark.checkpoint.dir``. Where that is unset, a local master gets a folder of this process; on a
+    cluster that is an error, as its machines would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-quillspan-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own_folder()
     return f"{folder.rstrip('/')}/quillspan-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read again, so that later plans stay short."""
+    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read again.
+
+    Later plans stay short, and what comes later reads files that outlive any executor.
+    """
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
