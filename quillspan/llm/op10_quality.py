@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialize, small_batches
+from .scratch import materialize
 from .words import NOT_SPACE, Chunk, chunks, covered, run_hashes, sums_by_text, whole_runs
 
 BUCKETS_LOG2 = 16
@@ -127,7 +127,6 @@ def threshold(scored: DataFrame, trusted: list[int]) -> float | None:
 
 def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, the base counts, ``base_failed``, ``score`` and ``kept``, one row for each document."""
-    small_batches(docs.sparkSession)
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("i")).distinct()
     trusted = [r.i for r in good.orderBy(F.xxhash64("i"), "i").limit(TRUSTED).collect()]
     scored = materialize(measures(docs, log_ratio(bucket_counts(docs, trusted, doc_id, text)), doc_id, text))

@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
 from .words import ALNUM, Chunk, chunks
 
 #: Fixed values of the contract: phrase and label.
@@ -211,7 +210,6 @@ def licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templa
 
     ``score`` is the largest containment of a template that is met, 1 for a whole phrase, 0 if nothing is found.
     """
-    small_batches(docs.sparkSession)
     vocabulary = sorted({w for _, t in templates for w in _words(t)})
     ready = Templates(templates, word_frequencies(docs, text, vocabulary, max([1, *(_run(t) for _, t in templates)])), threshold)
     phrases = [(_hash(w), w, label) for p, label in PHRASES for w in [p.encode().split()]]

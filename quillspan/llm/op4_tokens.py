@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .scratch import small_batches
 from .words import texts
 
 MARK = "▁"
@@ -116,7 +115,6 @@ def _counter(vocabulary: list[tuple[str, float]]) -> Counter:
 
 def token_counts(docs: DataFrame, vocabulary: Sequence[tuple[str, float]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_words`` and ``n_tokens`` of each document."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(list(vocabulary))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

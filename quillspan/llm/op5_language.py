@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
 
 N = 3
 BUCKETS_LOG2 = 13
@@ -164,7 +163,6 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep_text: bool = True, known: bool = False) -> DataFrame:
     """``docs``, with or without the text, with ``held_out``, ``lang_pred``, ``score`` and, if asked for, ``known``, learned from ``docs`` themselves."""
-    small_batches(docs.sparkSession)
     rows = training_rows(docs, doc_id, text, lang)
     near = fit_likeness(rows) if known else None
     return predict(docs.withColumn("held_out", held_out(doc_id)), fit_model(rows), text, keep_text, near)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialize, partitions, small_batches
+from .scratch import materialize, partitions
 from .words import NOT_SPACE, Chunk, chunks
 
 SHINGLE, SEED, DIFFER = 3, 42, 2
@@ -56,7 +56,6 @@ def _fingerprints(chunk: Chunk, shingle: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``doc_id`` and ``fp``, the fingerprint as a signed long."""
-    small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

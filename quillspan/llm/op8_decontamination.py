@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import small_batches
 from .words import ALNUM, Chunk, chunks, covered, lists, run_hashes, sums_by_text
 
 WINDOW = 10
@@ -144,7 +143,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     ``keep_text``: whether the text comes along.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.drop(*FOUND, "_spans", "_items")
     queries = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t"))
     held = queries.agg(F.sum(F.octet_length("t"))).first()[0] or 0

@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import SparkSession
+
+from ..tables import cut as materialize
 
 #: Rows of a table that may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
-
-def scratch_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset, a folder of this process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-quillspan-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
-
-    This cuts the lineage: what comes later reads files that outlive any executor.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/quillspan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["BROADCAST_ROWS", "integer_ids", "materialize", "partitions", "slices"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -36,7 +20,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of so many rows, to bound what is made of it at a time; Spark bounds the batch itself by bytes."""
+    for a in range(0, len(batch), rows):
+        yield batch.slice(a, rows)
+
+
+def integer_ids(df, column: str) -> None:
+    """Raises a TypeError unless the column holds integers."""
+    kind = df.schema[column].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{column} is {kind}; ids must be integers")
