@@ -87,7 +87,8 @@ def test_substrings(spark, docs, empty):
             if least[tuple(w[j : j + 50])] < i:
                 gone |= set(range(j, j + 50))
         expected[i] = (len(w), len(gone), [x for j, x in enumerate(w) if j not in gone])
-    for group in (op2_substrings.GROUP, 1):
+    clash = docs.withColumns({c: docs["doc_id"] for c in ("_doc", "_spans", "row", "id", "maybe", "_slot", "_word", "_mask")})
+    for group, docs in ((op2_substrings.GROUP, docs), (1, clash), (200, clash)):
         got = {r.doc_id: (r.n_words, r.n_removed, words(r.kept_text)) for r in op2_substrings.substring_dedup(docs, group=group).collect()}
         assert got == expected
     assert sum(n for _, n, _ in expected.values()) > 200
@@ -253,13 +254,73 @@ def test_extraction_of_templates(spark):
     second = "<body><div class=b><ul><li>Home</ul><p>Tale {}</p></div></body>"
     rows = [(i, first.format(i, i)) for i in range(60)] + [(100 + i, second.format(i)) for i in range(40)]
     rows += [(200 + i, "<body><div class=c><h2>Copied</h2><p>page</p></div></body>") for i in range(10)]
-    rows += [(300 + i, f"<body><h4>Rare</h4><p>Text {i}</p></body>") for i in range(op7_extraction.LEAST_PAGES - 1)]
-    df = spark.createDataFrame([(i, "http://h/", html) for i, html in rows], "page_id long, url string, html string")
+    rows += [(300 + i, f"<body><h4>Rare</h4><p>Text {i}</p></body>") for i in range(3)]
+    rows += [(400 + i, f"<body><h4>Often</h4><p>Text {i}</p></body>") for i in range(9)]
+    df = spark.createDataFrame([(i, f"http://h{i // 300 * (i // 100)}/", html) for i, html in rows], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in op7_extraction.extract(df).collect()}
     assert all(got[i] == f"Same {i}\n\nStory {i}" for i in range(60))
     assert all(got[100 + i] == f"Tale {i}" for i in range(40))  # a template of a third of the host
     assert all(got[200 + i] == "Copied\n\npage" for i in range(10))
-    assert all(got[300 + i] == f"Rare\n\nText {i}" for i in range(op7_extraction.LEAST_PAGES - 1))
+    assert all(got[300 + i] == f"Rare\n\nText {i}" for i in range(3))  # three pages tell little
+    assert all(got[400 + i] == f"Text {i}" for i in range(9))
+
+
+def test_extraction_of_ordinary_pages(spark):
+    deep = "<div>" * 3000 + "<p>Deep text" + "</div>" * 3000
+    cases = [
+        ("<html><head><title>x</title><body><p>hello world</p>", "hello world"),
+        ("<title>x</title><meta name=a><p>no head", "no head"),
+        ("<head><title>x</title>bare text", "bare text"),
+        ("<p>important text <script>x()</script> tail</p>", "important text tail"),
+        ("<div class='notice-board'>Board</div><div class='alert-list'>List</div>", "Board\n\nList"),
+        ("<p>One <span class='sponsor'>gone</span> two</p>", "One two"),
+        ("<div id=top-nav>gone</div><div class='site_footer2'>gone</div><div class=adSlot>gone</div><p>Text", "Text"),
+        ("<article><p>Teaser</p></article><div id=content><p>The long text of the page</p></div>", "Teaser\n\nThe long text of the page"),
+        ("<div class=sidebar><p>All there is</p></div>", "All there is"),
+        ("<div class=ad>gone</div><article></article>", ""),
+        ("<div><a href=1>Home</a> <a href=2>News</a> <a href=3>Mail</a></div><p>See <a href=4>this</a>, that and more.</p>", "See this, that and more."),
+        (deep, "Deep text"),
+        ("<p>" + "word " * 200_000, ("word " * 200_000).strip()),
+        ("<<p>a &lt; b &amp;amp; c &#x41;</p>", "<\n\na < b &amp; c A"),
+    ]
+    rows = [(i, f"http://h{i}/", html, 1, "x") for i, (html, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows + rows[:2], "page_id long, url string, html string, host long, texts string")
+    got = [(r.page_id, r.text) for r in op7_extraction.extract(df).collect()]
+    assert sorted(got) == sorted((i, cases[i][1]) for i in [*range(len(cases)), 0, 1])
+
+
+def test_extraction_by_the_tree(spark):
+    """Menus that name nothing, in one of a few forms on each page; evidence is compared with a brute-force version."""
+    menus, ends = ["<b>Home</b> | News", "<b>Start</b> | Blog", "<b>Top</b> | All"], ["Write to us", "Write us"]
+    page = "<body><div>{}</div><div><h1>Title {}</h1><p>Story {}</p><p>Read more.</p></div><div><p>{}</p></div></body>"
+    rows = [(i, page.format(menus[i % 3], i // 2, i, ends[i % 2])) for i in range(200)]
+    rows += [(1000 + i, rows[0][1]) for i in range(3)]
+    df = spark.createDataFrame([(i, "https://site.org/x", html) for i, html in rows], "page_id long, url string, html string")
+    for priors in (True, False):
+        got = {r.page_id: r.text for r in op7_extraction.extract(df, priors=priors).collect()}
+        assert all(got[i] == f"Title {i // 2}\n\nStory {i}\n\nRead more." for i in range(200))
+    parsed = op7_extraction.parse(df, "page_id", "url", "html")
+    nodes = sorted((r.pages, round(r.evidence, 9)) for r in op7_extraction.importance(parsed).collect())
+
+    def entropy(values):
+        n = Counter(values)
+        return -sum(c / len(values) * math.log(c / len(values)) for c in n.values())
+
+    ids = [i if i < 1000 else 0 for i, _ in rows]
+    expected = []
+    # Of each node: contents, presentations and pages of its occurrences.
+    for content, shape, per_page in ((lambda i: i % 3, None, 1), (lambda i: i, None, 1), (lambda i: i // 2, None, 1), (lambda i: i % 2, None, 2)):
+        h = entropy(ids)
+        values = [content(i) for i in ids]
+        share = 0.9 * min(1, entropy(values) / h)
+        n = math.exp(h) - 1
+        expected.append((len(ids) * (2 if per_page == 2 else 1) // per_page, (4 + n * share) / (4 + n)))
+    # menu, middle, title, and the end as a box and as its paragraph; the middle's paragraphs are one node.
+    middle = [x for i in ids for x in (("s", i), "more")]
+    h = entropy(ids)
+    n = math.exp(h) - 1
+    expected += [(len(ids), expected[3][1]), (2 * len(ids), (4 + n * 0.9 * min(1, entropy(middle) / h)) / (4 + n))]
+    assert nodes == sorted((a, round(b, 9)) for a, b in expected)
 
 
 def test_decontamination(spark, docs, empty):
