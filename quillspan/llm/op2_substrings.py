@@ -3,22 +3,29 @@
 A window is ``WINDOW`` consecutive words of one document. A word goes if a window that covers it also starts in a
 document with a smaller id. Windows are judged on the input.
 
-1. Pruning. Each window is named by the smallest hash among its runs of ``ANCHOR`` words, and consecutive windows
+1. Pruning. Each window is named by the smallest hash among its runs of ``STEPS[0]`` words, and consecutive windows
    of one name are one record, about one for each 18 words. A name that only one document holds rules out all its
    windows; what stays are the candidate suffixes.
-2. Partition. Suffixes are dealt by a prefix of ``ANCHOR`` words. While records are made, all suffixes are counted by hashed
-   prefix in a table of fixed size; where a count passes ``GROUP``, the prefix is lengthened to the whole window, so
-   groups fit into memory. Only fixed-size counts reach the driver.
-3. Subtrees. In a group the suffixes are sorted by their symbols, which puts the group's tree in order: the prefix node,
-   below it a node for each different continuation to depth ``WINDOW``. A node of that depth with leaves of several
-   documents is a repeat; leaves of other than its smallest document mark their windows as repeated.
-
-Before any shuffle, equal names and equal suffixes of one batch are combined to the smallest document's, the others being
-settled on the spot. So a passage that a third of all documents hold sends one row for each batch, not for each document.
-
-Cases: null texts have no words. A document of fewer words than a window is left alone. Repeats within one document alone stay. A null doc_id is
-neither judged nor evidence. Rows that share a doc_id are versions of one document: they don't judge each other,
-and a place removed in one is removed in all. Further columns stay, but for those that bear an added name.
+2. Symbols. Of a suffix, the words up to each depth in ``STEPS`` make one 64-bit symbol, so its first ``WINDOW`` words are a
+   string of three. Suffixes equal to that depth agree in all 192 bits.
+3. Partition. Suffixes are dealt by a prefix of variable length. It is one symbol long; where more than ``group`` suffixes, counted
+   exactly, share a prefix, theirs are lengthened by a symbol, and again.
+4. Subtrees. A partition's suffixes come sorted by their symbols, which puts its prefixes' subtrees in order; the common prefix
+   of neighbours tells how deep the node is at which they part. A node of depth ``WINDOW`` is a run of neighbours that agree
+   so far. If its leaves are of several documents, it is a repeat, and all but its smallest document's leaves are repeated
+   windows. A subtree is read leaf by leaf and never held, so memory doesn't grow with a group.
+
+Before any shuffle, equal names and equal suffixes of one chunk of text are combined to the smallest document's, the others being
+settled on the spot. So a passage that a third of all documents hold sends one row for each chunk, not for each document.
+
+Texts are moved twice, to their candidate spans and to the spans that go, but only those of documents that may have some: a
+table of hashed ids, of at most ``MOST_BITS`` bits, tells the others. (From some 10**8 such documents on, it passes ever
+more of the others too, which costs time but changes nothing.)
+
+Cases: null texts have no words. A document of fewer words than a window is left alone. Repeats within one document alone stay.
+A null doc_id is neither judged nor evidence. Ids are integers. Rows that share a doc_id are versions of one document: they don't
+judge each other, and a place removed in one is removed in all. Further columns stay, whatever they are called, but for those that
+bear an added name.
 """
 
 from __future__ import annotations
@@ -28,25 +35,33 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import materialize, partitions, small_batches
+from .scratch import BROADCAST_ROWS, integer_ids, materialize, partitions
 from .words import NOT_SPACE, Chunk, chunks, lists, run_hashes, whole_runs
 
-WINDOW, ANCHOR = 50, 16
+WINDOW = 50
+#: Words of the first symbol, and of the first two; all three are a window.
+STEPS = (16, 32)
 GROUP = 1_000_000
-_COUNTERS_LOG2 = 16
-#: Buckets for each shuffle partition, so that partitions get about as much each.
-_SPREAD = 3
+MOST_BITS = 1 << 26
 _WORD = r"[^\x20\x09-\x0D]+"
-_RECORD = "kind int, bucket int, keys array<long>, docs array<long>, starts array<int>, counts array<int>, flags array<boolean>"
+_ADDED = ("n_words", "n_removed", "kept_text")
+_SUFFIX = "a long, b long, c long, doc long, start int, end int"
 
 
-def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    column = batch.column(0)
-    return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.is_valid().to_numpy(zero_copy_only=False)
+def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    """A batch of numbers by a schema of longs, ints and booleans."""
+    kinds = {"long": np.int64, "int": np.int32, "boolean": bool}
+    fields = [x.split() for x in schema.split(", ")]
+    arrays = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(kinds[k], copy=False)) for c, (_, k) in zip(columns, fields, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
+
+
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -58,21 +73,10 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - done)], x[n - done :]) if n > done else x
 
 
-def _bucketed(kind: int, bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """Rows of arrays, one for each bucket, with some columns left out at the end."""
-    order = np.argsort(bucket, kind="stable")
-    names, counts = np.unique(bucket, return_counts=True)
-    kinds = (np.int64, np.int64, np.int32, np.int32, bool)
-    arrays = [lists(c[order].astype(k), counts) for c, k in zip(columns, kinds, strict=False)]
-    n = len(names)
-    arrays += [pa.nulls(n, pa.list_(pa.from_numpy_dtype(k))) for k in kinds[len(columns) :]]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(names.astype(np.int32)), *arrays], names=[x.split()[0] for x in _RECORD.split(", ")])
-
-
-def _spans(docs: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spans(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges of places, with those of a document that touch or overlap made one."""
     order = np.lexsort((starts, docs))
-    docs, starts, ends = docs[order], starts[order].astype(np.int64), (starts + counts)[order].astype(np.int64)
+    docs, starts, ends = docs[order], starts[order].astype(np.int64), ends[order].astype(np.int64)
     if not len(docs):
         return docs, starts, ends
     lift = np.cumsum(np.concatenate(([0], (docs[1:] != docs[:-1]).astype(np.int64)))) << 40  # keeps documents apart in one running maximum
@@ -93,121 +97,132 @@ def _settle(keys: tuple[np.ndarray, ...], docs: np.ndarray) -> tuple[np.ndarray,
     return (docs[first] != docs[last])[group], docs == docs[first][group], new
 
 
+# Ids that may be in a table
+
+
+def maybe_in(docs: DataFrame, key: Column, ids: DataFrame, flag: str) -> DataFrame:
+    """``docs`` with ``flag``, true for all whose key is in ``ids`` (a table of one column) and for few others."""
+    n, bits = ids.count(), 1 << 16
+    while bits < min(8 * n, MOST_BITS):
+        bits *= 2
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
+    place = F.expr("shiftright(_slot, 6)")
+    mask = F.bit_or(F.expr("shiftleft(1L, cast(_slot % 64 AS int))")).alias("_mask")
+    words = ids.select(slot(F.col(ids.columns[0])).alias("_slot")).groupBy(place.alias("_word")).agg(mask)
+    joined = docs.withColumn("_slot", slot(key)).join(F.broadcast(words), place == F.col("_word"), "left")  # bits / 64 rows at most
+    found = F.expr("shiftright(_mask, cast(_slot % 64 AS int)) & 1L") == 1
+    return joined.withColumn(flag, F.coalesce(found, F.lit(False))).drop("_slot", "_word", "_mask")
+
+
+# Pruning
+
+
 def _names(chunk: Chunk, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows of one name: name, text, first window in the text, number of windows."""
-    small = _sliding_min(run_hashes(hashes, ANCHOR), WINDOW - ANCHOR + 1)
+    """Runs of windows of one name: name, text, first window in the text, and the one after the last."""
+    small = _sliding_min(run_hashes(hashes, STEPS[0]), WINDOW - STEPS[0] + 1)
     at = np.flatnonzero(whole_runs(chunk, WINDOW))
     if not len(at):
         return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
     name = small[at]
     first = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (at[1:] != at[:-1] + 1))))
     text = np.searchsorted(chunk.first, at[first], "right") - 1
-    return name[first], text, at[first] - chunk.first[text], np.diff(np.append(first, len(at)))
+    start = at[first] - chunk.first[text]
+    return name[first], text, start, start + np.diff(np.append(first, len(at)))
 
 
-def window_names(docs: DataFrame, doc_id: str, text: str, buckets: int) -> DataFrame:
-    """Records by bucket of the name (kind 0), names already known to repeat (kind 1) and prefix counts (kind 2)."""
+_NAMED = "name long, doc long, start int, end int, several boolean"
+
+
+def window_names(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Records of windows of one name. ``several``: other documents of its chunk have the name, and their records stand
+    with a null name, as they are known to repeat."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << _COUNTERS_LOG2, np.int64)
         for batch in batches:
-            ids, valid = _ids(batch)
+            ids = _ids(batch)
             for chunk in chunks(batch.column(1), NOT_SPACE):
-                hashes = chunk.hashes()
-                prefix = run_hashes(hashes, ANCHOR)[np.flatnonzero(whole_runs(chunk, WINDOW))]
-                counters += np.bincount((prefix >> np.uint64(64 - _COUNTERS_LOG2)).astype(np.int64), minlength=len(counters))
-                name, row, start, count = _names(chunk, hashes)
-                row = chunk.rows[row]
-                keep = valid[row]
-                name, doc, start, count = name[keep], ids[row[keep]], start[keep], count[keep]
+                name, row, start, end = _names(chunk, chunk.hashes())
+                doc = ids[chunk.rows[row]]
                 if not len(name):
                     continue
                 order = np.lexsort((start, doc, name))
-                name, doc, start, count = name[order], doc[order], start[order], count[order]
+                name, doc, start, end = name[order], doc[order], start[order], end[order]
                 several, _, first = _settle((name,), doc)
-                d, s, e = _spans(doc[several], start[several], count[several])
-                if len(d):
-                    yield _bucketed(1, (d % buckets).astype(np.int64), np.zeros(len(d)), d, s, e - s)
                 send = first | ~several
-                yield _bucketed(0, (name[send] % np.uint64(buckets)).astype(np.int64), name[send].view(np.int64), doc[send], start[send], count[send], several[send])
-        some = np.flatnonzero(counters)
-        if len(some):
-            yield _bucketed(2, np.zeros(len(some), np.int64), some, counters[some])
-
-    return docs.select(doc_id, text).mapInArrow(scan, _RECORD)
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows of each bucket, from rows sorted by bucket."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        bucket = batch.column("bucket").to_numpy()
-        edges = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b:
-                continue
-            if held and held[0].column("bucket")[0].as_py() != bucket[a]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _flat(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-
-
-def _dealt(records: DataFrame) -> DataFrame:
-    return records.repartition(partitions(records.sparkSession), "bucket").sortWithinPartitions("bucket")
+                yield _batch(_NAMED, name[send], doc[send], start[send], end[send], several[send])
+                d, s, e = _spans(doc[several], start[several], end[several])
+                known = _batch(_NAMED, np.zeros(len(d), np.int64), d, s, e, np.ones(len(d), bool))
+                yield known.set_column(0, "name", pa.nulls(len(d), pa.int64()))
 
+    return docs.select(doc_id, text).mapInArrow(scan, _NAMED)
 
-def _gathered(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], buckets: int, most: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """Spans of many buckets as rows by bucket of the document, so many spans at a time."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def rows() -> Iterator[pa.RecordBatch]:
-        if held:
-            d, s, e = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            yield _bucketed(1, (d % buckets).astype(np.int64), np.zeros(len(d)), d, s, e - s)
+_SPAN = "doc long, start int, end int"
 
-    for spans in found:
-        if len(spans[0]):
-            held.append(spans)
-        if sum(len(x[0]) for x in held) >= most:
-            yield from rows()
-    yield from rows()
 
+def candidates(records: DataFrame) -> DataFrame:
+    """Ranges of windows whose name several documents have."""
 
-def candidates(records: DataFrame, buckets: int) -> DataFrame:
-    """Spans of candidate windows (kind 1), by bucket of the document."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What the rows before left open: their last name, its first document, and records of that one if it is the only one.
+        name, first, open_ = None, None, []
+        shared = False
+        for batch in batches:
+            names, docs, starts, ends = (batch.column(k).to_numpy() for k in range(4))
+            several = batch.column(4).to_numpy(zero_copy_only=False)
+            if not len(names):
+                continue
+            change = np.concatenate(([True], names[1:] != names[:-1]))
+            group = np.cumsum(change) - 1
+            begin = np.flatnonzero(change)
+            last = np.append(begin[1:], len(names)) - 1
+            repeated = (docs[begin] != docs[last]) | np.maximum.reduceat(several, begin)
+            if names[0] == name:
+                repeated[0] |= shared or docs[0] != first or docs[last[0]] != first
+                if repeated[0]:
+                    yield from open_
+                    open_ = []
+            else:
+                open_ = []
+            out = repeated[group] & ~several  # the spans of rows that stand for several are known already
+            yield _batch(_SPAN, *_spans(docs[out], starts[out], ends[out]))
+            tail = group == group[-1]
+            goes_on = names[0] == name and len(begin) == 1
+            first = first if goes_on else docs[begin[-1]]
+            shared = bool(repeated[-1])
+            open_ = [] if shared else [*(open_ if goes_on else []), _batch(_SPAN, docs[tail], starts[tail], ends[tail])]
+            name = names[-1]
+
+    named = records.filter("name IS NOT NULL").repartition(partitions(records.sparkSession), "name").sortWithinPartitions("name", "doc")
+    return named.mapInArrow(scan, _SPAN).union(records.filter("name IS NULL").select("doc", "start", "end"))
+
+
+def spans_by_document(ranges: DataFrame) -> DataFrame:
+    """``_doc`` and ``_spans`` (start, end, start, end ... of windows' places), one row for each document that has some."""
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for table in _by_bucket(batches):
-            name, doc, start, count, flag = (_flat(table, x) for x in ("keys", "docs", "starts", "counts", "flags"))
-            order = np.lexsort((doc, name))
-            name, doc, start, count, flag = name[order], doc[order], start[order], count[order], flag[order]
-            several, _, first = _settle((name,), doc)
-            # A flagged row stands for several documents of its batch, whose spans are known already.
-            begins = np.flatnonzero(first)
-            repeated = several | np.repeat(np.maximum.reduceat(flag, begins), np.diff(np.append(begins, len(name))))
-            repeated &= ~flag
-            yield _spans(doc[repeated], start[repeated], count[repeated])
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-    return _dealt(records.filter("kind = 0").select("bucket", "keys", "docs", "starts", "counts", "flags")).mapInArrow(lambda batches: _gathered(found(batches), buckets), _RECORD)
+        def done(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
+            d, s, e = _spans(*(np.concatenate([t.column(k).to_numpy() for t in tables]) for k in range(3)))
+            names, n = np.unique(d, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(names), lists(np.stack([s, e], 1).ravel().astype(np.int32), 2 * n)], names=["_doc", "_spans"])
 
+        for batch in batches:
+            doc = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(doc, doc[-1])) if len(doc) else 0  # the last document may go on
+            if cut:
+                yield done([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if sum(map(len, held)):
+            yield done(held)
 
-def spans_by_document(records: DataFrame) -> DataFrame:
-    """``_doc`` and ``spans`` (start, end, start, end ... of windows' places), one row for each document that has some."""
+    dealt = ranges.repartition(partitions(ranges.sparkSession), "doc").sortWithinPartitions("doc")
+    return dealt.mapInArrow(scan, "_doc long, _spans array<int>")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _by_bucket(batches):
-            d, s, e = _spans(_flat(table, "docs"), _flat(table, "starts"), _flat(table, "counts"))
-            names, n = np.unique(d, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names), lists(np.stack([s, e], 1).ravel().astype(np.int32), 2 * n)], names=["_doc", "spans"])
 
-    return _dealt(records.select("bucket", "docs", "starts", "counts")).mapInArrow(scan, "_doc long, spans array<int>")
+# Suffixes and subtrees
 
 
 def _candidate_places(chunk: Chunk, spans: pa.ListArray) -> np.ndarray:
@@ -220,66 +235,80 @@ def _candidate_places(chunk: Chunk, spans: pa.ListArray) -> np.ndarray:
     return at[at + WINDOW <= end]
 
 
-def suffixes(joined: DataFrame, long_prefixes: np.ndarray, buckets: int) -> DataFrame:
-    """Candidate suffixes (kind 0: prefix, rest in ``keys`` twice as many) and windows settled on the spot (kind 1)."""
-    shared = joined.sparkSession.sparkContext.broadcast(long_prefixes)
+def suffixes(joined: DataFrame) -> DataFrame:
+    """Candidate suffixes (symbols ``a``, ``b``, ``c``, ``doc`` and place), and ranges of windows settled on the spot (symbols null)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, _ = _ids(batch)
+            ids = _ids(batch)
             for chunk in chunks(batch.column(1), NOT_SPACE):
                 at = _candidate_places(chunk, batch.column(2).slice(int(chunk.rows[0]), len(chunk.rows)))
                 if not len(at):
                     continue
                 hashes = chunk.hashes()
-                prefix, rest = run_hashes(hashes, ANCHOR)[at], run_hashes(hashes, WINDOW - ANCHOR)[at + ANCHOR]
+                edges = (0, *STEPS, WINDOW)
+                symbols = [run_hashes(hashes, hi - lo)[at + lo] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
                 text = np.searchsorted(chunk.first, at, "right") - 1
                 doc, place = ids[chunk.rows[text]], at - chunk.first[text]
-                order = np.lexsort((place, doc, rest, prefix))
-                prefix, rest, doc, place = prefix[order], rest[order], doc[order], place[order]
-                several, smallest, first = _settle((prefix, rest), doc)
+                order = np.lexsort((place, doc, *symbols[::-1]))
+                symbols, doc, place = [s[order] for s in symbols], doc[order], place[order]
+                several, smallest, first = _settle(tuple(symbols), doc)
+                # Of equal suffixes one of the smallest document goes on, for a yet smaller one may be elsewhere; so do its others, to be judged then.
+                yield _batch(_SUFFIX, *(s[smallest] for s in symbols), doc[smallest], place[smallest], place[smallest] + 1)
                 later = several & ~smallest
-                d, s, e = _spans(doc[later], place[later], np.ones(later.sum(), np.int64))
-                if len(d):
-                    yield _bucketed(1, (d % buckets).astype(np.int64), np.zeros(len(d)), d, s, e - s)
-                # Of equal suffixes the smallest document's go on, for a yet smaller one may be elsewhere.
-                send = smallest
-                prefix, rest, doc, place = prefix[send], rest[send], doc[send], place[send]
-                long = shared.value[(prefix >> np.uint64(64 - _COUNTERS_LOG2)).astype(np.int64)]
-                name = np.where(long, prefix ^ (rest * np.uint64(0x9E3779B97F4A7C15)), prefix)
-                order = np.argsort(name % np.uint64(buckets), kind="stable")
-                bucket = (name % np.uint64(buckets)).astype(np.int64)
-                yield _suffix_rows(bucket, prefix, rest, doc, place)
-
-    return joined.mapInArrow(scan, _RECORD)
-
-
-def _suffix_rows(bucket: np.ndarray, prefix: np.ndarray, rest: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """Records whose keys hold each suffix's two symbols in turn."""
-    order = np.argsort(bucket, kind="stable")
-    names, counts = np.unique(bucket, return_counts=True)
-    keys = np.stack([prefix[order], rest[order]], 1).ravel().view(np.int64)
-    n = len(names)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.zeros(n, np.int32)), pa.array(names.astype(np.int32)), lists(keys, 2 * counts), lists(doc[order], counts), lists(place[order].astype(np.int32), counts), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.bool_()))],
-        names=[x.split()[0] for x in _RECORD.split(", ")],
-    )
-
-
-def repeats(records: DataFrame, buckets: int) -> DataFrame:
-    """Windows that a smaller document has (kind 1), from the subtrees of each bucket's prefixes."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for table in _by_bucket(batches):
-            symbols = _flat(table, "keys").reshape(-1, 2)
-            doc, place = _flat(table, "docs"), _flat(table, "starts")
-            order = np.lexsort((doc, symbols[:, 1], symbols[:, 0]))
-            prefix, rest, doc, place = symbols[order, 0], symbols[order, 1], doc[order], place[order]
-            several, smallest, _ = _settle((prefix, rest), doc)
-            later = several & ~smallest
-            yield _spans(doc[later], place[later], np.ones(later.sum(), np.int64))
-
-    return _dealt(records.filter("kind = 0").select("bucket", "keys", "docs", "starts")).mapInArrow(lambda batches: _gathered(found(batches), buckets), _RECORD)
+                d, s, e = _spans(doc[later], place[later], place[later] + 1)
+                known = _batch(_SUFFIX, *[np.zeros(len(d), np.int64)] * 3, d, s, e)
+                for k, name in enumerate("abc"):
+                    known = known.set_column(k, name, pa.nulls(len(d), pa.int64()))
+                yield known
+
+    return joined.mapInArrow(scan, _SUFFIX)
+
+
+def by_prefix(found: DataFrame, group: int) -> DataFrame:
+    """Suffixes with ``prefix``, a hash of as many symbols as it takes for ``group`` suffixes at most to share them; the whole window at last."""
+    spark = found.sparkSession
+    prefix, rows = F.xxhash64("a"), found
+    for n, symbols in enumerate((["a"], ["a", "b"])):
+        large = materialize(rows.groupBy(*symbols).count().filter(F.col("count") > group).select(*[F.col(s).alias(f"_{s}") for s in symbols], F.lit(True).alias(f"_long{n}")))
+        if large.isEmpty():
+            break
+        same = [F.col(s) == F.col(f"_{s}") for s in symbols]
+        # No more rows than a group's share of all suffixes.
+        marked = found.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, same, "left").drop(*[f"_{s}" for s in symbols])
+        prefix = F.when(F.coalesce(f"_long{n}", F.lit(False)), F.xxhash64("a", "b", "c") if n else F.xxhash64("a", "b")).otherwise(prefix)
+        found = marked
+        rows = marked.filter(f"_long{n}")
+    return found.withColumn("prefix", prefix).select("prefix", "a", "b", "c", "doc", "start")
+
+
+def subtrees(dealt: DataFrame) -> DataFrame:
+    """Windows that a smaller document has, from suffixes sorted by their symbols and document."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf, smallest = None, None  # the symbols of the row before, and the smallest document of its node
+        for batch in batches:
+            if not len(batch):
+                continue
+            symbols = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            doc, place = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            before = np.concatenate([symbols[:, :1] if leaf is None else leaf, symbols[:, :-1]], 1)
+            same = symbols == before
+            # Words that each leaf has in common with the one before: the depth of the node at which they part.
+            common = np.where(~same[0], 0, np.where(~same[1], STEPS[0], np.where(~same[2], STEPS[1], WINDOW)))
+            if leaf is None:
+                common[0] = 0
+            node = np.cumsum(common < WINDOW)  # 0 is the node that the batch before ended in
+            first = np.flatnonzero(common < WINDOW)
+            least = np.concatenate(([smallest if smallest is not None else 0], doc[first]))
+            later = doc != least[node]
+            yield _batch(_SPAN, *_spans(doc[later], place[later], place[later] + 1))
+            leaf, smallest = symbols[:, -1:], int(least[node[-1]])
+
+    return dealt.select("a", "b", "c", "doc", "start").mapInArrow(scan, _SPAN)
+
+
+# What is left
 
 
 def _cut(spans: list | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +320,7 @@ def _cut(spans: list | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @F.pandas_udf(T.StringType())
 def _kept_text(text: pd.Series, spans: pd.Series) -> pd.Series:
-    """The text without the words in the spans, and without the space that follows them; null where there are no spans."""
+    """The text without the words in the spans, and without the space that follows them."""
     out: list[str | None] = [None] * len(text)
     for i, (t, p) in enumerate(zip(text, spans, strict=True)):
         if t is None or p is None:
@@ -308,34 +337,39 @@ def _kept_text(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def _removed(spans: F.Column, n_words: F.Column) -> F.Column:
+def _removed(spans: Column, n_words: Column) -> Column:
     """Words that the windows in the spans cover."""
     ends = F.transform(F.sequence(F.lit(0), (F.size(spans) / 2).cast("int") - 1), lambda i: F.struct(F.get(spans, 2 * i).cast("long").alias("s"), F.least(F.get(spans, 2 * i + 1).cast("long") + (WINDOW - 1), n_words).alias("e")))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("at"))
     return F.aggregate(ends, start, lambda a, x: F.struct((a.n + F.greatest(F.lit(0).cast("long"), x.e - F.greatest(x.s, a["at"]))).alias("n"), F.greatest(a["at"], x.e).alias("at")), lambda a: a.n)
 
 
+def repeated_spans(docs: DataFrame, doc_id: str, text: str, group: int = GROUP) -> DataFrame:
+    """``_doc`` and ``_spans``, the ranges of windows of each document that a smaller one has."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
+    seen = materialize(spans_by_document(candidates(materialize(window_names(docs, "id", "text")))))
+    some = maybe_in(docs, F.col("id"), seen.select("_doc"), "maybe").filter("maybe").select("id", "text")
+    joined = some.join(seen.hint("merge"), F.col("id") == F.col("_doc")).select("id", "text", "_spans")
+    found = materialize(suffixes(joined))
+    dealt = by_prefix(found.filter("a IS NOT NULL"), group).repartition(partitions(docs.sparkSession), "prefix").sortWithinPartitions("a", "b", "c", "doc")
+    return materialize(spans_by_document(subtrees(dealt).union(found.filter("a IS NULL").select("doc", "start", "end"))))
+
+
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept_text``, the text without the words that go."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.drop(*[c for c in ("n_words", "n_removed", "kept_text") if c in docs.columns])
-    buckets = _SPREAD * partitions(spark)
-    names = materialize(window_names(docs, doc_id, text, buckets))
-    counts = names.filter("kind = 2").select(F.explode(F.arrays_zip("keys", "docs")).alias("x")).groupBy("x.keys").agg(F.sum("x.docs").alias("n")).filter(F.col("n") > group).collect()
-    long_prefixes = np.zeros(1 << _COUNTERS_LOG2, bool)  # a row for each counter at most
-    long_prefixes[[r["keys"] for r in counts]] = True
-    seen = spans_by_document(names.filter("kind = 1").unionByName(candidates(names, buckets)))
-    seen = materialize(seen)
-    joined = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).join(seen.hint("merge"), F.col("_id") == F.col("_doc")).select("_id", "_text", "spans")
-    found = materialize(suffixes(joined, long_prefixes, buckets))
-    gone = materialize(spans_by_document(found.filter("kind = 1").unionByName(repeats(found, buckets))))
-    gone = gone.select(F.col("_doc"), F.col("spans").alias("_spans"))
-    full = docs.join(gone.hint("merge"), F.col(doc_id).cast("long") == F.col("_doc"), "left")
+    integer_ids(docs, doc_id)
+    docs = docs.drop(*[c for c in _ADDED if c in docs.columns])
+    gone = repeated_spans(docs, doc_id, text, group)
+    # The columns travel as one, so that none clashes with those of the join.
     n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long")
-    full = full.withColumn("n_words", n_words).withColumn("n_removed", F.when(F.col("_spans").isNull(), F.lit(0)).otherwise(_removed(F.col("_spans"), F.col("n_words"))).cast("long"))
-    part = F.when(F.col("_spans").isNotNull(), F.col(text))
-    return full.withColumn("kept_text", F.coalesce(_kept_text(part, F.col("_spans")), F.col(text))).drop("_doc", "_spans")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("long").alias("id"), n_words.alias("n_words"))
+    body = F.col("row").getField(text)
+    flagged = maybe_in(packed, F.col("id"), gone.select("_doc"), "maybe")
+    whole = flagged.filter("NOT maybe").select("row", "n_words", F.lit(0).cast("long").alias("n_removed"), body.alias("kept_text"))
+    cut = flagged.filter("maybe").join(gone.hint("merge"), F.col("id") == F.col("_doc"), "left")
+    n_removed = F.when(F.col("_spans").isNull(), F.lit(0)).otherwise(_removed(F.col("_spans"), F.col("n_words"))).cast("long")
+    kept = F.coalesce(_kept_text(F.when(F.col("_spans").isNotNull(), body), F.col("_spans")), body)
+    return whole.unionAll(cut.select("row", "n_words", n_removed.alias("n_removed"), kept.alias("kept_text"))).select("row.*", *_ADDED)
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
