@@ -4,16 +4,16 @@ A window is ``WINDOW`` consecutive words of one document. A word goes if a windo
 document with a smaller id. Windows are judged on the input.
 
 1. Pruning. Each window is named by the smallest hash among its runs of ``STEPS[0]`` words, and consecutive windows
-   of one name are one record, about one for each 18 words. A name that only one document holds rules out all its
+   of one name are one record, about one for each 14 words. A name that only one document holds rules out all its
    windows; what stays are the candidate suffixes.
-2. Symbols. Of a suffix, the words up to each depth in ``STEPS`` make one 64-bit symbol, so its first ``WINDOW`` words are a
-   string of three. Suffixes equal to that depth agree in all 192 bits.
-3. Partition. Suffixes are dealt by a prefix of variable length. It is one symbol long; where more than ``group`` suffixes, counted
-   exactly, share a prefix, theirs are lengthened by a symbol, and again.
-4. Subtrees. A partition's suffixes come sorted by their symbols, which puts its prefixes' subtrees in order; the common prefix
+2. Symbols. Of a suffix, the words up to each depth in ``STEPS`` make one symbol, so its first ``WINDOW`` words are a
+   string of three, of 64, 32 and 32 bits. Suffixes are equal to that depth if these agree (two that differ do so once in 2**128).
+3. Partition. Suffixes are dealt by a prefix of one symbol. Where more than ``group`` suffixes share a prefix, they are set
+   aside, dealt again by a prefix of two symbols, and so on. So what is worked on at a time has a bound, whatever the data's size.
+4. Subtrees. The suffixes of a prefix come sorted by their symbols, which puts its subtree in order; the common prefix
    of neighbours tells how deep the node is at which they part. A node of depth ``WINDOW`` is a run of neighbours that agree
    so far. If its leaves are of several documents, it is a repeat, and all but its smallest document's leaves are repeated
-   windows. A subtree is read leaf by leaf and never held, so memory doesn't grow with a group.
+   windows. Of a prefix as long as a window only the smallest document is held.
 
 Before any shuffle, equal names and equal suffixes of one chunk of text are combined to the smallest document's, the others being
 settled on the spot. So a passage that a third of all documents hold sends one row for each chunk, not for each document.
@@ -39,27 +39,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import BROADCAST_ROWS, integer_ids, materialize, partitions
+from .scratch import integer_ids, materialize, partitions
 from .words import NOT_SPACE, Chunk, chunks, lists, run_hashes, whole_runs
 
 WINDOW = 50
 #: Words of the first symbol, and of the first two; all three are a window.
-STEPS = (16, 32)
+STEPS = (24, 37)
 GROUP = 1_000_000
 MOST_BITS = 1 << 26
 _WORD = r"[^\x20\x09-\x0D]+"
 _ADDED = ("n_words", "n_removed", "kept_text")
-_SUFFIX = "a long, b long, c long, doc long, start int, end int"
+_SUFFIX = "a long, b int, c int, doc long, start int, end int"
+_FIELDS = ["a", "b", "c", "doc", "start", "end"]
 
 
 def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     """A batch of numbers by a schema of longs, ints and booleans."""
     kinds = {"long": np.int64, "int": np.int32, "boolean": bool}
     fields = [x.split() for x in schema.split(", ")]
-    arrays = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(kinds[k], copy=False)) for c, (_, k) in zip(columns, fields, strict=True)]
+    arrays = [pa.array(c.view(np.int64).astype(kinds[k], copy=False) if c.dtype == np.uint64 else c.astype(kinds[k], copy=False)) for c, (_, k) in zip(columns, fields, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
 
 
+def _given(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    """Columns of a batch that Spark gave, by a schema like that of the batches made here."""
+    return pa.RecordBatch.from_arrays([batch.column(n) for n in names], names=names)
+
+
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -168,6 +174,10 @@ def candidates(records: DataFrame) -> DataFrame:
         name, first, open_ = None, None, []
         shared = False
         for batch in batches:
+            known = batch.column(0).null_count  # nulls come first
+            if known:
+                yield _given(batch.slice(0, known), ["doc", "start", "end"])
+            batch = batch.slice(known)
             names, docs, starts, ends = (batch.column(k).to_numpy() for k in range(4))
             several = batch.column(4).to_numpy(zero_copy_only=False)
             if not len(names):
@@ -193,8 +203,8 @@ def candidates(records: DataFrame) -> DataFrame:
             open_ = [] if shared else [*(open_ if goes_on else []), _batch(_SPAN, docs[tail], starts[tail], ends[tail])]
             name = names[-1]
 
-    named = records.filter("name IS NOT NULL").repartition(partitions(records.sparkSession), "name").sortWithinPartitions("name", "doc")
-    return named.mapInArrow(scan, _SPAN).union(records.filter("name IS NULL").select("doc", "start", "end"))
+    dealt = records.repartition(partitions(records.sparkSession), F.coalesce("name", "doc")).sortWithinPartitions("name", "doc")
+    return dealt.mapInArrow(scan, _SPAN)
 
 
 def spans_by_document(ranges: DataFrame) -> DataFrame:
@@ -248,6 +258,7 @@ def suffixes(joined: DataFrame) -> DataFrame:
                 hashes = chunk.hashes()
                 edges = (0, *STEPS, WINDOW)
                 symbols = [run_hashes(hashes, hi - lo)[at + lo] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+                symbols[1:] = [s.view(np.int64).astype(np.int32) for s in symbols[1:]]
                 text = np.searchsorted(chunk.first, at, "right") - 1
                 doc, place = ids[chunk.rows[text]], at - chunk.first[text]
                 order = np.lexsort((place, doc, *symbols[::-1]))
@@ -256,56 +267,116 @@ def suffixes(joined: DataFrame) -> DataFrame:
                 # Of equal suffixes one of the smallest document goes on, for a yet smaller one may be elsewhere; so do its others, to be judged then.
                 yield _batch(_SUFFIX, *(s[smallest] for s in symbols), doc[smallest], place[smallest], place[smallest] + 1)
                 later = several & ~smallest
-                d, s, e = _spans(doc[later], place[later], place[later] + 1)
-                known = _batch(_SUFFIX, *[np.zeros(len(d), np.int64)] * 3, d, s, e)
-                for k, name in enumerate("abc"):
-                    known = known.set_column(k, name, pa.nulls(len(d), pa.int64()))
-                yield known
+                yield _ranges(*_spans(doc[later], place[later], place[later] + 1))
 
     return joined.mapInArrow(scan, _SUFFIX)
 
 
-def by_prefix(found: DataFrame, group: int) -> DataFrame:
-    """Suffixes with ``prefix``, a hash of as many symbols as it takes for ``group`` suffixes at most to share them; the whole window at last."""
-    spark = found.sparkSession
-    prefix, rows = F.xxhash64("a"), found
-    for n, symbols in enumerate((["a"], ["a", "b"])):
-        large = materialize(rows.groupBy(*symbols).count().filter(F.col("count") > group).select(*[F.col(s).alias(f"_{s}") for s in symbols], F.lit(True).alias(f"_long{n}")))
-        if large.isEmpty():
-            break
-        same = [F.col(s) == F.col(f"_{s}") for s in symbols]
-        # No more rows than a group's share of all suffixes.
-        marked = found.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, same, "left").drop(*[f"_{s}" for s in symbols])
-        prefix = F.when(F.coalesce(f"_long{n}", F.lit(False)), F.xxhash64("a", "b", "c") if n else F.xxhash64("a", "b")).otherwise(prefix)
-        found = marked
-        rows = marked.filter(f"_long{n}")
-    return found.withColumn("prefix", prefix).select("prefix", "a", "b", "c", "doc", "start")
-
-
-def subtrees(dealt: DataFrame) -> DataFrame:
-    """Windows that a smaller document has, from suffixes sorted by their symbols and document."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, smallest = None, None  # the symbols of the row before, and the smallest document of its node
-        for batch in batches:
-            if not len(batch):
+def _nodes(symbols: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Ranges of windows that a smaller document has, from sorted suffixes of whole subtrees."""
+    same = symbols[:, 1:] == symbols[:, :-1]
+    # Words that each leaf has in common with the one before: the depth of the node at which they part.
+    common = np.where(~same[0], 0, np.where(~same[1], STEPS[0], np.where(~same[2], STEPS[1], WINDOW)))
+    first = np.flatnonzero(np.concatenate(([True], common < WINDOW)))
+    later = doc != np.repeat(doc[first], np.diff(np.append(first, len(doc))))
+    return _ranges(*_spans(doc[later], place[later], place[later] + 1))
+
+
+def _ranges(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    """Ranges of windows as rows without symbols."""
+    out = _batch(_SUFFIX, *[np.zeros(len(d), np.int64)] * 3, d, s, e)
+    for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32())):
+        out = out.set_column(k, "abc"[k], pa.nulls(len(d), kind))
+    return out
+
+
+def _arrays(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    column = lambda k: np.concatenate([b.column(k).to_numpy() for b in batches])
+    return np.stack([column(k).astype(np.int64) for k in range(3)]), column(3), column(4)
+
+
+def _short_prefixes(batches: Iterator[pa.RecordBatch], length: int, group: int) -> Iterator[pa.RecordBatch]:
+    """Ranges of repeated windows, and all suffixes of a prefix of ``length`` symbols that more than ``group`` share, as they are."""
+    held: list[pa.RecordBatch] = []
+    size, large, prefix = 0, False, None
+
+    def judged(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, doc, place = _arrays(parts)
+        change = np.concatenate(([True], (symbols[:length, 1:] != symbols[:length, :-1]).any(0)))
+        sizes = np.bincount(np.cumsum(change) - 1)
+        small = np.repeat(sizes <= group, sizes)
+        if small.any():
+            yield _nodes(symbols[:, small], doc[small], place[small])
+        if not small.all():
+            on = ~small
+            yield _batch(_SUFFIX, *symbols[:, on], doc[on], place[on], place[on] + 1)
+
+    for batch in batches:
+        known = batch.column(0).null_count  # nulls come first
+        if known:
+            yield _given(batch.slice(0, known), _FIELDS)
+        batch = _given(batch.slice(known), _FIELDS)
+        if not len(batch):
+            continue
+        keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(length)])
+        change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        goes_on = int(change[0]) if len(change) else len(batch)
+        head = goes_on if prefix is not None and (keys[:, 0] == prefix).all() else 0
+        if head:
+            part = batch.slice(0, head)
+            held, size = ([] if large else [*held, part]), size + head
+            if large:
+                yield part
+            elif size > group:
+                yield from held
+                held, large = [], True
+            if head == len(batch):
                 continue
-            symbols = np.stack([batch.column(k).to_numpy() for k in range(3)])
-            doc, place = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            before = np.concatenate([symbols[:, :1] if leaf is None else leaf, symbols[:, :-1]], 1)
-            same = symbols == before
-            # Words that each leaf has in common with the one before: the depth of the node at which they part.
-            common = np.where(~same[0], 0, np.where(~same[1], STEPS[0], np.where(~same[2], STEPS[1], WINDOW)))
-            if leaf is None:
-                common[0] = 0
-            node = np.cumsum(common < WINDOW)  # 0 is the node that the batch before ended in
-            first = np.flatnonzero(common < WINDOW)
-            least = np.concatenate(([smallest if smallest is not None else 0], doc[first]))
-            later = doc != least[node]
-            yield _batch(_SPAN, *_spans(doc[later], place[later], place[later] + 1))
-            leaf, smallest = symbols[:, -1:], int(least[node[-1]])
-
-    return dealt.select("a", "b", "c", "doc", "start").mapInArrow(scan, _SPAN)
+        if held:
+            yield from judged(held)
+        last = int(change[-1]) if len(change) else 0
+        if last > head:
+            yield from judged([batch.slice(head, last - head)])
+        prefix, held, size, large = keys[:, last], [batch.slice(last)], len(batch) - last, False
+        if size > group:
+            yield from held
+            held, large = [], True
+    if held:
+        yield from judged(held)
+
+
+def _whole_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of repeated windows from sorted suffixes of which any number may be equal."""
+    leaf, smallest = None, None  # the symbols of the row before, and the smallest document of its node
+    for batch in batches:
+        known = batch.column(0).null_count
+        if known:
+            yield _given(batch.slice(0, known), _FIELDS)
+        batch = _given(batch.slice(known), _FIELDS)
+        if not len(batch):
+            continue
+        symbols, doc, place = _arrays([batch])
+        new = np.concatenate(([leaf is None or bool((symbols[:, 0] != leaf).any())], (symbols[:, 1:] != symbols[:, :-1]).any(0)))
+        least = np.concatenate(([smallest if smallest is not None else 0], doc[new]))[np.cumsum(new)]
+        later = doc != least
+        yield _ranges(*_spans(doc[later], place[later], place[later] + 1))
+        leaf, smallest = symbols[:, -1], int(least[-1])
+
+
+def subtrees(found: DataFrame, group: int) -> DataFrame:
+    """Ranges of windows that a smaller document has, from suffixes and what was settled before."""
+    out, rows = None, found
+    for length in (1, 2, 3):
+        symbols = ["a", "b", "c"][:length]
+        prefix = F.when(F.col("a").isNull(), F.xxhash64("doc")).otherwise(F.xxhash64(*symbols))
+        dealt = rows.repartition(partitions(found.sparkSession), prefix).sortWithinPartitions("a", "b", "c", "doc")
+        if length == 3:
+            return out.unionAll(dealt.mapInArrow(_whole_windows, _SUFFIX).select("doc", "start", "end"))
+        judged = materialize(dealt.mapInArrow(lambda batches, n=length: _short_prefixes(batches, n, group), _SUFFIX))
+        ranges, rows = judged.filter("a IS NULL").select("doc", "start", "end"), judged.filter("a IS NOT NULL")
+        out = ranges if out is None else out.unionAll(ranges)
+        if rows.isEmpty():
+            return out
 
 
 # What is left
@@ -347,12 +418,10 @@ def _removed(spans: Column, n_words: Column) -> Column:
 def repeated_spans(docs: DataFrame, doc_id: str, text: str, group: int = GROUP) -> DataFrame:
     """``_doc`` and ``_spans``, the ranges of windows of each document that a smaller one has."""
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
-    seen = materialize(spans_by_document(candidates(materialize(window_names(docs, "id", "text")))))
+    seen = materialize(spans_by_document(candidates(window_names(docs, "id", "text"))))
     some = maybe_in(docs, F.col("id"), seen.select("_doc"), "maybe").filter("maybe").select("id", "text")
     joined = some.join(seen.hint("merge"), F.col("id") == F.col("_doc")).select("id", "text", "_spans")
-    found = materialize(suffixes(joined))
-    dealt = by_prefix(found.filter("a IS NOT NULL"), group).repartition(partitions(docs.sparkSession), "prefix").sortWithinPartitions("a", "b", "c", "doc")
-    return materialize(spans_by_document(subtrees(dealt).union(found.filter("a IS NULL").select("doc", "start", "end"))))
+    return materialize(spans_by_document(subtrees(suffixes(joined), group)))
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
