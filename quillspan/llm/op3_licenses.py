@@ -1,21 +1,21 @@
 """Licence scans: phrases, and an exact set-similarity join of text blocks with licence templates.
 
-Blocks are the lines of a text; a line of more than ``BLOCK_WORDS`` words gives overlapping blocks of that many, so
-no part of a text is left out. A block meets a template if it holds at least the share ``THRESHOLD`` of the
-template's distinct words. As notices may be wrapped, runs of words across line feeds are blocks too: for each template
-all runs of ``SLACK`` times its words, so that scattered words of other lines don't make a notice. They are sought in
-windows that lie half over each other and hold every run of the longest template. The join is exact:
-
-* words are ordered by how many blocks of the whole corpus hold them, rarest first (counted over all documents);
-* prefix filter: a block that lacks all of the first ``n - need + 1`` words of a template's n can't have ``need``;
-* length filter: a block of fewer than ``need`` distinct words can't either;
-* positional filter: from the first common word in the order, what is left of template and block bounds the overlap;
-* what passes is counted out.
+A block is any run of words of a text, over line ends, ``SLACK`` times as long as the template; so it has room for comment marks
+and the like, and scattered words of a long text don't make a notice. A text meets a template if some block holds at least the
+share ``THRESHOLD`` of the template's distinct words. Templates may be sentences or whole licences. Blocks are sought in
+windows that lie half over each other and hold every block of the longest template. The join is exact:
+
+* words are ordered by how many windows of the whole corpus hold them, rarest first (counted over all documents);
+* prefix filter: a window that lacks all of the first ``n - need + 1`` words of a template's n can't hold ``need``;
+* length filter: a window of fewer than ``need`` distinct words can't either;
+* positional filter: from the first common word in the order, what is left of template and window bounds the overlap;
+* what passes is counted out, block by block.
 
 Templates are the stated query set, given as a parameter and broadcast with the plan: their number doesn't grow with the data.
 
 Cases: null is an empty text: no words, no labels, score 0. Equal words of a block count once. Templates of one label
-may be several. Repeated rows are scanned each. Null and repeated doc_ids stay as they are.
+may be several; one without words is met by nothing. Without templates only phrases are found. Repeated rows are scanned each. Null
+and repeated doc_ids stay as they are.
 """
 
 from __future__ import annotations
@@ -44,10 +44,21 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    # Whole licences.
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
 )
 THRESHOLD = 0.8
-BLOCK_WORDS = 128
-#: Words of a run across lines for each word of a template: room for comment marks and the like.
+#: Words of a block for each word of a template.
 SLACK = 1.5
 
 
@@ -69,15 +80,9 @@ def _cut(edges: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return start, np.minimum(start + size, np.repeat(high, more))
 
 
-def _blocks(chunk: Chunk, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The chunk's lines, and windows that hold all its runs of ``longest`` words, each in order and with a word in at most two."""
-    feeds = np.concatenate((np.flatnonzero(chunk.buf == 0x0A), chunk.offsets[1:-1]))
-    first, last = _cut(np.unique(np.concatenate((np.searchsorted(chunk.starts, feeds), [0, len(chunk.starts)]))), BLOCK_WORDS)
-    low, high = _cut(np.unique(chunk.first), 2 * longest)
-    # What lies within a block of lines has nothing new.
-    newest = np.searchsorted(first, low, "right") - 1
-    new = (last[newest] < high) & (last[np.maximum(newest - 1, 0)] < high)
-    return [(first, last), (low[new], high[new])]
+def _windows(chunk: Chunk, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that hold all runs of ``longest`` words of the chunk's texts, in order and with a word in at most two."""
+    return _cut(np.unique(chunk.first), 2 * longest)
 
 
 def _holding(blocks: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -92,7 +97,9 @@ def _holding(blocks: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> Iterat
 
 
 def word_frequencies(docs: DataFrame, text: str, words: list[bytes], longest: int) -> dict[bytes, int]:
-    """How many blocks of all documents hold each of the words; as many rows as words."""
+    """How many windows of all documents hold each of the words; as many rows as words."""
+    if not words:
+        return {}
     hashes = _hash(words)
     order = np.argsort(hashes)
     known, names = hashes[order], [words[i] for i in order]
@@ -104,10 +111,9 @@ def word_frequencies(docs: DataFrame, text: str, words: list[bytes], longest: in
                 h = chunk.hashes()
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 place = np.flatnonzero(known[at] == h)
-                for blocks in _blocks(chunk, longest):
-                    for block, held in _holding(blocks, place):
-                        pairs = np.unique(block * len(known) + at[held])
-                        total += np.bincount(pairs % len(known), minlength=len(known))
+                for block, held in _holding(_windows(chunk, longest), place):
+                    pairs = np.unique(block * len(known) + at[held])
+                    total += np.bincount(pairs % len(known), minlength=len(known))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(known), dtype=np.int32)), pa.array(total)], names=["word", "blocks"])
 
     rows = docs.select(text).mapInArrow(count, "word int, blocks long").groupBy("word").agg(F.sum("blocks").alias("blocks")).collect()
@@ -129,18 +135,20 @@ class Templates:
         self.rank = {w: i for i, w in enumerate(rank)}
         for label, text in templates:
             ordered = sorted(set(_words(text)), key=self.rank.__getitem__)
+            if not ordered:
+                continue
             need = int(np.ceil(threshold * len(ordered) - 1e-9))
             for i in range(len(ordered) - need + 1):
                 self.by_prefix[ordered[i]].append((len(self.sets), i))
             self.sets.append(frozenset(ordered))
             self.labels.append(label)
             self.need.append(need)
-        self.prefix = np.sort(_hash(list(self.by_prefix)))
-        self.runs = [_run(t) for _, t in templates]
+        self.prefix = np.sort(_hash(list(self.by_prefix))) if self.by_prefix else np.empty(0, np.uint64)
+        self.runs = [_run(t) for _, t in templates if _words(t)]
         self.longest = max([1, *self.runs])
 
-    def of(self, words: list[bytes], runs: bool = False) -> Iterator[tuple[str, float]]:
-        """Labels and containment of the templates that the block meets, or one of its runs."""
+    def of(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
+        """Labels and containment of the templates that a block in the window meets."""
         block = set(words)
         common = sorted((w for w in block if w in self.rank), key=self.rank.__getitem__)
         tried = set()
@@ -153,7 +161,7 @@ class Templates:
                 if min(len(self.sets[k]) - j, len(common) - i) < need:
                     continue
                 overlap = len(self.sets[k].intersection(common))
-                if runs and overlap >= need:
+                if overlap >= need:
                     overlap = _most(words, self.sets[k], self.runs[k])
                 if overlap >= need:
                     yield self.labels[k], overlap / len(self.sets[k])
@@ -191,14 +199,14 @@ def _scan(chunk: Chunk, templates: Templates, phrases: list[tuple[np.ndarray, li
                 places[d].append(p - int(chunk.first[d]))
                 base[d].add(label)
                 score[d] = 1.0
-    known = np.minimum(np.searchsorted(templates.prefix, h), len(templates.prefix) - 1)
-    begins = np.flatnonzero(templates.prefix[known] == h)
-    for runs, blocks in enumerate(_blocks(chunk, templates.longest)):
-        held = np.unique(np.concatenate([np.zeros(0, np.int64), *(b for b, _ in _holding(blocks, begins))]))
-        for b in held.tolist():
-            lo, hi = int(blocks[0][b]), int(blocks[1][b])
+    if len(templates.prefix):
+        known = np.minimum(np.searchsorted(templates.prefix, h), len(templates.prefix) - 1)
+        begins = np.flatnonzero(templates.prefix[known] == h)
+        windows = _windows(chunk, templates.longest)
+        held = np.unique(np.concatenate([np.zeros(0, np.int64), *(b for b, _ in _holding(windows, begins))]))
+        for lo, hi in zip(windows[0][held].tolist(), windows[1][held].tolist(), strict=True):
             d = int(np.searchsorted(chunk.first, lo, "right")) - 1
-            for label, share in templates.of([chunk.word(i) for i in range(lo, hi)], bool(runs)):
+            for label, share in templates.of([chunk.word(i) for i in range(lo, hi)]):
                 more[d].add(label)
                 score[d] = max(score[d], share)
     join = lambda x: ",".join(sorted(x))
