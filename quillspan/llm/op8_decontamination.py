@@ -7,7 +7,8 @@ and comparing the words themselves confirms an occurrence. All documents of a ba
 shift, so the loop runs over numpy arrays and skips what the table skips.
 
 The benchmark is the stated query set. It is dealt into blocks of at most ``block_bytes`` of text, measured first,
-and each block's tables are broadcast; one scan for each block follows another, without a shuffle.
+and each block's tables are broadcast. One block takes one scan without a shuffle. Several are searched by jobs one after another, so
+that no worker holds the tables of two; each writes the rows it hits, by a number that rows are given, and these are merged.
 
 Cases: a null or empty text, or one without words, has no hits. Null items and items without words have no pattern.
 Items that share a window are all named. A null item_id searches like others but has no name to list. Equal
@@ -16,6 +17,7 @@ documents give equal rows, however many blocks there are. An empty benchmark lea
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import materialize
 from .words import ALNUM, Chunk, chunks, covered, lists, run_hashes, sums_by_text
 
 WINDOW = 10
@@ -142,31 +145,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     ``keep_text``: whether the text comes along.
     """
-    spark = docs.sparkSession
-    docs = docs.drop(*FOUND, "_spans", "_items")
+    docs = docs.drop(*FOUND)
     queries = benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("t"))
     held = queries.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n_blocks = -(-held // block_bytes) or 1
-    found = docs
+    if n_blocks == 1:
+        return _search(docs, queries, text, window, keep_text)
+    # Rows are numbered once and for all, as the same id may be on several.
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("row")).withColumn("_row", F.monotonically_increasing_id()))
+    texts = rows.select("_row", F.col("row").getField(text).alias("text"))
+    parts = []
     for b in range(n_blocks):
-        part = queries if n_blocks == 1 else queries.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b)
-        shared = spark.sparkContext.broadcast(searches([(r.i, r.t) for r in part.toLocalIterator()], window))
-        fields = [f for f in found.schema.fields if f.name not in FOUND and (f.name != text or keep_text or b + 1 < n_blocks)]
-        schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in FOUND.items())])
-        kept = [f.name for f in fields]
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, kept=kept) -> Iterator[pa.RecordBatch]:
-            tables, names = shared.value
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *_scan(batch, text, tables, names)], names=[*kept, *FOUND])
-
-        found = found.mapInArrow(scan, schema)
-        if b:
-            spans, items = _merged_spans(F.concat("_spans", "spans")), F.array_sort(F.array_distinct(F.concat("_items", "items")))
-            found = found.withColumns({"spans": spans, "items": items}).drop("_spans", "_items")
-        if b + 1 < n_blocks:  # the next block's scan adds to what this one found
-            found = found.withColumnsRenamed({"spans": "_spans", "items": "_items"})
-    return found
+        found = _search(texts, queries.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b), "text", window, False)
+        parts.append(materialize(found if b == 0 else found.filter(F.size("spans") > 0)))
+    every = functools.reduce(DataFrame.unionByName, parts)
+    lists_of = lambda c: F.flatten(F.collect_list(c))
+    merged = every.groupBy(F.col("_row").alias("_of")).agg(F.max("n_words").alias("n_words"), lists_of("spans").alias("spans"), lists_of("items").alias("items"))
+    merged = merged.select("_of", "n_words", _merged_spans(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    out = rows.join(merged, F.col("_row") == F.col("_of")).select("row", *FOUND).select("row.*", *FOUND)
+    return out if keep_text else out.drop(text)
+
+
+def _search(docs: DataFrame, queries: DataFrame, text: str, window: int, keep_text: bool) -> DataFrame:
+    """One scan for all the queries (i, t)."""
+    shared = docs.sparkSession.sparkContext.broadcast(searches([(r.i, r.t) for r in queries.toLocalIterator()], window))
+    fields = [f for f in docs.schema.fields if f.name != text or keep_text]
+    kept = [f.name for f in fields]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, names = shared.value
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *_scan(batch, text, tables, names)], names=[*kept, *FOUND])
+
+    return docs.mapInArrow(scan, T.StructType([*fields, *(T.StructField(n, t) for n, t in FOUND.items())]))
 
 
 def _merged_spans(spans: F.Column) -> F.Column:
