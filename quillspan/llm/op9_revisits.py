@@ -11,7 +11,8 @@ response. A resolved revisit takes the response's headers, replaced by its own w
 them.
 
 Cases: records of one time go by id; a response counts for a revisit of the same time only if its id is smaller. Null URLs
-are one URL of their own, '', null times come first. Null headers are none. Records other than responses (status 200) and
+are one URL of their own, '', null times come first. Null headers are none. Header names count in
+lower case; values of one name are one, joined by ", " in order; null values are none. Ids and times are integers or timestamps. Records other than responses (status 200) and
 revisits are ignored. Repeated rows are resolved each. Further columns are ignored.
 """
 
@@ -41,13 +42,21 @@ def canonical(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(F.lit("")))
 
 
+def _by_name(entries: Column) -> Column:
+    """Headers by name in lower case; real responses repeat names."""
+    entries = F.filter(entries, lambda e: e["value"].isNotNull())
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    own = lambda n: F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == n), lambda e: e["value"])
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(own(n), ", ")))
+
+
 _OUT = "record_id long, target_url string, _head boolean, response_id long, _headers map<string,string>, _own map<string,string>, _part int"
 
 
 def resolve(records: DataFrame, record_id: str = "record_id", url: str = "url", time: str = "ts", kind: str = "kind", headers: str = "headers") -> DataFrame:
     """Of records (``kind`` response or revisit), the revisits: ``record_id``, ``target_url``, ``response_id``, ``state``, ``headers``."""
     spark = records.sparkSession
-    lowered = F.transform_keys(F.coalesce(F.col(headers), F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
+    lowered = _by_name(F.map_entries(F.coalesce(F.col(headers), F.create_map().cast("map<string,string>"))))
     cut = records.filter(F.col(kind).isin("response", "revisit")).select(canonical(F.col(url)).alias("u"), F.col(time).cast("long").alias("t"), F.col(record_id).cast("long").alias("i"), (F.col(kind) == "response").alias("full"), lowered.alias("h"))
     order = ["u", "t", "i", "full"]
     dealt = cut.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id())
@@ -99,19 +108,27 @@ def _judged(joined: DataFrame) -> DataFrame:
     return joined.withColumn("state", state).select("record_id", "target_url", "response_id", "state", F.when(state == "resolved", F.map_concat(kept, permitted)).otherwise(own).alias("headers"))
 
 
+#: Ticks between two crawls, more than any page's id.
+_CRAWL = 1 << 40
+
+
 def crawl(pages: DataFrame) -> DataFrame:
-    """Records of two crawls of ``pages``: a full response for each page at its id, and a revisit of each page's URL in
-    another spelling, one tick later. The revisit's ETag is the page's own, but where the page's length is a multiple of
-    7 the page has changed since, and where it is a multiple of 11 another address is asked that had no response."""
+    """Records of crawls of ``pages``, by n, the length of the page. All pages are answered in the first crawl, and those of n % 3 = 0, changed,
+    in the second. After each crawl all are asked again in another spelling, but where n % 11 = 0 at an address that had no response.
+    Then n % 5 = 0 sends no validator, n % 5 = 1 only the first date, and the others the latest ETag, or an own one where n % 7 = 0."""
     html, n = F.coalesce("html", F.lit("")), F.length(F.coalesce("html", F.lit("")))
     tag = lambda x: F.concat(F.lit('"'), F.substring(F.sha2(x, 256), 1, 16), F.lit('"'))
-    day = F.date_format(F.date_add(F.lit("2024-01-01"), F.pmod(n, F.lit(300))), "yyyy-MM-dd")
-    full = F.create_map(F.lit("ETag"), tag(html), F.lit("Last-Modified"), day, F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), F.lit("2024-12-01"))
-    now = tag(F.concat(html, F.when(n % 7 == 0, F.lit("!")).otherwise(F.lit(""))))
-    later = F.create_map(F.lit("ETag"), F.concat(F.lit("W/"), now), F.lit("Date"), F.lit("2025-01-01"), F.lit("Content-Type"), F.lit("ignored"))
-    responses = pages.select((2 * F.col("page_id")).alias("record_id"), "url", F.col("page_id").alias("ts"), F.lit("response").alias("kind"), full.alias("headers"))
+    day = lambda k: F.date_format(F.date_add(F.lit("2024-01-01"), F.pmod(n, F.lit(300)) + k), "yyyy-MM-dd")
+    both = F.explode(F.array(F.lit(0), F.lit(1))).alias("k")
+    page = pages.select("page_id", "url", html.alias("html"), both).withColumn("v", F.when((n % 3 == 0) & (F.col("k") == 1), "2").otherwise(""))
+    at = F.col("page_id") + F.col("k") * F.lit(_CRAWL)
+    body = F.concat("html", "v")
+    full = F.create_map(F.lit("ETag"), tag(body), F.lit("Last-Modified"), day(F.col("k")), F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), F.lit("2024-12-01"))
+    responses = page.filter("k = 0 OR v = '2'").select((4 * F.col("page_id") + F.col("k")).alias("record_id"), "url", at.alias("ts"), F.lit("response").alias("kind"), full.alias("headers"))
+    own = F.when(n % 5 > 1, F.concat(F.lit("W/"), tag(F.concat(body, F.when(n % 7 == 0, "!").otherwise("")))))
+    later = F.create_map(F.lit("ETag"), own, F.lit("Last-Modified"), F.when(n % 5 == 1, day(0)), F.lit("Date"), F.lit("2025-01-01"), F.lit("Content-Type"), F.lit("ignored"))
     asked = F.when(n % 11 == 0, F.concat(F.lit("archive."), F.regexp_replace("url", "^[A-Za-z][A-Za-z0-9+.-]*://", ""))).otherwise(F.concat("url", F.lit("#again")))
-    revisits = pages.select((2 * F.col("page_id") + 1).alias("record_id"), asked.alias("url"), (F.col("page_id") + 1).alias("ts"), F.lit("revisit").alias("kind"), later.alias("headers"))
+    revisits = page.select((4 * F.col("page_id") + 2 + F.col("k")).alias("record_id"), asked.alias("url"), (at + 1).alias("ts"), F.lit("revisit").alias("kind"), F.map_filter(later, lambda k, v: v.isNotNull()).alias("headers"))
     return responses.unionByName(revisits)
 
 
@@ -122,24 +139,29 @@ def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH p AS (
-  SELECT page_id, url, coalesce(html, '') AS html, length(coalesce(html, '')) AS n,
-    regexp_replace(regexp_replace(coalesce(trim(url), ''), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages
-), both_kinds AS (
-  SELECT page_id, '"' || substr(sha256(html), 1, 16) || '"' AS tag, strftime(DATE '2024-01-01' + (n % 300)::INT, '%Y-%m-%d') AS day, rest, true AS is_full FROM p
+  SELECT page_id, k, coalesce(html, '') AS html, length(coalesce(html, '')) AS n, CASE WHEN k = 1 AND n % 3 = 0 THEN '2' ELSE '' END AS v, page_id + k * 1099511627776 AS at,
+    regexp_replace(regexp_replace(coalesce(trim(url), ''), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages, (VALUES (0), (1)) t(k)
+), records AS (
+  SELECT 4 * page_id + k AS id, at AS ts, true AS is_full, rest, '"' || substr(sha256(html || v), 1, 16) || '"' AS tag, strftime(DATE '2024-01-01' + (n % 300 + k)::INT, '%Y-%m-%d') AS day
+  FROM p WHERE k = 0 OR v = '2'
   UNION ALL
-  SELECT page_id, '"' || substr(sha256(html || CASE WHEN n % 7 = 0 THEN '!' ELSE '' END), 1, 16) || '"', NULL, CASE WHEN n % 11 = 0 THEN 'archive.' ELSE '' END || rest, false FROM p
+  SELECT 4 * page_id + 2 + k, at + 1, false, CASE WHEN n % 11 = 0 THEN 'archive.' ELSE '' END || rest,
+    CASE WHEN n % 5 > 1 THEN '"' || substr(sha256(html || v || CASE WHEN n % 7 = 0 THEN '!' ELSE '' END), 1, 16) || '"' END,
+    CASE WHEN n % 5 = 1 THEN strftime(DATE '2024-01-01' + (n % 300)::INT, '%Y-%m-%d') END
+  FROM p
 ), q AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www\.', ''), ':(80|443)$', '') AS host,
     regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
-    list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[^=]*|ref|fbclid|gclid|sessionid|sid)(=|$)'))) AS params FROM both_kinds
+    list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[^=]*|ref|fbclid|gclid|sessionid|sid)(=|$)'))) AS params FROM records
 ), c AS (SELECT *, host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS u FROM q
 ), j AS (
-  SELECT v.page_id, v.u, v.tag AS own, arg_max(r.page_id, r.page_id) AS rid, arg_max(r.tag, r.page_id) AS their, arg_max(r.day, r.page_id) AS day
-  FROM c v LEFT JOIN c r ON r.is_full AND r.u = v.u AND (r.page_id < v.page_id + 1 OR (r.page_id = v.page_id + 1 AND 2 * r.page_id < 2 * v.page_id + 1)) WHERE NOT v.is_full GROUP BY ALL
+  SELECT *, last_value(CASE WHEN is_full THEN {'id': id, 'tag': tag, 'day': day} END IGNORE NULLS) OVER (PARTITION BY u ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS r FROM c
+), s AS (
+  SELECT *, CASE WHEN r IS NULL THEN 'orphan' WHEN tag IS NOT NULL THEN CASE WHEN tag = r.tag THEN 'resolved' ELSE 'mismatch' END
+    WHEN day IS NOT NULL THEN CASE WHEN day = r.day THEN 'resolved' ELSE 'mismatch' END ELSE 'unvalidated' END AS state FROM j WHERE NOT is_full
 )
-SELECT (2 * page_id + 1)::BIGINT AS record_id, u AS target_url, (2 * rid)::BIGINT AS response_id,
-  CASE WHEN rid IS NULL THEN 'orphan' WHEN own = their THEN 'resolved' ELSE 'mismatch' END AS state,
-  CASE WHEN own = their THEN 'content-type: text/html' || chr(10) || 'date: 2025-01-01' || chr(10) || 'etag: W/' || own || chr(10) || 'last-modified: ' || day
-    ELSE 'content-type: ignored' || chr(10) || 'date: 2025-01-01' || chr(10) || 'etag: W/' || own END AS merged_headers
-FROM j
+SELECT id::BIGINT AS record_id, u AS target_url, r.id::BIGINT AS response_id, state,
+  concat_ws(chr(10), 'content-type: ' || CASE state WHEN 'resolved' THEN 'text/html' ELSE 'ignored' END, 'date: 2025-01-01',
+    'etag: ' || coalesce('W/' || tag, CASE state WHEN 'resolved' THEN r.tag END), 'last-modified: ' || coalesce(day, CASE state WHEN 'resolved' THEN r.day END)) AS merged_headers
+FROM s
 """
