@@ -6,12 +6,13 @@ log ratio, so it doesn't depend on length. The threshold is fixed by the trusted
 below their median as ``SPREAD`` times the way from the median down to their lowest ``LOW`` share. Every document is
 kept or not by that one number, so the verdict is the same in each run.
 
-Trusted are documents that ``labels`` gives quality 1: at most ``TRUSTED``, those of the smallest hashed ids. This
-is the only bounded sample; the raw counts, scores and verdicts cover every document.
+Trusted are documents that ``labels`` gives quality 1 and not toxic. The trusted multinomial is counted on at most ``TRUSTED`` of them,
+those of the smallest hashed ids. This is the only bounded sample: the raw counts, scores and verdicts cover every document, and the
+threshold every trusted one.
 
 Cases: a null, empty or wordless text has no words, counts 0 and fails the base rules. Without any trusted document
 the ratio says nothing and the base rules alone decide. A null doc_id is never trusted. Repeated rows are scored
-each. Further columns are ignored.
+each. Further columns are ignored. Ids are integers.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import integer_ids, materialize
 from .words import NOT_SPACE, Chunk, chunks, covered, run_hashes, sums_by_text, whole_runs
 
 BUCKETS_LOG2 = 16
@@ -110,11 +111,10 @@ def measures(docs: DataFrame, ratio: np.ndarray, doc_id: str, text: str) -> Data
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(measure, ", ".join(f"{x} long" for x in names[:-1]) + ", score double")
 
 
-def threshold(scored: DataFrame, trusted: list[int]) -> float | None:
+def threshold(scored: DataFrame, trusted: DataFrame) -> float | None:
     """The lowest score that is kept; None without trusted documents. Scores are counted in bins of 1/1000."""
-    spark = scored.sparkSession
-    ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")  # at most TRUSTED rows
-    bins = scored.filter(F.col("n_words") > 0).join(F.broadcast(ids), "doc_id", "left_semi").groupBy(F.floor(F.col("score") * _BINS).alias("bin")).count().orderBy("bin").collect()
+    good = trusted.select(F.col("i").alias("doc_id"))
+    bins = scored.filter(F.col("n_words") > 0).select("doc_id", "score").join(good, "doc_id", "left_semi").groupBy(F.floor(F.col("score") * _BINS).alias("bin")).count().orderBy("bin").collect()
     if not bins:
         return None
     total, low, middle, seen = sum(r["count"] for r in bins), None, None, 0
@@ -127,10 +127,12 @@ def threshold(scored: DataFrame, trusted: list[int]) -> float | None:
 
 def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, the base counts, ``base_failed``, ``score`` and ``kept``, one row for each document."""
-    good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("i")).distinct()
+    integer_ids(docs, doc_id)
+    toxic = F.coalesce("toxic", F.lit(0)) if "toxic" in labels.columns else F.lit(0)
+    good = labels.filter((F.col("quality") == 1) & (toxic == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("i")).distinct()
     trusted = [r.i for r in good.orderBy(F.xxhash64("i"), "i").limit(TRUSTED).collect()]
     scored = materialize(measures(docs, log_ratio(bucket_counts(docs, trusted, doc_id, text)), doc_id, text))
-    least = threshold(scored, trusted)
+    least = threshold(scored, good)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     enough = F.lit(True) if least is None else F.col("score") >= F.lit(least)
     return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & enough)
