@@ -19,7 +19,7 @@ Before any shuffle, equal names and equal suffixes of one chunk of text are comb
 settled on the spot. So a passage that a third of all documents hold sends one row for each chunk, not for each document.
 
 Texts are moved twice, to their candidate spans and to the spans that go, but only those of documents that may have some: a
-table of hashed ids, of at most ``MOST_BITS`` bits, tells the others. (From some 10**8 such documents on, it passes ever
+table of hashed ids, of bounded size, tells the others (``scratch.maybe_in``). (From some 10**8 such documents on, it passes ever
 more of the others too, which costs time but changes nothing.)
 
 Cases: null texts have no words. A document of fewer words than a window is left alone. Repeats within one document alone stay.
@@ -39,14 +39,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import integer_ids, materialize, partitions
+from .scratch import integer_ids, materialize, maybe_in, partitions
 from .words import NOT_SPACE, Chunk, chunks, lists, run_hashes, whole_runs
 
 WINDOW = 50
 #: Words of the first symbol, and of the first two; all three are a window.
 STEPS = (24, 37)
 GROUP = 1_000_000
-MOST_BITS = 1 << 26
 _WORD = r"[^\x20\x09-\x0D]+"
 _ADDED = ("n_words", "n_removed", "kept_text")
 _SUFFIX = "a long, b int, c int, doc long, start int, end int"
@@ -103,23 +102,6 @@ def _settle(keys: tuple[np.ndarray, ...], docs: np.ndarray) -> tuple[np.ndarray,
     return (docs[first] != docs[last])[group], docs == docs[first][group], new
 
 
-# Ids that may be in a table
-
-
-def maybe_in(docs: DataFrame, key: Column, ids: DataFrame, flag: str) -> DataFrame:
-    """``docs`` with ``flag``, true for all whose key is in ``ids`` (a table of one column) and for few others."""
-    n, bits = ids.count(), 1 << 16
-    while bits < min(8 * n, MOST_BITS):
-        bits *= 2
-    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
-    place = F.expr("shiftright(_slot, 6)")
-    mask = F.bit_or(F.expr("shiftleft(1L, cast(_slot % 64 AS int))")).alias("_mask")
-    words = ids.select(slot(F.col(ids.columns[0])).alias("_slot")).groupBy(place.alias("_word")).agg(mask)
-    joined = docs.withColumn("_slot", slot(key)).join(F.broadcast(words), place == F.col("_word"), "left")  # bits / 64 rows at most
-    found = F.expr("shiftright(_mask, cast(_slot % 64 AS int)) & 1L") == 1
-    return joined.withColumn(flag, F.coalesce(found, F.lit(False))).drop("_slot", "_word", "_mask")
-
-
 # Pruning
 
 

@@ -7,12 +7,13 @@
    of the bits that are left, and again: after each step fewer bits are free, so groups can't stay large.
 3. In a group the fingerprints are sorted by Gray rank and gathered eight by eight into nodes, level upon level. A node
    holds the bits that all below it share; a child holds only what it shares beyond its parent. A search goes down with
-   the differences accumulated so far and prunes a whole node once they pass two.
+   the differences accumulated so far and prunes a whole node once they pass two. Most pairs are ruled out by step 2
+   already; the index saves those of large groups.
 4. Of each group only a forest of its links leaves (each class to the smallest id it reaches there), never all pairs.
    Connected components then follow by large-star and small-star rounds over Spark tables.
 
 Cases: a null, empty or wordless text has fingerprint zero and links like others. A null doc_id gets a fingerprint,
-is linked to nothing and has a null component. Repeated ids are one document per fingerprint. Further columns are ignored.
+is linked to nothing and has a null component. Repeated ids are one document per fingerprint. Ids are integers. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialize, partitions
+from .scratch import integer_ids, materialize, partitions
 from .words import NOT_SPACE, Chunk, chunks
 
 SHINGLE, SEED, DIFFER = 3, 42, 2
@@ -245,6 +246,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, group: int = GROUP) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``fp`` and ``component_id``, the smallest doc_id that links reach."""
+    integer_ids(docs, doc_id)
     prints = materialize(fingerprints(docs, doc_id, text, shingle))
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL"))
     roots = components(links(classes, group))

@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..tables import cut as materialize
 
 #: Rows of a table that may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Bits of a table of hashed ids.
+MOST_BITS = 1 << 26
 
-__all__ = ["BROADCAST_ROWS", "integer_ids", "materialize", "partitions", "slices"]
+__all__ = ["BROADCAST_ROWS", "integer_ids", "materialize", "maybe_in", "partitions", "slices"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -26,8 +29,26 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, rows)
 
 
-def integer_ids(df, column: str) -> None:
+def integer_ids(df: DataFrame, column: str) -> None:
     """Raises a TypeError unless the column holds integers."""
     kind = df.schema[column].dataType.typeName()
     if kind not in ("byte", "short", "integer", "long"):
         raise TypeError(f"{column} is {kind}; ids must be integers")
+
+
+def maybe_in(docs: DataFrame, key: Column, ids: DataFrame, flag: str) -> DataFrame:
+    """``docs`` with ``flag``, true for all whose key is in ``ids`` (a written table of one column) and for some others.
+
+    So rows of which few are met can be told before a shuffle. The table of bits has some 8 for each id, but ``MOST_BITS`` at most;
+    with more than 10**8 ids ever more of the others are flagged, which is no fault. Null keys may be flagged.
+    """
+    n, bits = ids.count(), 1 << 16
+    while bits < min(8 * n, MOST_BITS):
+        bits *= 2
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
+    place = F.expr("shiftright(_slot, 6)")
+    mask = F.bit_or(F.expr("shiftleft(1L, cast(_slot % 64 AS int))")).alias("_mask")
+    words = ids.select(slot(F.col(ids.columns[0])).alias("_slot")).groupBy(place.alias("_word")).agg(mask)
+    joined = docs.withColumn("_slot", slot(key)).join(F.broadcast(words), place == F.col("_word"), "left")  # bits / 64 rows at most
+    found = F.expr("shiftright(_mask, cast(_slot % 64 AS int)) & 1L") == 1
+    return joined.withColumn(flag, F.coalesce(found, F.lit(False))).drop("_slot", "_word", "_mask")

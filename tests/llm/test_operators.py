@@ -3,13 +3,17 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 pytest.importorskip("quillspan.llm")
 from quillspan.llm import op1_mixing, op2_substrings, op3_licenses, op4_tokens, op5_language, op6_simhash, op7_extraction, op8_decontamination, op9_revisits, op10_quality  # noqa: E402
+from quillspan.llm.words import NOT_SPACE, chunks, run_hashes  # noqa: E402
 
 SPACE, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -97,25 +101,37 @@ def test_substrings(spark, docs, empty):
     assert {r.n_removed for r in op2_substrings.substring_dedup(again).collect()} == {0}
 
 
-def test_licenses(docs, empty):
-    templates = [(label, set(words(t, ALNUM))) for label, t in op3_licenses.TEMPLATES]
-    got = {r.doc_id: r for r in op3_licenses.licenses(docs).collect()}
-    for i, t, *_ in ROWS:
+def most_in_a_run(text, template):
+    """The most distinct words of a template that a run of 1.5 times its words holds."""
+    v, w = words(text, ALNUM), words(template, ALNUM)
+    size, wanted = math.ceil(1.5 * len(w)), set(w)
+    return max((len(wanted & set(v[a : a + size])) for a in range(max(1, len(v) - size + 1))), default=0) / max(1, len(wanted))
+
+
+def test_licenses(spark, docs, empty):
+    whole = op3_licenses.TEMPLATES[-2][1].split()
+    notice = op3_licenses.TEMPLATES[6][1].split()
+    texts = [t for t in TEXTS if t is None or len(t) < 50_000]
+    texts += [" ".join(prose(500).split() + whole[:120] + ["odd"] * 30 + whole[120:]), "\n".join(whole[: len(whole) // 2]), "\n\n".join(f"# {x}" for x in notice), " ".join(f"{x} y z" for x in notice), " ".join(notice[:12] + ["far"] * 60 + notice[12:])]
+    table = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, score int").repartition(2)
+    got = {r.doc_id: r for r in op3_licenses.licenses(table).collect()}
+    for i, t in enumerate(texts):
         w, places, labels = words(t, ALNUM), [], set()
         for phrase, label in op3_licenses.PHRASES:
             p = phrase.split()
             found = [j for j in range(len(w)) if w[j : j + len(p)] == p]
             places += found
             labels |= {label} if found else set()
-        more = set(labels)
-        for line in (t or "").split("\n"):
-            v = words(line, ALNUM)
-            for a in range(0, max(1, len(v) - 64), 64):
-                more |= {label for label, s in templates if len(s & set(v[a : a + 128])) >= math.ceil(0.8 * len(s) - 1e-9)}
+        shares = [(most_in_a_run(t, text), label) for label, text in op3_licenses.TEMPLATES]
+        more = labels | {label for share, label in shares if share >= 0.8 - 1e-9}
+        score = 1.0 if labels else max([share for share, _ in shares if share >= 0.8 - 1e-9], default=0.0)
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(places, default=None), max(places, default=None))
-        assert (r.base_labels, r.labels) == (",".join(sorted(labels)), ",".join(sorted(more))) and 0 <= r.score <= 1
-    assert op3_licenses.licenses(empty).count() == 0
+        assert (r.base_labels, r.labels) == (",".join(sorted(labels)), ",".join(sorted(more))) and math.isclose(r.score, score), t
+    assert {"mit"} == {label for r in got.values() for label in r.labels.split(",") if r.doc_id == len(TEXTS) - 1}
+    assert op3_licenses.licenses(docs).count() == len(ROWS) and op3_licenses.licenses(empty).count() == 0
+    for templates in ((), (("x", "!!"),)):
+        assert all(r.labels == r.base_labels == got[r.doc_id].base_labels for r in op3_licenses.licenses(table, templates=templates).collect())
 
 
 def test_wrapped_licenses(spark):
@@ -167,6 +183,57 @@ def test_tokens_by_bytes(spark):
         assert counter[text.encode()] == len(given.encode(text)) > 12
 
 
+def presence(text):
+    """The set of hashed n-grams of 1 to 3 bytes, byte by byte."""
+    b, out = text.lower().encode(), set()
+    mask = (1 << 32) - 1
+    for i in range(len(b)):
+        h = 0
+        for n, mult in zip(range(min(3, len(b) - i)), (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), strict=False):
+            h = ((h ^ (b[i + n] + n + 1)) * mult) & mask
+            h ^= h >> 15
+            out.add(((h * 0x2C1B3C6D) & mask) >> 19)
+    return out
+
+
+def test_language_by_brute_force(spark):
+    """Kernel ridge regression over the whole kernel matrix, one language against the rest; all rows are landmarks."""
+    import numpy as np
+
+    kinds = {"aa": "the of and ing", "bb": "der und sch keit", "cc": "les des eau que", "dd": "ñez los gas doe"}
+    rows = [(i, " ".join(rng.choice((v + " lo mi ta").split()) + rng.choice("abc") for _ in range(rng.randrange(1, 9))), k) for i, (k, v) in enumerate(list(kinds.items()) * 40)]
+    rows += [(500 + i, t, None) for i, t in enumerate(["x" * 300_000, "ÄÖ ta", "½ ② Ⅷ 12", rows[0][1], rows[0][1], None])]
+    table = spark.createDataFrame([(*r, True, 7) for r in rows], "doc_id long, text string, lang string, known boolean, score long").repartition(2)
+    got = {r.doc_id: r for r in op5_language.identify(table).collect()}
+    fit = sorted((k, t) for i, t, k in rows if k and zlib.crc32(str(i).encode()) % 3 != 1)
+    sets = [presence(t) for _, t in fit]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    y = np.array([[x == name for name in kinds] for x, _ in fit], float)
+    alpha = np.linalg.solve(k + op5_language.RIDGE * len(fit) * np.eye(len(fit)), y - y.mean(0))
+    for i, t, _ in rows:
+        if t is None or not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        scores = np.array([kernel(presence(t), b) for b in sets]) @ alpha + y.mean(0)
+        assert math.isclose(got[i].score, min(max(scores.max(), 0), 1), abs_tol=1e-3), i
+        assert got[i].lang_pred == list(kinds)[int(scores.argmax())] or np.sort(scores)[-1] - np.sort(scores)[-2] < 2e-3
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
+def test_many_languages(spark):
+    """No language is left out, however many there are; with more of them than landmarks the matrix stays in two factors."""
+    rows = [(i, f"{chr(0x4E00 + i // 6)}{chr(0x5E00 + i // 6)} zo", f"l{i // 6}") for i in range(1200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    packed = op5_language.training_rows(table, "doc_id", "text", "lang", rows=100)
+    learned = {k for i, _, k in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert {k for k, _ in packed} == learned and len(packed) < 600
+    languages, matrices, _ = op5_language.fit_model(packed, landmarks=50)
+    assert len(languages) == len(learned) and len(matrices) == 2
+    got = op5_language.predict(table, op5_language.fit_model(packed)).collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 0.95 * len(got)
+
+
 def test_language(spark, docs, empty):
     rows = [(i, " ".join(rng.choice(("the of and ing tion" if i % 2 else "der und sch keit über").split()) + rng.choice("abcde") for _ in range(60)), "en" if i % 2 else "de") for i in range(300)]
     rows += [(1000, None, "en"), (1001, "12 34 !!", "de"), (None, "the of and", "en"), (1003, "", None)]
@@ -355,19 +422,27 @@ def test_revisits(spark):
         (3, "http://a.com/x", 3, "response", {"ETag": '"2"'}),
         (4, "http://a.com/x", 4, "revisit", {"ETag": '"1"'}),
         (5, "http://b.com", 5, "revisit", None),
+        (8, "http://c.com", 1, "response", {"ETag": '"9"', "VIA": "a", "Via": "b", "via": "c", "x": None}),
+        (9, "http://c.com", 2, "revisit", {"ETag": '"9"', "etag": '"9"', "Date": "d"}),
+        (10, "http://d.com", 1, "response", {"ETag": '"9"'}),
+        (10, "http://d.com", 1, "response", {"ETag": '"9"'}),
+        (11, "http://d.com", 1, "revisit", {"ETag": '"9"'}),
+        (None, "http://d.com", 1, "revisit", {"ETag": '"9"'}),
         (6, "http://a.com/x", 6, "revisit", {}),
         (7, None, None, "revisit", {}),
     ] + [(100 + i, "http://hot.com/", 10 + i, "response" if i == 0 else "revisit", {"Last-Modified": "m"}) for i in range(200)]
-    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, headers map<string,string>")
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "record_id long, url string, ts long, kind string, headers map<string,string>, target_url string, _part long")
     got = {r.record_id: r for r in op9_revisits.resolve(df).collect()}
     assert {i: (got[i].response_id, got[i].state) for i in (2, 4, 5, 6, 7)} == {2: (1, "resolved"), 4: (3, "mismatch"), 5: (None, "orphan"), 6: (3, "unvalidated"), 7: (None, "orphan")}
+    assert (got[9].state, got[9].headers) == ("mismatch", {"etag": '"9", "9"', "date": "d"})
+    assert (got[11].response_id, got[11].state, got[None].response_id) == (10, "resolved", None)  # at one time ids decide; null comes first
     assert got[2].headers == {"etag": 'W/"1"', "date": "d", "content-type": "t"}
     assert all((got[i].response_id, got[i].state) == (100, "resolved") for i in range(101, 300))
     assert op9_revisits.resolve(df.limit(0)).count() == 0
 
 
 def test_quality(spark, docs, empty):
-    labels = spark.createDataFrame([(3, 1, 0), (4, 1, 0), (None, 1, 0), (7, 0, 1)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(3, 1, 0), (4, 1, None), (5, 1, 0), (5, 1, 0), (None, 1, 0), (6, 1, 1), (7, 0, 1)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in op10_quality.quality(docs, labels).collect()}
     for i, t, *_ in ROWS:
         w = words(t)
@@ -378,5 +453,24 @@ def test_quality(spark, docs, empty):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(repeated))
         assert r.base_failed == (len(w) < 20 or 100 * len(repeated) > 30 * len(w)) and not (r.base_failed and r.kept)
     assert got[3].kept and got[4].kept
+    # The ratio, threshold and verdict, with buckets by the operator's own hashes.
+    raw, good, each = Counter(), Counter(), {}
+    for i, t, *_ in ROWS:
+        chunk = next(iter(chunks(pa.array([t], pa.string()), NOT_SPACE)))
+        h = chunk.hashes()
+        each[i] = [int(x >> np.uint64(48)) for x in [*h, *(run_hashes(h[j : j + 2], 2)[0] for j in range(len(h) - 1))]]
+        raw.update(each[i])
+        good.update(each[i] if i in (3, 4, 5) else [])
+    size = 1 << 16
+    of = lambda n, b: math.log((n[b] + 1) / (sum(n.values()) + size))
+    score = {i: sum(of(good, b) - of(raw, b) for b in v) / max(1, len(v)) for i, v in each.items()}
+    assert all(math.isclose(got[i].score, score[i], abs_tol=1e-9) for i in score)
+    bins = sorted(math.floor(score[i] * 1000) for i in (3, 4, 5))
+    low, middle = bins[0], bins[math.ceil(len(bins) / 2) - 1]
+    least = (middle - 3 * (middle - low)) / 1000
+    assert all(r.kept == (not r.base_failed and score[i] >= least) for i, r in got.items())
+    assert len({r.kept for r in got.values() if not r.base_failed}) == 2
     assert op10_quality.quality(empty, labels).count() == 0
+    with pytest.raises(TypeError):
+        op10_quality.quality(docs.withColumn("doc_id", docs["doc_id"].cast("string")), labels)
     assert all(r.kept != r.base_failed for r in op10_quality.quality(docs, labels.limit(0)).collect())
