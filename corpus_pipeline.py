@@ -20,7 +20,7 @@ from quillspan.llm.op2_substrings import substring_dedup
 from quillspan.llm.op5_language import UNKNOWN, identify
 from quillspan.llm.op6_simhash import near_duplicates
 from quillspan.llm.op8_decontamination import contamination
-from quillspan.llm.scratch import materialize
+from quillspan.llm.scratch import materialize, maybe_in
 
 #: Columns that the operators read; others are set aside under a prefix, so that they can't clash with added ones.
 _READ = ("doc_id", "text", "lang", "source")
@@ -40,8 +40,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays. Null ids are in no group and stay."""
-    gone = near_duplicates(docs.select("doc_id", "text")).filter("component_id < doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialize(near_duplicates(docs.select("doc_id", "text")).filter("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct())
+    # Only rows that may go are shuffled; the columns travel as one, so that none clashes.
+    flagged = maybe_in(docs.select("doc_id", F.struct(*docs.columns).alias("own")), F.col("doc_id").cast("long"), gone.select(F.col("gone").cast("long")), "maybe")
+    stay = flagged.filter("maybe").join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select("own")
+    return flagged.filter("NOT maybe").select("own").unionAll(stay).select("own.*")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
