@@ -139,13 +139,13 @@ def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH p AS (
-  SELECT page_id, k, coalesce(html, '') AS html, length(coalesce(html, '')) AS n, CASE WHEN k = 1 AND n % 3 = 0 THEN '2' ELSE '' END AS v, page_id + k * 1099511627776 AS at,
+  SELECT page_id, k, coalesce(html, '') AS html, length(coalesce(html, '')) AS n, CASE WHEN k = 1 AND n % 3 = 0 THEN '2' ELSE '' END AS v, page_id + k * 1099511627776 AS tick,
     regexp_replace(regexp_replace(coalesce(trim(url), ''), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages, (VALUES (0), (1)) t(k)
 ), records AS (
-  SELECT 4 * page_id + k AS id, at AS ts, true AS is_full, rest, '"' || substr(sha256(html || v), 1, 16) || '"' AS tag, strftime(DATE '2024-01-01' + (n % 300 + k)::INT, '%Y-%m-%d') AS day
+  SELECT 4 * page_id + k AS id, tick AS ts, true AS is_full, rest, '"' || substr(sha256(html || v), 1, 16) || '"' AS tag, strftime(DATE '2024-01-01' + (n % 300 + k)::INT, '%Y-%m-%d') AS day
   FROM p WHERE k = 0 OR v = '2'
   UNION ALL
-  SELECT 4 * page_id + 2 + k, at + 1, false, CASE WHEN n % 11 = 0 THEN 'archive.' ELSE '' END || rest,
+  SELECT 4 * page_id + 2 + k, tick + 1, false, CASE WHEN n % 11 = 0 THEN 'archive.' ELSE '' END || rest,
     CASE WHEN n % 5 > 1 THEN '"' || substr(sha256(html || v || CASE WHEN n % 7 = 0 THEN '!' ELSE '' END), 1, 16) || '"' END,
     CASE WHEN n % 5 = 1 THEN strftime(DATE '2024-01-01' + (n % 300)::INT, '%Y-%m-%d') END
   FROM p
