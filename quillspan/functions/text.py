@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..settings import RELAXED_DROP, RELAXED_LEAST
+
 # What is dropped, and what is read as its plain twin, after NFKC.
 DROPPED = "­​‌‍⁠﻿"
 APOSTROPHES = "‘’‚‛ʼ´′"
@@ -77,6 +79,10 @@ def token_coverage(needle: Column, matched: Column) -> Column:
     return F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(F.size(F.filter(wanted, lambda t: F.array_contains(have, t))).cast("double") / F.size(wanted))
 
 
+def token_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+"))
+
+
 def overlap_ratio(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     shared = F.least(a_end, b_end) - F.greatest(a_start, b_start)
     return F.when(shared <= 0, F.lit(0.0)).otherwise(shared.cast("double") / F.least(a_end - a_start, b_end - b_start))
@@ -106,6 +112,12 @@ def occurrences(text: Column, token: Column, limit: int = 24) -> Column:
     return F.when(F.length(token) > 0, fold).otherwise(F.array().cast("array<int>"))
 
 
+def clamped(confidence: Column, ceiling: Column) -> tuple[Column, Column, Column]:
+    """The floor of matching, that of the relaxed stage, and the ceiling of a page's coverage, within their limits."""
+    floor = F.least(F.greatest(confidence, F.lit(0.6)), F.lit(0.99))
+    return floor, F.greatest(F.lit(RELAXED_LEAST), floor - F.lit(RELAXED_DROP)), F.least(F.greatest(ceiling, F.lit(0.1)), F.lit(0.95))
+
+
 def importance_rank(importance: Column) -> Column:
     return F.when(importance == "low", 0).when(importance == "medium", 1).when(importance == "high", 2)
 
@@ -127,9 +139,10 @@ def page_range_label(pages: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """A sort key that takes digits as numbers: runs of them are padded to 20."""
+    """A sort key that takes digits as numbers: each run of them, without leading zeros, follows its length in eight digits."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    number = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(number(p)).cast("string"), 8, "0"), number(p))).otherwise(p)), "")
 
 
 def output_name(name: Column, suffix: str) -> Column:

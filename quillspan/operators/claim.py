@@ -46,17 +46,24 @@ def novel_cues(cues: DataFrame, candidates: DataFrame) -> DataFrame:
     return cues.join(known, (cues["doc_id"] == known["doc_id"]) & (F.lower(F.trim(cues["text"])) == known["_known"]), "left_anti")
 
 
+def with_pages(hits: DataFrame, pages: DataFrame) -> DataFrame:
+    """Hits with their pages' texts; those of pages that aren't there go."""
+    return hits.join(pages.select("doc_id", "page", "normalized"), ["doc_id", "page"])
+
+
 def claim_spans(hits: DataFrame, pages: DataFrame, settings: Settings) -> DataFrame:
     """Greedy admission in order (ord, part) within each page: ``reason`` null for accepted spans, snapped to words.
 
     Pages have budgets of their own, so a page is the unit: its few hits are folded in one row.
     """
-    placed = hits.join(pages.select("doc_id", "page", "normalized"), ["doc_id", "page"])
+    placed = with_pages(hits, pages)
     start, end = snap_to_words(F.col("normalized"), F.col("start"), F.col("end"))
-    # The folds below read each span many times, so it's made once.
-    placed = cut(placed.withColumns({"s": start, "e": end})).withColumn("matched_text", F.substring(F.col("normalized"), F.col("s") + 1, F.col("e") - F.col("s")))
+    # An exploded array, so that spans are worked out once and texts go no further.
+    spanned = placed.select("*", F.explode(F.array(F.struct(start.alias("s"), end.alias("e")))).alias("x"))
+    text = F.substring(F.col("normalized"), F.col("x.s") + 1, F.col("x.e") - F.col("x.s"))
+    placed = spanned.select("doc_id", "page", "ord", "part", "cand_no", "confidence", "x.s", "x.e", text.alias("matched_text"), F.length("normalized").alias("page_chars"))
     row = F.struct("ord", "part", "cand_no", F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"), "confidence", "matched_text")
-    grouped = placed.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.first(F.length("normalized")).alias("page_chars"))
+    grouped = placed.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.first("page_chars").alias("page_chars"))
     allowance = F.greatest(F.col("page_chars").cast("double") * F.lit(settings.clamped_ceiling), F.lit(float(MIN_ALLOWANCE)))
     cap = F.lit(settings.max_per_page)
     zero = F.expr("named_struct('claimed', cast(array() as array<struct<s:int,e:int>>), 'chars', 0, 'n', 0, 'reasons', cast(array() as array<string>))")
@@ -64,13 +71,17 @@ def claim_spans(hits: DataFrame, pages: DataFrame, settings: Settings) -> DataFr
     def step(a, x):
         repeated = F.exists(a["claimed"], lambda c: overlap_ratio(x["s"], x["e"], c["s"], c["e"]) >= F.lit(DUPLICATE))
         reason = F.when(repeated, REPEAT).when((cap > 0) & (a["n"] >= cap), F.concat(F.lit("per-page highlight cap ("), cap.cast("string"), F.lit(") reached"))).when((a["n"] > 0) & ((a["chars"] + x["e"] - x["s"]).cast("double") > allowance), CEILING)
-        taken = reason.isNull()
-        return F.struct(
-            F.when(taken, F.concat(a["claimed"], F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))).otherwise(a["claimed"]).alias("claimed"),
-            F.when(taken, a["chars"] + x["e"] - x["s"]).otherwise(a["chars"]).alias("chars"),
-            F.when(taken, a["n"] + 1).otherwise(a["n"]).alias("n"),
-            F.concat(a["reasons"], F.array(reason)).alias("reasons"),
-        )
+
+        def after(r):
+            taken = r.isNull()
+            return F.struct(
+                F.when(taken, F.concat(a["claimed"], F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))).otherwise(a["claimed"]).alias("claimed"),
+                F.when(taken, a["chars"] + x["e"] - x["s"]).otherwise(a["chars"]).alias("chars"),
+                F.when(taken, a["n"] + 1).otherwise(a["n"]).alias("n"),
+                F.concat(a["reasons"], F.array(r)).alias("reasons"),
+            )
+
+        return F.get(F.transform(F.array(reason), after), F.lit(0))  # so that the reason is worked out once
 
     judged = grouped.select("doc_id", "page", F.explode(F.arrays_zip("rows", F.aggregate("rows", zero, step, lambda a: a["reasons"]).alias("reasons"))).alias("x"))
     return judged.select("doc_id", "page", "x.rows.cand_no", "x.rows.ord", "x.rows.part", F.col("x.rows.s").alias("start"), F.col("x.rows.e").alias("end"), "x.rows.confidence", "x.rows.matched_text", F.col("x.reasons").alias("reason"))
@@ -106,4 +117,4 @@ def assign_groups(taken: DataFrame) -> DataFrame:
     return taken.select("doc_id", "cand_no", (F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1).alias("group_id"))
 
 
-__all__ = ["assign_groups", "candidate_order", "claim_spans", "dedupe_candidates", "match_highlights", "novel_cues", "sentence_parts", "too_short", "union_candidates"]
+__all__ = ["assign_groups", "candidate_order", "claim_spans", "dedupe_candidates", "match_highlights", "novel_cues", "sentence_parts", "too_short", "union_candidates", "with_pages"]

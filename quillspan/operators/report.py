@@ -20,11 +20,23 @@ def page_coverage(pages: DataFrame, matched: DataFrame) -> DataFrame:
     return joined.withColumn("share", F.when(F.col("chars") > 0, F.col("marked").cast("double") / F.col("chars")).otherwise(F.lit(0.0)))
 
 
-def doc_coverage(pages: DataFrame, matched: DataFrame) -> DataFrame:
-    """Of each document: share, share of each page, and the long pages without a highlight, counted from 1."""
+def doc_coverage(pages: DataFrame, matched: DataFrame, failures: DataFrame | None = None, cues: DataFrame | None = None, requests: DataFrame | None = None) -> DataFrame:
+    """Of each document: share, share of each page, and the long pages without a highlight, counted from 1.
+
+    Where they are given, also ``unmatched`` (rows of ``failures``), ``rule_based_added`` (of ``cues``) and ``ai_requests``
+    (``requests`` of the table of that name).
+    """
     gap = (F.col("chars") >= GAP_PAGE_CHARS) & (F.col("marked") == 0)
-    rows = page_coverage(pages, matched).groupBy("doc_id").agg(F.sum("chars").alias("chars"), F.sum("marked").alias("marked"), F.array_sort(F.collect_list(F.struct("page", "share"))).alias("p"), F.sort_array(F.collect_list(F.when(gap, F.col("page") + 1))).alias("gap_pages"))
-    return rows.select("doc_id", "chars", "marked", F.when(F.col("chars") > 0, F.col("marked").cast("double") / F.col("chars")).otherwise(F.lit(0.0)).alias("share"), F.col("p.share").alias("page_shares"), "gap_pages")
+    by_page = F.array_sort(F.collect_list(F.struct("page", "share")))
+    gaps = F.sort_array(F.collect_list(F.when(gap, F.col("page") + 1)))
+    rows = page_coverage(pages, matched).groupBy("doc_id").agg(F.sum("chars").alias("chars"), F.sum("marked").alias("marked"), by_page.alias("p"), gaps.alias("gap_pages"))
+    share = F.when(F.col("chars") > 0, F.col("marked").cast("double") / F.col("chars")).otherwise(F.lit(0.0))
+    out = rows.select("doc_id", "chars", "marked", share.alias("share"), F.col("p.share").alias("page_shares"), "gap_pages")
+    count = F.count(F.lit(1))
+    for table, name, number in ((failures, "unmatched", count), (cues, "rule_based_added", count), (requests, "ai_requests", F.sum("requests") if requests is not None else None)):
+        if table is not None:
+            out = out.join(table.groupBy("doc_id").agg(number.alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
 
 
 def expected_annotations(matched: DataFrame) -> DataFrame:
@@ -63,6 +75,21 @@ def failed_documents(documents: DataFrame) -> DataFrame:
     return documents.filter("status = 'failed'")
 
 
+def results_summary(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row of total, completed, failed and skipped documents; the failed ones with their errors)."""
+    return progress(documents).select("total", "completed", "failed", "skipped"), failed_documents(documents)
+
+
+def resume_summary(snapshot: DataFrame) -> DataFrame:
+    """What a stored session has done: completed, failed and remaining documents."""
+    return progress(snapshot).select("completed", "failed", "remaining")
+
+
+def filter_course(documents: DataFrame, course: str | None) -> DataFrame:
+    """Documents of one course, or all."""
+    return documents if course is None else documents.filter(F.col("course") == course)
+
+
 def preflight(corpus: DataFrame, mode: str, keys: int, budget: int, spent: int) -> DataFrame:
     """One row on a scan before it is run: courses, documents, outputs that exist, documents to process, passes over each
     chunk, and how many requests the day still allows (null without a budget)."""
@@ -115,14 +142,20 @@ def subtract_fragments(text: Column, fragments: Column) -> Column:
     return squash_space(cut)
 
 
+def compare_versions(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Pages of both versions (doc_id, page, normalized; ``after`` with fragments): ``old``, ``new`` without the fragments, and whether the old text is ``kept``."""
+    old = before.select("doc_id", "page", squash_space(F.col("normalized")).alias("old"))
+    new = after.select("doc_id", "page", subtract_fragments(F.col("normalized"), F.col("fragments")).alias("new"))
+    return old.join(new, ["doc_id", "page"]).withColumn("kept", (F.col("old") == "") | F.contains("new", F.col("old")))
+
+
 def audit(before: DataFrame, after: DataFrame, scanned: bool = False) -> DataFrame:
-    """Pages of both versions (doc_id, page, normalized; ``after`` with fragments): whether the old text is kept, and the first page that drifts.
+    """Of each document, whether the old text of all pages is kept, and the first page that drifts.
 
     Scanned documents must have no letter or digit beyond the fragments.
     """
-    joined = before.select("doc_id", "page", squash_space(F.col("normalized")).alias("old")).join(after.select("doc_id", "page", subtract_fragments(F.col("normalized"), F.col("fragments")).alias("new")), ["doc_id", "page"])
-    fine = (F.regexp_replace("new", r"[^\p{L}\p{N}]", "") == "") if scanned else ((F.col("old") == "") | F.contains("new", F.col("old")))
-    return joined.groupBy("doc_id").agg(F.every(fine).alias("ok"), F.min(F.when(~fine, F.col("page"))).alias("first_drift"))
+    fine = (F.regexp_replace("new", r"[^\p{L}\p{N}]", "") == "") if scanned else F.col("kept")
+    return compare_versions(before, after).groupBy("doc_id").agg(F.every(fine).alias("ok"), F.min(F.when(~fine, F.col("page"))).alias("first_drift"))
 
 
 def audit_counts(before: DataFrame, after: DataFrame, annotations: DataFrame) -> DataFrame:

@@ -5,18 +5,30 @@ Outcomes: success, rate-limit, auth, network, timeout, or another failure.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import detect_daily_quota
-from ..settings import COOLDOWN_SECONDS
+from ..settings import COOLDOWN_SECONDS, TROUBLE_SECONDS
 
 
-def key_stats(log: DataFrame) -> DataFrame:
-    """Requests, outcomes, last use and the last error of each key; the error is null after a success."""
+def key_stats(log: DataFrame, today: Column | None = None) -> DataFrame:
+    """Requests, outcomes, use of the day, last use and the last error of each key; the error is null after a success.
+
+    ``today``: the UTC day that counts, the present one by default.
+    """
     last = F.max_by(F.when(F.col("outcome") != "success", F.col("message")), F.struct("ts", "request_id"))
-    n = lambda x: F.count_if(x)
-    return log.groupBy("key").agg(F.count(F.lit(1)).alias("requests"), n(F.col("outcome") == "success").alias("succeeded"), n(F.col("outcome") != "success").alias("failed"), n(F.col("outcome") == "rate-limit").alias("rate_limited"), F.max("ts").alias("last_used"), last.alias("last_error"))
+    of = lambda x: F.count_if(x)
+    day = F.current_date() if today is None else today
+    return log.groupBy("key").agg(
+        F.count(F.lit(1)).alias("requests"),
+        of(F.col("outcome") == "success").alias("succeeded"),
+        of(F.col("outcome") != "success").alias("failed"),
+        of(F.col("outcome") == "rate-limit").alias("rate_limited"),
+        of(F.to_date("ts") == day).alias("used_today"),
+        F.max("ts").alias("last_used"),
+        last.alias("last_error"),
+    )
 
 
 def pool_totals(stats: DataFrame) -> DataFrame:
@@ -29,9 +41,9 @@ def daily_budget(log: DataFrame, budget: int) -> DataFrame:
     return used.withColumn("exhausted", (F.lit(budget) > 0) & (F.col("used") >= budget)).withColumn("resets", F.date_add("day", 1))
 
 
-def usage_snapshot(usage: DataFrame, keys: DataFrame, today: str) -> DataFrame:
-    """Stored use of the given day for each key; another day's counts as none."""
-    now = usage.filter(F.col("day") == F.to_date(F.lit(today))).select("key", "used")
+def usage_snapshot(usage: DataFrame, keys: DataFrame, today: DataFrame) -> DataFrame:
+    """Stored use of the given day for each key; another day's counts as none. ``today``: one row with the date ``today``."""
+    now = usage.join(F.broadcast(today), usage["day"] == today["today"]).select("key", "used")
     return keys.join(now, "key", "left").select("key", F.coalesce("used", F.lit(0)).alias("used"))
 
 
@@ -55,4 +67,4 @@ def cooldown_ladder(log: DataFrame) -> DataFrame:
     rows = rows.withColumn("step", F.sum((limited & ~F.col("daily")).cast("int")).over(in_island))
     rest = F.element_at(F.array(*map(F.lit, COOLDOWN_SECONDS)), F.least(F.greatest("step", F.lit(1)), F.lit(len(COOLDOWN_SECONDS))).cast("int"))
     state = F.when(F.col("outcome") == "auth", "disabled").when(F.col("daily"), "exhausted").when(limited | F.col("outcome").isin("network", "timeout"), "cooling").otherwise("idle")
-    return rows.select("request_id", "key", state.alias("state"), F.when(limited & ~F.col("daily"), rest).when(F.col("outcome").isin("network", "timeout"), F.lit(5)).alias("rest_s"))
+    return rows.select("request_id", "key", state.alias("state"), F.when(limited & ~F.col("daily"), rest).when(F.col("outcome").isin("network", "timeout"), F.lit(TROUBLE_SECONDS)).alias("rest_s"))

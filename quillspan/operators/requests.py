@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +38,16 @@ def pass_quota(max_highlights: F.Column, share: F.Column) -> F.Column:
     return F.greatest(F.lit(3), F.round(max_highlights * share).cast("int"))
 
 
+# The wording of requests.
+LISTED = "ALREADY SELECTED (do not return these again):"
+COURSE, HANDOUT, CONTENT = "Course: ", "\nHandout: ", "\nHANDOUT CONTENT:"
+
+
 def exclusion_list(texts: F.Column, most: int = 60, preview: int = 90) -> F.Column:
     """What is selected already, numbered, cut to previews; null if nothing is."""
     lines = F.transform(F.slice(texts, 1, most), lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), F.substring(t, 1, preview)))
     more = F.when(F.size(texts) > most, F.array(F.concat(F.lit("...and "), (F.size(texts) - most).cast("string"), F.lit(" more.")))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(texts) > 0, F.array_join(F.concat(F.array(F.lit(""), F.lit("ALREADY SELECTED (do not return these again):")), lines, more), "\n"))
+    return F.when(F.size(texts) > 0, F.array_join(F.concat(F.array(F.lit(""), F.lit(LISTED)), lines, more), "\n"))
 
 
 def build_requests(chunks: DataFrame, selected: DataFrame, mode: str) -> DataFrame:
@@ -49,8 +56,8 @@ def build_requests(chunks: DataFrame, selected: DataFrame, mode: str) -> DataFra
     rows = chunks.join(selected, ["doc_id", "chunk_no"], "left").join(plan)
     quota = pass_quota(F.col("max_highlights"), F.col("share"))
     known = F.when(F.col("pass_no") > 0, exclusion_list(F.coalesce("texts", F.array().cast("array<string>"))))
-    head = F.concat(F.lit("Course: "), "course", F.lit("\nHandout: "), "file_name", F.lit("\nReturn at most "), quota.cast("string"), F.lit(" highlights for this content."))
-    return rows.select("doc_id", "chunk_no", "pass_no", "pass", quota.alias("quota"), F.concat_ws("\n", head, known, F.lit("\nHANDOUT CONTENT:"), "content").alias("message"))
+    head = F.concat(F.lit(COURSE), "course", F.lit(HANDOUT), "file_name", F.lit("\nReturn at most "), quota.cast("string"), F.lit(" highlights for this content."))
+    return rows.select("doc_id", "chunk_no", "pass_no", "pass", quota.alias("quota"), F.concat_ws("\n", head, known, F.lit(CONTENT), "content").alias("message"))
 
 
 def parse_replies(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,6 +87,22 @@ def count_requests(passes: DataFrame) -> DataFrame:
     return passes.withColumn("failed", failed).filter("failed IS NULL OR pass_no <= failed").groupBy("doc_id").agg(F.count(F.lit(1)).alias("requests"))
 
 
+def union_passes(candidates: DataFrame, passes: DataFrame) -> DataFrame:
+    """Candidates (doc_id, chunk_no, pass_no, pos ...) of the passes that count, with ``cand_no`` from 0 in the order of chunks, passes and places."""
+    kept = candidates.join(merge_passes(passes).select("doc_id", "chunk_no", "pass_no"), ["doc_id", "chunk_no", "pass_no"], "left_semi")
+    order = Window.partitionBy("doc_id").orderBy("chunk_no", "pass_no", "pos")
+    return kept.withColumn("cand_no", F.row_number().over(order) - 1)
+
+
+def analyze(pages: DataFrame, source: Callable[[DataFrame], DataFrame] | DataFrame, mode: str = "balanced") -> tuple[DataFrame, DataFrame]:
+    """(candidates, rejects) of documents: ``source`` is a table of replies, or makes one (doc_id, chunk_no, pass_no, reply) of their chunks."""
+    replies = source(build_chunks(pages, mode)) if callable(source) else source
+    candidates, rejects = parse_replies(replies)
+    bad = rejects.select("doc_id", "chunk_no", "pass_no").withColumn("bad", F.lit(True))
+    passes = replies.select("doc_id", "chunk_no", "pass_no").join(bad, ["doc_id", "chunk_no", "pass_no"], "left").select("doc_id", "chunk_no", "pass_no", F.col("bad").isNull().alias("ok"))
+    return union_passes(candidates, passes), rejects
+
+
 def merge_passes(passes: DataFrame) -> DataFrame:
     """Passes (doc_id, chunk_no, pass_no, ok) that count: those before a chunk's first failure; a failed primary pass takes the document."""
     chunk = Window.partitionBy("doc_id", "chunk_no")

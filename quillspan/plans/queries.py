@@ -11,6 +11,7 @@ from .. import sources
 from ..functions import text as T
 from ..operators import claim, cues, layout, locate, report, request_log, requests
 from ..settings import PRESETS
+from ..tables import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,7 +23,21 @@ _PAGES = rf"""
 pg0 AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
 pg1 AS (SELECT doc_id, i::INT AS page, array_to_string(a[i * 5 + 1 : i * 5 + 5], chr(10)) AS body FROM (SELECT doc_id, a, unnest(range(0, (len(a) - 1) // 5 + 1)) AS i FROM pg0)),
 pg AS (SELECT doc_id, page, trim(regexp_replace(body, '\s+', ' ', 'g')) AS raw, {_FOLD.format('body')} AS normalized FROM pg1)"""
-_LOG = "rl AS (SELECT event_id AS request_id, ts, user_id AS key, CASE WHEN event_type = 'error' THEN 'rate-limit' ELSE 'success' END AS outcome, CASE WHEN event_type = 'error' THEN 'quota exceeded ' || event_id % 3 END AS message FROM events)"
+_LOG = """rl AS (
+  SELECT event_id AS request_id, ts, user_id AS key,
+    CASE WHEN event_type IN ('error', 'view') THEN 'rate-limit' WHEN event_type = 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'network' ELSE 'timeout' END
+      WHEN event_type = 'click' AND event_id % 50 = 0 THEN 'auth' ELSE 'success' END AS outcome,
+    CASE WHEN event_type IN ('error', 'view', 'signup') THEN CASE event_id % 7 WHEN 0 THEN 'DAILY limit ' WHEN 1 THEN 'quota was exceeded ' ELSE 'slow down ' END || event_id % 3 END AS message
+  FROM events)"""
+_LADDER = f"""{_LOG},
+a AS (SELECT *, sum((outcome = 'success')::INT) OVER o AS island, sum((outcome = 'rate-limit')::INT) OVER o AS total FROM rl WINDOW o AS (PARTITION BY key ORDER BY ts, request_id)),
+b AS (SELECT *, outcome = 'rate-limit' AND total >= 2 AND regexp_matches(coalesce(message, ''), '(?i)per day|daily|quota.*exceeded|RESOURCE_EXHAUSTED') AS daily FROM a),
+c AS (SELECT *, sum((outcome = 'rate-limit' AND NOT daily)::INT) OVER (PARTITION BY key, island ORDER BY ts, request_id) AS step FROM b),
+ladder AS (
+  SELECT request_id, key, ts, outcome, total, daily,
+    CASE WHEN outcome = 'auth' THEN 'disabled' WHEN daily THEN 'exhausted' WHEN outcome <> 'success' THEN 'cooling' ELSE 'idle' END AS state,
+    CASE WHEN outcome = 'rate-limit' AND NOT daily THEN [20, 45, 90, 180, 300][least(step, 5)::INT] WHEN outcome IN ('network', 'timeout') THEN 5 END AS rest_s
+  FROM c)"""
 _STATUS = "st AS (SELECT d.doc_id, d.source AS course, d.n_chars, CASE WHEN toxic = 1 THEN 'failed' WHEN quality = 1 THEN 'completed' WHEN quality = 0 THEN 'skipped' ELSE 'pending' END AS status FROM documents d LEFT JOIN labels USING (doc_id))"
 _SENT = r"string_split(regexp_replace({0}, '([.!?:;])\s+([\p{{L}}\p{{N}}(“\"''])', '\1' || chr(1) || '\2', 'g'), chr(1))"
 _TOK = r"list_filter(regexp_split_to_array({0}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -46,9 +61,18 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return sources.load_pages(_read(spark, sf, "documents"))
 
 
+def _requests(events: DataFrame) -> DataFrame:
+    """A request log of the events, with all outcomes."""
+    of, number = F.col("event_type"), F.col("event_id")
+    trouble = F.when(number % 2 == 0, "network").otherwise("timeout")
+    outcome = F.when(of.isin("error", "view"), "rate-limit").when(of == "signup", trouble).when((of == "click") & (number % 50 == 0), "auth").otherwise("success")
+    said = F.when(number % 7 == 0, "DAILY limit ").when(number % 7 == 1, "quota was exceeded ").otherwise("slow down ")
+    message = F.when(of.isin("error", "view", "signup"), F.concat(said, (number % 3).cast("string")))
+    return events.select(number.alias("request_id"), "ts", F.col("user_id").alias("key"), outcome.alias("outcome"), message.alias("message"))
+
+
 def _log(spark: SparkSession, sf: str) -> DataFrame:
-    error = F.col("event_type") == "error"
-    return _read(spark, sf, "events").select(F.col("event_id").alias("request_id"), "ts", F.col("user_id").alias("key"), F.when(error, "rate-limit").otherwise("success").alias("outcome"), F.when(error, F.concat(F.lit("quota exceeded "), (F.col("event_id") % 3).cast("string"))).alias("message"))
+    return _requests(_read(spark, sf, "events"))
 
 
 def _status(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,11 +85,17 @@ def _quotes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Three quotes of each document: a sentence as it is, one with every 40th character gone, and one that isn't there."""
-    second = F.get(F.filter(T.split_sentences(F.col("normalized")), lambda s: F.length(s).between(40, 160)), 0)
-    base = _pages(spark, sf).filter("page = 0").select("doc_id", second.alias("s")).filter("s IS NOT NULL")
-    some = F.array(F.struct(F.col("s").alias("text"), F.lit("high").alias("importance")), F.struct(F.regexp_replace("s", "(.{39}).", "$1").alias("text"), F.lit("medium").alias("importance")), F.struct(F.concat(F.lit("nowhere to be found "), F.reverse("s")).alias("text"), F.lit("low").alias("importance")))
-    return base.select("doc_id", F.posexplode(some).alias("cand_no", "c")).select("doc_id", "cand_no", "c.text", "c.importance")
+    """A quote of each page: its longest sentence as it is, with every 40th character gone, or what isn't there, in turn by page."""
+    sentences = F.transform(T.split_sentences(F.col("normalized")), lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))
+    base = _pages(spark, sf).select("doc_id", F.col("page").alias("cand_no"), F.array_max(sentences)["s"].alias("s")).filter("s <> ''")
+    kind = F.col("cand_no") % 3
+    text = F.when(kind == 0, F.col("s")).when(kind == 1, F.regexp_replace("s", "(.{39}).", "$1")).otherwise(F.concat(F.lit("nowhere to be found "), F.reverse("s")))
+    importance = F.when(kind == 0, "high").when(kind == 1, "medium").otherwise("low")
+    return base.select("doc_id", "cand_no", text.alias("text"), importance.alias("importance"))
+
+
+def _needles(spark: SparkSession, sf: str) -> DataFrame:
+    return _candidates(spark, sf).withColumn("needle", T.normalize_quote(F.col("text")))
 
 
 # Scans and sources
@@ -140,17 +170,17 @@ def tokenize(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", T.tokenize(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("tokens"), F.array_join("t", " ").alias("joined"))
 
 
-_PAIRS = r"b AS (SELECT x.item_id, regexp_replace(left(x.text, 60), '[^\x00-\x7F]', 'x', 'g') AS a, regexp_replace(left(y.text, 60), '[^\x00-\x7F]', 'x', 'g') AS c FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1)"
+_PAIRS = r"b AS (SELECT x.item_id, regexp_replace(x.text, '[^\x00-\x7F]', 'x', 'g') AS a, regexp_replace(y.text, '[^\x00-\x7F]', 'x', 'g') AS c FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1)"
 
 
 def _pairs(spark, sf):
     b = _read(spark, sf, "benchmark")
-    return b.alias("x").join(b.alias("y"), F.expr("y.item_id = x.item_id + 1")).select("x.item_id", *[F.regexp_replace(F.substring(f"{t}.text", 1, 60), r"[^\x00-\x7F]", "x").alias(name) for t, name in (("x", "a"), ("y", "c"))])
+    return b.alias("x").join(b.alias("y"), F.expr("y.item_id = x.item_id + 1")).select("x.item_id", *[F.regexp_replace(f"{t}.text", r"[^\x00-\x7F]", "x").alias(name) for t, name in (("x", "a"), ("y", "c"))])
 
 
-@query(f"WITH {_PAIRS} SELECT item_id, least(levenshtein(a, c), 46)::INT AS distance FROM b")
+@query(f"WITH {_PAIRS} SELECT item_id, least(levenshtein(a, c), greatest(length(a), length(c)) * 3 // 4 + 1)::INT AS distance FROM b")
 def bounded_levenshtein(spark, sf):
-    return _pairs(spark, sf).select("item_id", T.bounded_levenshtein(F.col("a"), F.col("c"), F.lit(45)).alias("distance"))
+    return _pairs(spark, sf).select("item_id", T.bounded_levenshtein(F.col("a"), F.col("c"), F.floor(F.greatest(F.length("a"), F.length("c")) * 3 / 4).cast("int")).alias("distance"))
 
 
 @query(f"WITH {_PAIRS} SELECT item_id, CASE WHEN levenshtein(a, c) > ceil(greatest(length(a), length(c))::DOUBLE * 0.8::DOUBLE) THEN 0.0 ELSE 1.0 - levenshtein(a, c)::DOUBLE / greatest(length(a), length(c)) END AS similarity FROM b")
@@ -176,7 +206,12 @@ def snap_to_words(spark, sf):
     return _read(spark, sf, "documents").filter(F.length("text") > 30).select("doc_id", start.cast("long").alias("s"), end.cast("long").alias("e"))
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT item_id, {_TOK.format('needle')} AS t FROM (SELECT item_id, {_FOLD.format('text')} AS needle FROM benchmark)),
+u AS (SELECT item_id, unnest(t) AS w, unnest(range(0, len(t))) AS i FROM t),
+f AS (SELECT item_id, w, min(i) AS i FROM u WHERE length(w) >= 4 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY length(w) DESC, min(i)) <= 4)
+SELECT item_id AS quote_id, coalesce(string_agg(w, ' ' ORDER BY length(w) DESC, i), '') AS anchors FROM t LEFT JOIN f USING (item_id) GROUP BY item_id"""
+)
 def anchor_tokens(spark, sf):
     return _quotes(spark, sf).select("quote_id", F.array_join(T.anchor_tokens(F.col("needle")), " ").alias("anchors"))
 
@@ -221,7 +256,7 @@ def utc_day(spark, sf):
 
 _CUES = f"""sent AS (SELECT doc_id, page, unnest(s) AS text, unnest(range(0, len(s)))::INT AS sent_no FROM (SELECT doc_id, page, list_filter(list_transform({_SENT.format('normalized')}, lambda x: trim(x)), lambda x: x <> '') AS s FROM pg)),
 cue AS (SELECT *, CASE WHEN regexp_matches(text, '\\bis\\b') THEN 'Says' WHEN regexp_matches(text, '\\b(that|with)\\b') THEN 'Joins' END AS label FROM sent
-  WHERE length(text) BETWEEN 28 AND 420 AND len({_TOK.format('text')}) >= 6 AND NOT regexp_matches(text, 'virtual\\s+university|vubookshoppk|whatsapp|copyright|all\\s+rights\\s+reserved|^lecture\\s+no|^page\\s+\\d|handout|^\\d+$|table\\s+of\\s+contents|^topic\\s+\\d')),
+  WHERE length(text) BETWEEN 28 AND 420 AND len({_TOK.format('text')}) >= 6 AND NOT regexp_matches(text, '{cues.NOISE}')),
 swept AS (SELECT doc_id, page, sent_no, text, CASE label WHEN 'Says' THEN 'high' ELSE 'medium' END AS importance, label || ' (rule sweep)' AS reason FROM cue WHERE label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY sent_no) <= 14)"""
 
 
@@ -237,19 +272,22 @@ def locate_exact(spark, sf):
 
 @query()
 def locate_fuzzy(spark, sf):
-    found = locate.locate_fuzzy(_pages(spark, sf), _candidates(spark, sf).filter("cand_no = 1").withColumn("needle", T.normalize_quote(F.col("text"))), 0.9)
+    found = locate.locate_fuzzy(_pages(spark, sf), _needles(spark, sf), 0.9)
     return found.select("doc_id", "cand_no", "page", "start", "end", "confidence")
 
 
 @query()
 def locate_relaxed(spark, sf):
-    return locate.locate_relaxed(_pages(spark, sf), _candidates(spark, sf).filter("cand_no = 1").withColumn("needle", T.normalize_quote(F.col("text"))), PRESETS["balanced"])
+    return locate.locate_relaxed(_pages(spark, sf), _needles(spark, sf), PRESETS["balanced"])
 
 
 @query()
 def locate_sentences(spark, sf):
     pages = _pages(spark, sf)
-    across = pages.filter("page < 2").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", F.substring("normalized", 1, 120).alias("t")))), lambda x: x["t"]), ". ").alias("needle"), F.lit(0).alias("cand_no"))
+    # Quotes that go on over a page's end: the last sentence of each page, and the first of the next.
+    ends = pages.select("doc_id", "page", T.split_sentences(F.col("normalized")).alias("s")).select("doc_id", "page", F.element_at("s", -1).alias("last"), F.get("s", 0).alias("first"))
+    after = ends.select("doc_id", (F.col("page") - 1).alias("page"), F.col("first").alias("then"))
+    across = ends.join(after, ["doc_id", "page"]).select("doc_id", F.col("page").alias("cand_no"), F.concat(F.rtrim("last"), F.lit(". "), F.ltrim("then")).alias("needle"))
     return locate.locate_sentences(pages, across, PRESETS["balanced"])
 
 
@@ -287,23 +325,49 @@ def novel_cues(spark, sf):
 _MATCHED = "m AS (SELECT doc_id, page, text AS matched_text FROM swept), cov AS (SELECT pg.doc_id, pg.page, length(normalized)::BIGINT AS chars, coalesce(sum(length(matched_text)), 0)::BIGINT AS marked FROM pg LEFT JOIN m USING (doc_id, page) GROUP BY 1, 2, 3)"
 
 
-def _matched(spark, sf):
-    return cues.cue_sweep(_pages(spark, sf), LEXICON).withColumnRenamed("text", "matched_text")
+def _matched(pages: DataFrame) -> DataFrame:
+    return cues.cue_sweep(pages, LEXICON).withColumnRenamed("text", "matched_text")
+
+
+def _written(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages for jobs that read them twice."""
+    return cut(_pages(spark, sf).select("doc_id", "page", "normalized"))
 
 
 @query(f"WITH {_PAGES}, {_CUES}, {_MATCHED} SELECT doc_id, page, chars, marked, CASE WHEN chars > 0 THEN marked::DOUBLE / chars ELSE 0.0 END AS share FROM cov")
 def page_coverage(spark, sf):
-    return report.page_coverage(_pages(spark, sf), _matched(spark, sf))
+    pages = _written(spark, sf)
+    return report.page_coverage(pages, _matched(pages))
 
 
-@query(f"WITH {_PAGES}, {_CUES}, {_MATCHED} SELECT doc_id, sum(chars)::BIGINT AS chars, sum(marked)::BIGINT AS marked, CASE WHEN sum(chars) > 0 THEN sum(marked)::DOUBLE / sum(chars) ELSE 0.0 END AS share, coalesce(string_agg((page + 1)::VARCHAR, ',' ORDER BY page) FILTER (chars >= 220 AND marked = 0), '') AS gaps FROM cov GROUP BY doc_id")
+_COVERED = f"""{_PAGES}, {_CUES}, {_MATCHED},
+docs AS (
+  SELECT doc_id, sum(chars)::BIGINT AS chars, sum(marked)::BIGINT AS marked, CASE WHEN sum(chars) > 0 THEN sum(marked)::DOUBLE / sum(chars) ELSE 0.0 END AS share,
+    coalesce(string_agg((page + 1)::VARCHAR, ',' ORDER BY page) FILTER (chars >= 220 AND marked = 0), '') AS gaps,
+    string_agg(round(CASE WHEN chars > 0 THEN marked::DOUBLE / chars ELSE 0.0 END * 1000)::INT::VARCHAR, ',' ORDER BY page) AS page_permille
+  FROM cov GROUP BY doc_id)"""
+
+
+@query(
+    f"""WITH {_COVERED}, lost AS (SELECT doc_id, count(*) AS unmatched FROM cov WHERE chars < 60 GROUP BY 1),
+added AS (SELECT doc_id, count(*) AS rule_based_added FROM swept GROUP BY 1)
+SELECT docs.*, coalesce(unmatched, 0) AS unmatched, coalesce(rule_based_added, 0) AS rule_based_added, d.n_chars % 4 AS ai_requests
+FROM docs LEFT JOIN lost USING (doc_id) LEFT JOIN added USING (doc_id) JOIN documents d USING (doc_id)"""
+)
 def doc_coverage(spark, sf):
-    return report.doc_coverage(_pages(spark, sf), _matched(spark, sf)).select("doc_id", "chars", "marked", "share", F.array_join(F.transform("gap_pages", lambda p: p.cast("string")), ",").alias("gaps"))
+    """Short pages stand for failures, the length for the number of requests."""
+    pages = _written(spark, sf)
+    swept = cut(_matched(pages))
+    asked = _read(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 4).alias("requests"))
+    found = report.doc_coverage(pages, swept, pages.filter(F.length("normalized") < 60), swept, asked)
+    listed = lambda c, f: F.array_join(F.transform(c, f), ",")
+    shares = listed("page_shares", lambda x: F.round(x * 1000).cast("int").cast("string")).alias("page_permille")
+    return found.select("doc_id", "chars", "marked", "share", listed("gap_pages", lambda p: p.cast("string")).alias("gaps"), shares, "unmatched", "rule_based_added", "ai_requests")
 
 
 @query(f"WITH {_PAGES}, {_CUES} SELECT doc_id, count(DISTINCT (sent_no, page)) AS annotations FROM swept GROUP BY doc_id")
 def expected_annotations(spark, sf):
-    return report.expected_annotations(_matched(spark, sf).withColumnRenamed("sent_no", "group_id"))
+    return report.expected_annotations(_matched(_pages(spark, sf)).withColumnRenamed("sent_no", "group_id"))
 
 
 @query(f"WITH {_PAGES} SELECT doc_id, coalesce(avg(length(normalized)) < 60, true) AS needs_ocr FROM documents LEFT JOIN pg USING (doc_id) GROUP BY doc_id")
@@ -347,7 +411,10 @@ def newest_logs(spark, sf):
     return report.newest(_read(spark, sf, "events").select("event_id", "ts", "user_id"), ["ts", "event_id"])
 
 
-@query("SELECT url, array_to_string(list_transform(regexp_extract_all(lower(url), '\\d+|\\D+'), lambda p: CASE WHEN regexp_matches(p, '^\\d') THEN lpad(p, 20, '0') ELSE p END), '') AS k FROM pages")
+@query(
+    r"""SELECT url, array_to_string(list_transform(regexp_extract_all(lower(url), '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d')
+      THEN lpad(length(regexp_replace(p, '^0+(\d)', '\1'))::VARCHAR, 8, '0') || regexp_replace(p, '^0+(\d)', '\1') ELSE p END), '') AS k FROM pages"""
+)
 def natural_sort(spark, sf):
     return _read(spark, sf, "pages").select("url", T.natural_key(F.col("url")).alias("k")).orderBy("k", "url")
 
@@ -355,12 +422,34 @@ def natural_sort(spark, sf):
 # Requests, replies and the request log
 
 
-@query()
+_CHUNKS = f"""WITH RECURSIVE {_PAGES},
+bl AS (SELECT doc_id, page, '[page ' || (page + 1) || ']' || chr(10) || trim(raw) AS block, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS rn FROM pg WHERE trim(raw) <> ''),
+fo AS (
+  SELECT doc_id, page, block, rn, length(block) AS size, 0 AS chunk_no FROM bl WHERE rn = 1
+  UNION ALL
+  SELECT b.doc_id, b.page, b.block, b.rn, CASE WHEN f.size + length(b.block) > 12000 THEN 0 ELSE f.size END + length(b.block),
+    f.chunk_no + CASE WHEN f.size + length(b.block) > 12000 THEN 1 ELSE 0 END FROM fo f JOIN bl b ON b.doc_id = f.doc_id AND b.rn = f.rn + 1
+), ch AS (
+  SELECT doc_id, chunk_no, string_agg(page::VARCHAR, ',' ORDER BY page) AS pages, string_agg(block, chr(10) || chr(10) ORDER BY page) AS content, count(*) AS n FROM fo GROUP BY 1, 2)"""
+
+
+@query(f"{_CHUNKS} SELECT doc_id, chunk_no, pages, content, least(60, greatest(3, n * 7)) AS max_highlights FROM ch")
 def build_chunks(spark, sf):
     return requests.build_chunks(_pages(spark, sf), "balanced").select("doc_id", "chunk_no", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"), "content", "max_highlights")
 
 
-@query()
+@query(
+    f"""{_CHUNKS}, {_CUES},
+se AS (SELECT doc_id, string_agg(n || '. ' || left(text, 90), chr(10) ORDER BY n) FILTER (n <= 60) AS list, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, sent_no) AS n FROM swept) GROUP BY 1),
+rq AS (
+  SELECT c.*, p.*, greatest(3, floor(least(60, greatest(3, c.n * 12)) * share + 0.5))::INT AS quota
+  FROM ch c, (VALUES (0, 'primary', 1.0::DOUBLE), (1, 'gap', 0.8::DOUBLE), (2, 'structured', 0.8::DOUBLE)) p(pass_no, pass, share))
+SELECT doc_id, chunk_no, pass_no, pass, quota,
+  concat_ws(chr(10), 'Course: ' || source, 'Handout: d' || doc_id || '.pdf', 'Return at most ' || quota || ' highlights for this content.',
+    CASE WHEN pass_no > 0 AND chunk_no = 0 THEN concat_ws(chr(10), chr(10) || 'ALREADY SELECTED (do not return these again):', list, CASE WHEN se.n > 60 THEN '...and ' || (se.n - 60) || ' more.' END) END,
+    chr(10) || 'HANDOUT CONTENT:', content) AS message
+FROM rq JOIN documents USING (doc_id) LEFT JOIN se USING (doc_id)""".replace("list, CASE", "se.list, CASE").replace("chunk_no = 0 THEN", "chunk_no = 0 AND se.n > 0 THEN")
+)
 def build_requests(spark, sf):
     pages = _pages(spark, sf)
     named = _read(spark, sf, "documents").select("doc_id", F.col("source").alias("course"), F.concat(F.lit("d"), "doc_id", F.lit(".pdf")).alias("file_name"))
@@ -368,7 +457,7 @@ def build_requests(spark, sf):
     return requests.build_requests(requests.build_chunks(pages, "complete").join(named, "doc_id"), found, "complete")
 
 
-@query()
+@query(f"{_CHUNKS} SELECT doc_id, 3 * count(*) AS requests FROM ch GROUP BY 1")
 def estimate_requests(spark, sf):
     chunks = requests.build_chunks(_pages(spark, sf), "complete")
     return chunks.join(F.broadcast(requests.pass_plan(spark, "complete"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("requests"))
@@ -377,7 +466,8 @@ def estimate_requests(spark, sf):
 def _replies(spark, sf):
     entry = F.struct(F.when(F.col("turn") % 5 == 0, "").otherwise(F.col("text")).alias("text"), F.when(F.col("turn") % 4 == 0, "vital").otherwise("high").alias("importance"), F.col("role").alias("reason"))
     json = F.to_json(F.struct(F.array(entry).alias("highlights")))
-    reply = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), json, F.lit("\n```"))).when(F.col("turn") % 7 == 1, F.lit("no answer")).otherwise(json)
+    broken = F.element_at(F.array(F.lit("no answer"), F.lit('{"highlights": [} '), F.lit('{"marks": []}'), F.lit('{"highlights": 3}')), (F.col("conv_id") % 4 + 1).cast("int"))
+    reply = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), json, F.lit("\n```"))).when(F.col("turn") % 7 == 1, broken).otherwise(json)
     return _read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("chunk_no"), F.col("turn").alias("pass_no"), reply.alias("reply"))
 
 
@@ -386,7 +476,7 @@ def parse_replies(spark, sf):
     return requests.parse_replies(_replies(spark, sf))[0].select("doc_id", "pass_no", "text", "reason")
 
 
-@query("SELECT conv_id AS doc_id, turn AS pass_no, 'no JSON object' AS error FROM conversations WHERE turn % 3 <> 0 AND turn % 7 = 1")
+@query("SELECT conv_id AS doc_id, turn AS pass_no, CASE conv_id % 4 WHEN 0 THEN 'no JSON object' WHEN 1 THEN 'not valid JSON' ELSE 'no highlights array' END AS error FROM conversations WHERE turn % 3 <> 0 AND turn % 7 = 1")
 def reply_rejects(spark, sf):
     return requests.parse_replies(_replies(spark, sf))[1].select("doc_id", "pass_no", "error")
 
@@ -397,9 +487,9 @@ def merge_passes(spark, sf):
     return requests.merge_passes(passes).select("doc_id", "pass_no")
 
 
-@query(f"WITH {_LOG} SELECT key, count(*) AS requests, count(*) FILTER (outcome = 'success') AS succeeded, count(*) FILTER (outcome <> 'success') AS failed, count(*) FILTER (outcome = 'rate-limit') AS rate_limited, max(ts) AS last_used, last(message ORDER BY ts, request_id) AS last_error FROM rl GROUP BY key")
+@query(f"WITH {_LOG} SELECT key, count(*) AS requests, count(*) FILTER (outcome = 'success') AS succeeded, count(*) FILTER (outcome <> 'success') AS failed, count(*) FILTER (outcome = 'rate-limit') AS rate_limited, count(*) FILTER (CAST(ts AS DATE) = DATE '2024-01-10') AS used_today, max(ts) AS last_used, last(message ORDER BY ts, request_id) AS last_error FROM rl GROUP BY key")
 def key_stats(spark, sf):
-    return request_log.key_stats(_log(spark, sf))
+    return request_log.key_stats(_log(spark, sf), F.to_date(F.lit("2024-01-10")))
 
 
 @query(f"WITH {_LOG} SELECT count(*)::BIGINT AS requests, count(*) FILTER (outcome = 'success')::BIGINT AS succeeded, count(*) FILTER (outcome <> 'success')::BIGINT AS failed, count(*) FILTER (outcome = 'rate-limit')::BIGINT AS rate_limited FROM rl")
@@ -417,9 +507,7 @@ def request_spacing(spark, sf):
     return request_log.request_spacing(_log(spark, sf), 15)
 
 
-@query(f"""WITH {_LOG}, a AS (SELECT *, sum((outcome = 'success')::INT) OVER (PARTITION BY key ORDER BY ts, request_id) AS island, sum((outcome = 'rate-limit')::INT) OVER (PARTITION BY key ORDER BY ts, request_id) AS total FROM rl),
-b AS (SELECT *, outcome = 'rate-limit' AND total >= 2 AS daily FROM a), c AS (SELECT *, sum((outcome = 'rate-limit' AND NOT daily)::INT) OVER (PARTITION BY key, island ORDER BY ts, request_id) AS step FROM b)
-SELECT request_id, key, CASE WHEN daily THEN 'exhausted' WHEN outcome = 'rate-limit' THEN 'cooling' ELSE 'idle' END AS state, CASE WHEN outcome = 'rate-limit' AND NOT daily THEN [20, 45, 90, 180, 300][least(step, 5)::INT] END AS rest_s FROM c""".replace("quota exceeded ", "quota is exceeded "))
+@query(f"WITH {_LADDER} SELECT request_id, key, state, rest_s FROM ladder")
 def cooldown_ladder(spark, sf):
     return request_log.cooldown_ladder(_log(spark, sf))
 
@@ -434,15 +522,27 @@ def audit_preserved(spark, sf):
     return report.audit(pages, after)
 
 
-@query()
-def assemble_page_text(spark, sf):
+#: Words of each page in lines of nine, and whether a hyphen at a line's end joins a word to the next.
+_LAID = f"""{_PAGES}, w0 AS (SELECT doc_id, page, string_split(raw, ' ') AS a FROM pg),
+w1 AS (SELECT doc_id, page, unnest(a) AS str, unnest(range(0, len(a))) AS i FROM w0),
+w AS (SELECT doc_id, page, i, trim({_FOLD.format('str')}) AS str, lead(trim({_FOLD.format('str')})) OVER (PARTITION BY doc_id, page ORDER BY i) AS nxt FROM w1 WHERE str <> '')"""
+_WRAPPED = r"(i % 9 = 8 AND regexp_matches(str, '{0}-$') AND regexp_matches(nxt, '^\p{{L}}'))"
+_LINES = "string_agg(CASE WHEN {0} THEN left(str, length(str) - 1) WHEN nxt IS NULL THEN str ELSE str || ' ' END, '' ORDER BY i) AS normalized, string_agg(str, ' ' ORDER BY i) AS raw"
+
+
+def _runs(spark: SparkSession, sf: str, step: int) -> DataFrame:
     words = _pages(spark, sf).select("doc_id", "page", F.posexplode(F.split("raw", " ")).alias("run_no", "str"))
     line = F.floor(F.col("run_no") / 9)
-    runs = words.select("doc_id", "page", "run_no", "str", (50.0 + (F.col("run_no") % 9) * 60).alias("x"), (780.0 - line * 17.6).alias("y"), F.lit(40.0).alias("width"), F.lit(11.0).alias("height"), F.lit(11.0).alias("font_size"))
-    return layout.assemble_page_text(runs)[0]
+    sizes = [F.lit(40.0).alias("width"), F.lit(11.0).alias("height"), F.lit(11.0).alias("font_size")]
+    return words.select("doc_id", "page", "run_no", "str", (50.0 + (F.col("run_no") % 9) * step).alias("x"), (780.0 - line * 17.6).alias("y"), *sizes)
 
 
-@query()
+@query(f"WITH {_LAID} SELECT doc_id, page, {_LINES.format(_WRAPPED.format(r'\p{L}'))} FROM w GROUP BY 1, 2")
+def assemble_page_text(spark, sf):
+    return layout.assemble_page_text(_runs(spark, sf, 60))[0]
+
+
+@query(f"WITH {_LAID} SELECT doc_id, page, {_LINES.format(_WRAPPED.format(''))} FROM w GROUP BY 1, 2")
 def ocr_reading_order(spark, sf):
     words = _pages(spark, sf).select("doc_id", "page", F.posexplode(F.split("raw", " ")).alias("i", "text"))
     x, y = (F.col("i") % 9) * 60.0, F.floor(F.col("i") / 9) * 20.0
@@ -450,13 +550,14 @@ def ocr_reading_order(spark, sf):
     return layout.ocr_reading_order(boxes)[0]
 
 
-@query()
+@query(
+    f"""WITH {_LAID}, l AS (
+  SELECT doc_id, page, i // 9 AS line, (count(*) - 1) * 45 + 40.0::DOUBLE * min(CASE WHEN {_WRAPPED.format(r'\p{L}')} THEN (length(str) - 1)::DOUBLE / length(str) ELSE 1.0::DOUBLE END) AS width FROM w GROUP BY 1, 2, 3)
+SELECT doc_id, page, count(*)::INT AS lines, round(sum(width), 3) AS width FROM l GROUP BY 1, 2"""
+)
 def merge_rects(spark, sf):
-    words = _pages(spark, sf).filter("page = 0").select("doc_id", "page", F.posexplode(F.slice(F.split("raw", " "), 1, 40)).alias("run_no", "str"))
-    line = F.floor(F.col("run_no") / 9)
-    runs = words.select("doc_id", "page", "run_no", "str", (50.0 + (F.col("run_no") % 9) * 45).alias("x"), (780.0 - line * 17.6).alias("y"), F.lit(40.0).alias("width"), F.lit(11.0).alias("height"), F.lit(11.0).alias("font_size"))
-    _, pieces = layout.assemble_page_text(runs)
+    _, pieces = layout.assemble_page_text(_runs(spark, sf, 45))
+    pieces = cut(pieces)
     spans = pieces.groupBy("doc_id", "page").agg(F.lit(0).alias("start"), F.max("norm_end").alias("end")).withColumn("span_id", F.lit(0))
-    return layout.merge_rects(layout.span_runs(spans, pieces)).select("doc_id", F.size("rects").alias("lines"), F.round(F.aggregate("rects", F.lit(0.0), lambda a, r: a + r["width"]), 3).alias("width"))
-
-
+    widths = F.aggregate("rects", F.lit(0.0), lambda a, r: a + r["width"])
+    return layout.merge_rects(layout.span_runs(spans, pieces)).select("doc_id", "page", F.size("rects").alias("lines"), F.round(widths, 3).alias("width"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import streaming
+from .. import sources, streaming
 from ..functions import text as T
-from ..operators import claim, cues, layout, report, request_log, requests
+from ..operators import claim, cues, layout, locate, report, request_log, requests
 from ..sources import load_pages
-from .queries import _CUES, _FOLD, _LOG, _PAGES, _PATHS, _SENT, _STATUS, _TOK, LEXICON, _log, _pages, _paths, _read, _status, query
+from ..settings import HIGHLIGHTS_PER_PAGE, PRESETS
+from ..tables import scratch
+from .queries import _CHUNKS, _CUES, _FOLD, _LADDER, _LOG, _PAGES, _PATHS, _SENT, _STATUS, _TOK, LEXICON, _log, _pages, _paths, _read, _requests, _status, query
 
 # Filters
 
@@ -50,7 +52,7 @@ def filter_ocr_words(spark, sf):
 @query(f"WITH {_LOG}, d AS (SELECT min(CAST(ts AS DATE)) AS today FROM rl) SELECT key, (count(*) FILTER (CAST(ts AS DATE) = today))::BIGINT AS used FROM rl, d GROUP BY key")
 def usage_snapshot(spark, sf):
     log = _log(spark, sf)
-    today = str(log.agg(F.min(F.to_date("ts"))).first()[0])
+    today = log.agg(F.min(F.to_date("ts")).alias("today"))
     return request_log.usage_snapshot(request_log.daily_budget(log, 0), log.select("key").distinct(), today)
 
 
@@ -99,9 +101,42 @@ def union_candidates(spark, sf):
 # Reports
 
 
-@query(f"WITH {_STATUS} SELECT doc_id, course, 'no text in ' || course AS error FROM st WHERE status = 'failed'")
+@query(
+    f"""WITH {_STATUS}, t AS (SELECT count(*) AS total, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped FROM st)
+SELECT doc_id, course, 'no text in ' || course AS error, t.* FROM st, t WHERE status = 'failed'"""
+)
 def results_summary(spark, sf):
-    return report.failed_documents(_status(spark, sf).withColumn("error", F.concat(F.lit("no text in "), "course"))).select("doc_id", "course", "error")
+    totals, failed = report.results_summary(_status(spark, sf).withColumn("error", F.concat(F.lit("no text in "), "course")))
+    return failed.select("doc_id", "course", "error").join(F.broadcast(totals))  # one row
+
+
+@query(f"WITH {_STATUS} SELECT count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS remaining FROM st")
+def resume_summary(spark, sf):
+    return report.resume_summary(_status(spark, sf))
+
+
+@query(f"WITH {_STATUS} SELECT doc_id, course, n_chars, status FROM st WHERE course = 'src3'")
+def filter_course(spark, sf):
+    return report.filter_course(_status(spark, sf), "src3")
+
+
+@query(
+    f"""WITH {_STATUS}, o AS (SELECT doc_id, CASE WHEN status = 'pending' OR doc_id % 2 = 1 THEN 'pending' ELSE status END AS status FROM st)
+SELECT doc_id, status, CASE WHEN status = 'pending' THEN 0 ELSE n_chars // 100 END AS highlight_count FROM o JOIN documents USING (doc_id)"""
+)
+def resume_join(spark, sf):
+    known = _status(spark, sf)
+    root = F.when(F.col("doc_id") % 2 == 0, "here").otherwise("elsewhere").alias("root")
+    snapshot = known.select(root, "doc_id", "status", F.floor(F.col("n_chars") / 100).alias("highlight_count"))
+    return report.resume_join(known.select("doc_id"), snapshot, "here")
+
+
+@query(f"WITH {_STATUS} SELECT course, count(*) AS documents, sum(n_chars)::BIGINT AS chars FROM st GROUP BY 1")
+def write_results(spark, sf):
+    """What was written by course, read back."""
+    folder = scratch(spark)
+    sources.write_results(_status(spark, sf), folder)
+    return spark.read.parquet(folder).groupBy("course").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
 
 
 @query(f"WITH {_PATHS}, skipped AS (SELECT count(*) AS n FROM corpus c WHERE NOT is_output AND EXISTS (SELECT 1 FROM corpus o WHERE o.is_output AND lower(o.doc_id) = lower(c.output))) SELECT count(DISTINCT course) FILTER (NOT is_output) AS courses, count(*) FILTER (NOT is_output) AS documents, count(*) FILTER (is_output) AS outputs, count(*) FILTER (NOT is_output) - any_value(skipped.n) AS to_process, 2 AS passes, greatest(0, 3 * 1000 - 400)::BIGINT AS capacity FROM corpus, skipped")
@@ -109,6 +144,138 @@ def preflight_summary(spark, sf):
     return report.preflight(report.scan_corpus(_paths(spark, sf)), "balanced", keys=3, budget=1000, spent=400)
 
 
+# Settings, quotes and passes
+
+
+@query(
+    """SELECT DISTINCT status, least(greatest(c, 0.6), 0.99) AS floor, greatest(0.74, least(greatest(c, 0.6), 0.99) - 0.1) AS relaxed, least(greatest(c * 1.2 - 0.1, 0.1), 0.95) AS ceiling
+FROM (SELECT l_linestatus || l_linenumber AS status, l_linenumber::DOUBLE / 7 AS c FROM lineitem)"""
+)
+def clamp_settings(spark, sf):
+    """Settings from the rows of a table, as columns."""
+    rows = _read(spark, sf, "lineitem").select(F.concat("l_linestatus", "l_linenumber").alias("status"), (F.col("l_linenumber").cast("double") / 7).alias("c")).distinct()
+    floor, relaxed, ceiling = T.clamped(F.col("c"), F.col("c") * F.lit(1.2) - F.lit(0.1))
+    return rows.select("status", floor.alias("floor"), relaxed.alias("relaxed"), ceiling.alias("ceiling"))
+
+
+@query("SELECT doc_id, greatest(3, floor((n_chars % 61) * 0.6::DOUBLE + 0.5))::INT AS quota FROM documents")
+def pass_quota(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", requests.pass_quota(F.col("n_chars") % 61, F.lit(0.6)).alias("quota"))
+
+
+@query(
+    """SELECT doc_id, coverage, least(60, greatest(3, (n_chars % 20) * per_page))::INT AS most
+FROM documents, (VALUES ('selective', 3), ('balanced', 7), ('complete', 12)) p(coverage, per_page)"""
+)
+def coverage_presets(spark, sf):
+    """Highlights that each preset allows for documents of so many pages."""
+    most = lambda k: F.least(F.lit(60), F.greatest(F.lit(3), (F.col("n_chars") % 20) * HIGHLIGHTS_PER_PAGE[k])).cast("int")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("coverage"), most(k).alias("most")) for k in PRESETS]))
+    return _read(spark, sf, "documents").select("doc_id", each.alias("x")).select("doc_id", "x.*")
+
+
+@query(
+    f"""WITH {_PAGES}, {_CUES.replace("'Says'", "'Rule one'").replace("'Joins'", "'Rule two'")} SELECT label, count(*) AS n FROM cue WHERE label IS NOT NULL GROUP BY 1"""
+)
+def cue_lexicon(spark, sf):
+    """Hits of each rule of a lexicon of one's own, on all sentences."""
+    own = [(f"Rule {name}", importance, pattern) for name, (_, importance, pattern) in zip(("one", "two"), LEXICON, strict=True)]
+    found = cues.cue_sweep(_pages(spark, sf), own, most=1 << 30)
+    return found.groupBy(F.regexp_replace("reason", r" \(rule sweep\)$", "").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_PAGES}, {_CUES} SELECT DISTINCT doc_id, text FROM swept EXCEPT SELECT doc_id, text FROM swept WHERE page % 2 = 1")
+def except_known(spark, sf):
+    found = cues.cue_sweep(_pages(spark, sf), LEXICON).select("doc_id", "page", "text")
+    return claim.novel_cues(found.filter("page % 2 = 0").select("doc_id", "text"), found.filter("page % 2 = 1").select("doc_id", "text")).distinct()
+
+
+@query(
+    """WITH p AS (SELECT conv_id AS doc_id, turn AS pass_no, text, (conv_id + turn) % 5 <> 0 AS ok FROM conversations),
+f AS (SELECT doc_id, min(pass_no) FILTER (NOT ok) AS failed FROM p GROUP BY 1)
+SELECT doc_id, pass_no, text, row_number() OVER (PARTITION BY doc_id ORDER BY pass_no)::INT - 1 AS cand_no FROM p JOIN f USING (doc_id)
+WHERE (failed IS NULL OR pass_no < failed) AND doc_id NOT IN (SELECT doc_id FROM p WHERE pass_no = 0 AND NOT ok)"""
+)
+def union_passes(spark, sf):
+    turns = _read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("chunk_no"), F.col("turn").alias("pass_no"), F.lit(0).alias("pos"), "text", ((F.col("conv_id") + F.col("turn")) % 5 != 0).alias("ok"))
+    return requests.union_passes(turns.drop("ok"), turns.drop("text", "pos")).select("doc_id", "pass_no", "text", "cand_no")
+
+
+@query(f"{_CHUNKS} SELECT doc_id, chunk_no, left(content, 60) AS text, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no)::INT - 1 AS cand_no FROM ch")
+def candidate_source(spark, sf):
+    """Candidates from a callable that is given the chunks; here it answers with the beginning of each."""
+
+    def answer(chunks):
+        entry = F.struct(F.substring("content", 1, 60).alias("text"), F.lit("high").alias("importance"), F.lit("first").alias("reason"))
+        return chunks.select("doc_id", "chunk_no", F.lit(0).alias("pass_no"), F.to_json(F.struct(F.array(entry).alias("highlights"))).alias("reply"))
+
+    return requests.analyze(_pages(spark, sf), answer)[0].select("doc_id", "chunk_no", "text", "cand_no")
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, {_TOK.format(_FOLD.format('text'))} AS t FROM conversations), u AS (SELECT conv_id, turn, unnest(t) AS w, unnest(range(0, len(t))) AS i FROM t),
+f AS (SELECT conv_id, turn, w, min(i) AS i FROM u WHERE length(w) >= 4 GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(w) DESC, min(i)) <= 4)
+SELECT conv_id, turn, w AS anchor, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(w) DESC, i)::INT - 1 AS rank FROM f"""
+)
+def top_anchors(spark, sf):
+    words = T.anchor_tokens(T.normalize_quote(F.col("text")))
+    return _read(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(words).alias("rank", "anchor"))
+
+
+@query("SELECT l_orderkey AS doc_id, l_suppkey % 2 AS cand_no, arg_max(l_linenumber, (l_discount::DOUBLE, -l_linenumber)) AS page, max(l_discount)::DOUBLE AS confidence FROM lineitem GROUP BY 1, 2")
+def best_hit(spark, sf):
+    """Lines of orders stand for pages, their discounts for how alike they are; many are equal."""
+    hits = _read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_suppkey") % 2).alias("cand_no"), F.col("l_linenumber").alias("page"), F.col("l_discount").cast("double").alias("confidence"))
+    return locate.best_hit(hits).select("doc_id", "cand_no", "page", "confidence")
+
+
+_ALNUM = r"[\p{L}\p{N}]"
+
+
+@query(
+    rf"""WITH RECURSIVE {_PAGES},
+sp AS (SELECT doc_id, page, normalized AS t, ord::INT AS ord, (ord * 25)::INT AS s, least(ord * 25 + 100, length(normalized))::INT AS e FROM (SELECT *, unnest(range(0, (length(normalized) + 24) // 25)) AS ord FROM pg)),
+sn AS (
+  SELECT doc_id, page, ord, length(t) AS chars_in_page,
+    CASE WHEN s > 0 AND regexp_matches(t[s + 1], '{_ALNUM}') AND regexp_matches(t[s], '{_ALNUM}') THEN s - length(regexp_extract(t[1:s], '{_ALNUM}*$')) ELSE s END AS s,
+    CASE WHEN e < length(t) AND regexp_matches(t[e + 1], '{_ALNUM}') AND regexp_matches(t[e], '{_ALNUM}') THEN e + length(regexp_extract(t[e + 1:], '^{_ALNUM}*')) ELSE e END AS e
+  FROM sp),
+cl AS (
+  SELECT doc_id, page, -1 AS ord, 0 AS s, 0 AS e, NULL::VARCHAR AS reason, []::STRUCT(s BIGINT, e BIGINT)[] AS claimed, 0::BIGINT AS chars FROM (SELECT DISTINCT doc_id, page FROM sn)
+  UNION ALL
+  SELECT doc_id, page, ord, s, e, reason, CASE WHEN reason IS NULL THEN list_append(claimed, {{'s': s, 'e': e}}) ELSE claimed END, chars + CASE WHEN reason IS NULL THEN e - s ELSE 0 END
+  FROM (
+    SELECT n.*, c.claimed, c.chars, CASE
+      WHEN len(list_filter(c.claimed, lambda x: greatest(0, least(x.e, n.e) - greatest(x.s, n.s))::DOUBLE / least(x.e - x.s, n.e - n.s) >= 0.7)) > 0 THEN '{claim.REPEAT}'
+      WHEN len(c.claimed) >= 10 THEN 'per-page highlight cap (10) reached'
+      WHEN len(c.claimed) > 0 AND c.chars + n.e - n.s > greatest(chars_in_page * 0.5::DOUBLE, 240) THEN '{claim.CEILING}' END AS reason
+    FROM cl c JOIN sn n ON n.doc_id = c.doc_id AND n.page = c.page AND n.ord = c.ord + 1))
+SELECT doc_id, page, ord AS cand_no, s::INT AS span_start, e::INT AS span_end, reason FROM cl WHERE ord >= 0"""
+)
+def span_dedup(spark, sf):
+    """Spans of 100 characters that begin every 25, claimed in their order: repeats, the cap and the ceiling all occur."""
+    pages = _pages(spark, sf).filter("normalized <> ''")
+    every = F.explode(F.sequence(F.lit(0), F.floor((F.length("normalized") + 24) / 25).cast("int") - 1)).alias("ord")
+    spans = pages.select("doc_id", "page", F.length("normalized").alias("n"), every)
+    hits = spans.select("doc_id", "page", "ord", F.col("ord").alias("cand_no"), F.lit(0).alias("part"), (F.col("ord") * 25).alias("start"), F.least(F.col("ord") * 25 + 100, F.col("n")).alias("end"), F.lit(1.0).alias("confidence"))
+    return claim.claim_spans(hits, pages, PRESETS["balanced"]).select("doc_id", "page", "cand_no", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "reason")
+
+
+@query(f"WITH {_PAGES}, m AS (SELECT conv_id AS doc_id, turn AS page FROM conversations) SELECT doc_id, page, length(normalized) AS chars FROM m JOIN pg USING (doc_id, page)")
+def page_lookup(spark, sf):
+    hits = _read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"))
+    return claim.with_pages(hits, _pages(spark, sf)).select("doc_id", "page", F.length("normalized").alias("chars"))
+
+
+@query(
+    f"""WITH {_PAGES}, s AS (SELECT doc_id, page, squash(normalized) AS old FROM pg) SELECT doc_id, page, old AS old, old || ' more' AS new, true AS kept FROM s""".replace("squash(normalized)", "trim(regexp_replace(normalized, '\\s+', ' ', 'g'))")
+)
+def compare_versions(spark, sf):
+    pages = _pages(spark, sf)
+    after = pages.select("doc_id", "page", F.concat("normalized", F.lit(" [x] more")).alias("normalized"), F.array(F.lit("[x]")).alias("fragments"))
+    return report.compare_versions(pages, after)
+
+
 # Layout and audits
 
 _PIECES = "p AS (SELECT l_orderkey AS k, (l_linenumber - 1) * 10 AS s, (l_linenumber - 1) * 10 + 9 AS e, l_linenumber * 60.0::DOUBLE AS x FROM lineitem), sp AS (SELECT o_orderkey AS k, (o_orderkey % 20)::INT AS s, (o_orderkey % 20)::INT + 25 AS e FROM orders)"
@@ -160,37 +327,44 @@ def audit_counts(spark, sf):
 
 @query(f"WITH {_LOG} SELECT key, CAST(ts AS DATE) AS day, count(*) AS used, count(*) >= 4 AS exhausted FROM rl GROUP BY 1, 2")
 def stream_daily_usage(spark, sf):
-    return streaming.drained(_streamed(spark, sf, "events"), lambda s: streaming.daily_usage(_requests(s), 4), "update", ["key", "day"])
+    return streaming.drained(_streamed(spark, sf, "events"), lambda s: streaming.daily_usage(_timed(s), 4), "update", ["key", "day"])
 
 
 @query(f"WITH {_LOG} SELECT key, date_trunc('minute', ts) AS minute, count(*) AS requests, count(*) > 1 AS over FROM rl GROUP BY 1, 2")
 def stream_rate(spark, sf):
-    return streaming.drained(_streamed(spark, sf, "events"), lambda s: streaming.rate(_requests(s), 1), "update", ["key", "minute"])
+    return streaming.drained(_streamed(spark, sf, "events"), lambda s: streaming.rate(_timed(s), 1), "update", ["key", "minute"])
 
 
-@query(f"SELECT DISTINCT doc_id, key_text FROM (SELECT conv_id AS doc_id, {_FOLD.format('role')} AS key_text FROM conversations) WHERE key_text <> ''")
+@query(f"SELECT DISTINCT source AS doc_id, key_text FROM (SELECT source, {_FOLD.format('text')} AS key_text FROM documents) WHERE key_text <> ''")
 def stream_dedupe(spark, sf):
+    """Texts of each source once; copies are many in the table."""
+
     def first(stream):
-        at = F.timestamp_seconds(F.lit(86_400) + F.col("turn"))  # turns have no time; all are within the watermark
-        return streaming.dedupe(stream.select(F.col("conv_id").alias("doc_id"), F.col("role").alias("text"), at.alias("ts"))).select("doc_id", "key_text")
+        at = F.timestamp_seconds(F.lit(86_400) + F.col("n_chars") % 60)  # documents have no time; all are within the watermark
+        return streaming.dedupe(stream.select(F.col("source").alias("doc_id"), "text", at.alias("ts"))).select("doc_id", "key_text")
 
-    return streaming.drained(_streamed(spark, sf, "conversations"), first, "append", [])
+    return streaming.drained(_streamed(spark, sf, "documents"), first, "append", [])
 
 
-@query(f"WITH {_LOG}, a AS (SELECT *, sum((outcome = 'success')::INT) OVER (PARTITION BY key ORDER BY ts, request_id) AS island FROM rl) SELECT key, request_id, [20, 45, 90, 180, 300][least(row_number() OVER (PARTITION BY key, island ORDER BY ts, request_id), 5)::INT]::INT AS rest_s, (row_number() OVER (PARTITION BY key ORDER BY ts, request_id))::INT AS total FROM a WHERE outcome = 'rate-limit'")
+@query(
+    f"""WITH {_LADDER} SELECT key, request_id, state, rest_s::INT AS rest_s, total::INT AS total,
+  bool_or(daily) OVER (PARTITION BY key, CAST(ts AS DATE) ORDER BY ts, request_id) AS day_over, bool_or(outcome = 'auth') OVER (PARTITION BY key ORDER BY ts, request_id) AS off
+FROM ladder QUALIFY outcome <> 'success'"""
+)
 def stream_cooldown(spark, sf):
-    return streaming.drained(_streamed(spark, sf, "events"), lambda s: streaming.cooldown(_requests(s)), "append", [])
+    return streaming.drained(_streamed(spark, sf, "events"), lambda s: streaming.cooldown(_timed(s)), "append", [])
 
 
 @query(f"WITH {_PAGES}, {_CUES} SELECT doc_id, page, sent_no, text, importance, reason FROM swept")
 def stream_documents(spark, sf):
     """Cues of each new document; every file of documents is read once."""
-    return streaming.drained(_streamed(spark, sf, "documents"), lambda s: s, "append", [], lambda df: cues.cue_sweep(load_pages(df), LEXICON))
+    folder = scratch(spark)
+    streaming.documents(_streamed(spark, sf, "documents"), lambda df: cues.cue_sweep(load_pages(df), LEXICON), f"{folder}/rows", f"{folder}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch")
 
 
-def _requests(events):
-    limited = F.col("event_type") == "error"
-    return events.select(F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("key"), F.when(limited, "rate-limit").otherwise("success").alias("outcome"))
+def _timed(events):
+    return _requests(events).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _streamed(spark, sf, table):

@@ -46,3 +46,4 @@ PASSES = {
 HIGHLIGHTS_PER_PAGE = {"selective": 3, "balanced": 7, "complete": 12}
 CHUNK_CHARS, CHUNK_HIGHLIGHTS = 12_000, 60
 COOLDOWN_SECONDS = (20, 45, 90, 180, 300)
+TROUBLE_SECONDS = 5

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_text, squash_space
@@ -15,11 +17,14 @@ def load_pages(documents: DataFrame, lines: int = 5, text: str = "text") -> Data
     return paged.select("doc_id", "page", squash_space(F.col("body")).alias("raw"), F.trim(fold_text(F.col("body"))).alias("normalized"))
 
 
-def list_files(spark, root: str) -> DataFrame:
-    """Paths below a root and sizes; contents aren't read."""
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)"
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Paths below a root folder (absolute or with a scheme) and sizes; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"))
-    relative: Column = F.regexp_replace("path", "^.*?" + root.rstrip("/").split("/")[-1] + "/", "")
-    return files.select(relative.alias("path"), "size")
+    start = len(re.sub(_SCHEME, "", root).rstrip("/")) + 2
+    return files.select(F.expr(f"substring(regexp_replace(path, r'{_SCHEME}', ''), {start})").alias("path"), "size")
 
 
 def write_results(results: DataFrame, path: str) -> None:

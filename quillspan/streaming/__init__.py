@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions.text import normalize_quote
-from ..settings import COOLDOWN_SECONDS
+from ..functions.text import detect_daily_quota, normalize_quote
+from ..settings import COOLDOWN_SECONDS, TROUBLE_SECONDS
 from ..tables import scratch
 
 #: Keeps state on disk and holds several states of a key.
@@ -34,9 +34,12 @@ def dedupe(candidates: DataFrame) -> DataFrame:
     return keyed.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["doc_id", "key_text"])
 
 
-def documents(stream: DataFrame, batch: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """New documents through a batch pipeline, appended to ``path``; a restart goes on where it stopped."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: batch(df).write.mode("append").parquet(path)).start()
+def documents(stream: DataFrame, batch: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """New documents through a batch pipeline to ``path``, a folder for each micro-batch (column ``batch``). A restart goes on where it
+    stopped; a batch that is run again after a crash replaces its own folder. ``once``: until all that is there has been read."""
+    write = lambda df, i: batch(df).write.mode("overwrite").parquet(f"{path}/batch={i}")
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def drained(stream: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str, keys: list[str], batch: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -61,28 +64,41 @@ def drained(stream: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str,
 
 
 class _Cooldown(StatefulProcessor):
-    """Rate limits in a row and in all of one key."""
+    """Of one key: rate limits in a row, in all, the UTC day that is over for it, and whether it is off."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("streak", "row_no int, total int")
+        self.state = handle.getValueState("streak", "row_no int, total int, over string, off boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        streak, total = self.state.get() if self.state.exists() else (0, 0)
+        streak, total, over, off = self.state.get() if self.state.exists() else (0, 0, "", False)
         out = []
         for r in pd.concat(list(rows)).sort_values(["ts", "request_id"]).itertuples():
+            state, rest = "idle", None
             if r.outcome == "success":
                 streak = 0
             elif r.outcome == "rate-limit":
                 total += 1
-                out.append((key[0], r.request_id, COOLDOWN_SECONDS[min(streak, len(COOLDOWN_SECONDS) - 1)], total))
-                streak += 1
-        self.state.update((int(streak), int(total)))
-        yield pd.DataFrame(out, columns=["key", "request_id", "rest_s", "total"])
+                if r.daily and total >= 2:
+                    state, over = "exhausted", str(r.ts.date())
+                else:
+                    state, rest = "cooling", COOLDOWN_SECONDS[min(streak, len(COOLDOWN_SECONDS) - 1)]
+                    streak += 1
+            elif r.outcome in ("network", "timeout"):
+                state, rest = "cooling", TROUBLE_SECONDS
+            elif r.outcome == "auth":
+                state, off = "disabled", True
+            if r.outcome != "success":
+                out.append((key[0], r.request_id, state, rest, total, over == str(r.ts.date()), off))
+        self.state.update((int(streak), int(total), over, bool(off)))
+        found = pd.DataFrame(out, columns=["key", "request_id", "state", "rest_s", "total", "day_over", "off"])
+        yield found.astype({"rest_s": "Int32"})
 
     def close(self) -> None:
-        pass
+        """Nothing is held open."""
 
 
 def cooldown(log: DataFrame) -> DataFrame:
-    """How long a key rests after each rate limit; needs the RocksDB state store."""
-    return log.groupBy("key").transformWithStateInPandas(_Cooldown(), "key long, request_id long, rest_s int, total int", "append", "none")
+    """What each failure does to its key, as ``request_log.cooldown_ladder`` says it: the state, the rest in seconds, rate limits so far,
+    whether the key's day is over, and whether it was refused. Needs the RocksDB state store."""
+    marked = log.withColumn("daily", F.coalesce(detect_daily_quota(F.col("message")), F.lit(False))).select("key", "ts", "request_id", "outcome", "daily")
+    return marked.groupBy("key").transformWithStateInPandas(_Cooldown(), "key long, request_id long, state string, rest_s int, total int, day_over boolean, off boolean", "append", "none")

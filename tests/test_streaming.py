@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 from quillspan import streaming
+from quillspan.operators import request_log
 
 START = datetime(2024, 1, 1, 12)
 
@@ -27,11 +28,17 @@ def test_usage_and_duplicates(spark, tmp_path):
 
 def test_cooldown_and_documents(spark, tmp_path):
     outcomes = ["rate-limit", "rate-limit", "network", "rate-limit", "success", "rate-limit"]
-    log = spark.createDataFrame([(START + timedelta(seconds=i), i, k, o) for k in (1, 2) for i, o in enumerate(outcomes)], "ts timestamp, request_id long, key long, outcome string")
+    outcomes += ["timeout", "rate-limit", "rate-limit", "auth"]
+    said = {8: "Daily limit"}
+    log = spark.createDataFrame([(START + timedelta(seconds=i), i, k, o, said.get(i)) for k in (1, 2) for i, o in enumerate(outcomes)], "ts timestamp, request_id long, key long, outcome string, message string")
     log.write.parquet(f"{tmp_path}/log")
     provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     rests = streaming.drained(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log"), streaming.cooldown, "append", [])
-    assert sorted((r.key, r.request_id, r.rest_s, r.total) for r in rests.collect()) == [(k, i, s, n) for k in (1, 2) for i, s, n in ((0, 20, 1), (1, 45, 2), (3, 90, 3), (5, 20, 4))]
+    want = [(0, "cooling", 20, 1), (1, "cooling", 45, 2), (2, "cooling", 5, 2), (3, "cooling", 90, 3), (5, "cooling", 20, 4), (6, "cooling", 5, 4), (7, "cooling", 45, 5), (8, "exhausted", None, 6), (9, "disabled", None, 6)]
+    got = sorted((r.key, r.request_id, r.state, r.rest_s, r.total, r.day_over, r.off) for r in rests.collect())
+    assert got == [(k, *w, w[0] >= 8, w[0] == 9) for k in (1, 2) for w in want]
+    ladder = request_log.cooldown_ladder(log).filter("state <> 'idle'")
+    assert sorted((r.key, r.request_id, r.state, r.rest_s) for r in ladder.collect()) == [g[:4] for g in got]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
     docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/docs")
@@ -41,4 +48,15 @@ def test_cooldown_and_documents(spark, tmp_path):
         query.processAllAvailable()
         query.stop()
         assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == want
+        assert set(spark.read.parquet(f"{tmp_path}/out").columns) == {"doc_id", "batch"}
         spark.createDataFrame([(3, "three")], docs.schema).write.mode("append").parquet(f"{tmp_path}/docs")
+
+
+def test_a_batch_that_is_run_again(spark, tmp_path):
+    """After a crash a batch is run again; its rows don't come twice."""
+    docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    read = lambda: spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/docs")
+    for checkpoint in ("first", "lost"):  # a lost checkpoint gives the same batch again
+        streaming.documents(read(), lambda df: df.select("doc_id"), f"{tmp_path}/out", f"{tmp_path}/{checkpoint}", once=True).awaitTermination()
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]

@@ -66,3 +66,32 @@ def test_layout_and_ladder(spark):
     log = [(i, i, "k", o, m) for i, (o, m) in enumerate([("rate-limit", "slow"), ("rate-limit", "slow"), ("network", ""), ("success", None), ("rate-limit", "per day"), ("auth", "")])]
     table = spark.createDataFrame(log, "request_id long, ts long, key string, outcome string, message string")
     assert [(r.state, r.rest_s) for r in request_log.cooldown_ladder(table).orderBy("request_id").collect()] == [("cooling", 20), ("cooling", 45), ("cooling", 5), ("idle", None), ("exhausted", None), ("disabled", None)]
+
+
+def test_natural_key(spark):
+    names = ["a2", "a10", "a", "A1b3", "a123456789012345678901", "a123456789012345678902", "a9" + "0" * 40, "b007", "b7"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", T.natural_key(F.col("n")).alias("k")).collect()
+    assert [r.n for r in sorted(rows, key=lambda r: (r.k, r.n))] == ["a", "A1b3", "a2", "a10", "a123456789012345678901", "a123456789012345678902", "a9" + "0" * 40, "b007", "b7"]
+
+
+def test_list_files(spark, tmp_path):
+    from quillspan.operators import report
+    from quillspan.sources import list_files
+
+    for name in ("my(1)", "data/data"):
+        root = tmp_path / name
+        for path in ("CS101/a.pdf", "CS101/deep/b.PDF", "c.pdf", "CS101/notes.txt"):
+            (root / path).parent.mkdir(parents=True, exist_ok=True)
+            (root / path).write_bytes(b"12345")
+        for given in (str(root), f"file://{root}/"):
+            files = list_files(spark, given)
+            assert {(r.path, r.size) for r in files.collect()} == {(p, 5) for p in ("CS101/a.pdf", "CS101/deep/b.PDF", "c.pdf", "CS101/notes.txt")}
+        assert {(r.course, r.doc_id) for r in report.scan_corpus(files).collect()} == {("CS101", "CS101/a.pdf"), ("CS101", "CS101/deep/b.PDF"), ("Uncategorized", "Uncategorized/c.pdf")}
+
+
+def test_noise_names(spark):
+    from quillspan.operators import cues
+
+    page = spark.createDataFrame([(1, 0, "sold by corner.shop, whereas all of the other books are not. this differs from all of the other books.")], "doc_id long, page int, normalized string")
+    assert [r.sent_no for r in cues.cue_sweep(page).collect()] == [0, 1]
+    assert [r.sent_no for r in cues.cue_sweep(page, noise=cues.noise_with("Corner.Shop")).collect()] == [1]
