@@ -59,6 +59,7 @@ def resolve(records: DataFrame, record_id: str = "record_id", url: str = "url",
     lowered = _by_name(F.map_entries(F.coalesce(F.col(headers), F.create_map().cast("map<string,string>"))))
     cut = records.filter(F.col(kind).isin("response", "revisit")).select(canonical(F.col(url)).alias("u"), F.col(time).cast("long").alias("t"), F.col(record_id).cast("long").alias("i"), (F.col(kind) == "response").alias("full"), lowered.alias("h"))
     order = ["u", "t", "i", "full"]
+    cut = materialize(cut)  # a range shuffle reads its input twice
     dealt = cut.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
