@@ -85,9 +85,9 @@ def _quotes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """A quote of each page: its longest sentence as it is, with every 40th character gone, or what isn't there, in turn by page."""
+    """A quote of each page: its shortest sentence of 40 characters and more, or else the longest, as it is, with every 40th character gone, or what isn't there, in turn by page."""
     sentences = F.transform(T.split_sentences(F.col("normalized")), lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))
-    base = _pages(spark, sf).select("doc_id", F.col("page").alias("cand_no"), F.array_max(sentences)["s"].alias("s")).filter("s <> ''")
+    base = _pages(spark, sf).select("doc_id", F.col("page").alias("cand_no"), F.coalesce(F.array_min(F.filter(sentences, lambda x: x["n"] >= 40)), F.array_max(sentences))["s"].alias("s")).filter("s <> ''")
     kind = F.col("cand_no") % 3
     text = F.when(kind == 0, F.col("s")).when(kind == 1, F.regexp_replace("s", "(.{39}).", "$1")).otherwise(F.concat(F.lit("nowhere to be found "), F.reverse("s")))
     importance = F.when(kind == 0, "high").when(kind == 1, "medium").otherwise("low")
@@ -95,7 +95,10 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _needles(spark: SparkSession, sf: str) -> DataFrame:
-    return _candidates(spark, sf).withColumn("needle", T.normalize_quote(F.col("text")))
+    """A damaged quote of each document, from any of its pages, chosen by hash; all its pages are searched for it."""
+    quotes = _pages(spark, sf).select("doc_id", F.col("page").alias("cand_no"), F.get(F.filter(T.split_sentences(F.col("normalized")), lambda s: F.length(s).between(40, 160)), 0).alias("s")).filter("s IS NOT NULL")
+    one = quotes.groupBy("doc_id").agg(F.max_by(F.struct("cand_no", "s"), F.xxhash64("doc_id", "cand_no")).alias("q"))
+    return one.select("doc_id", "q.cand_no", T.normalize_quote(F.regexp_replace("q.s", "(.{39}).", "$1")).alias("needle"))
 
 
 # Scans and sources
