@@ -58,7 +58,7 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return sources.load_pages(_read(spark, sf, "documents"))
+    return sources.load_pages(sources.read_table(spark, f"{sf}/documents.parquet", "doc_id"))
 
 
 def _requests(events: DataFrame) -> DataFrame:

@@ -95,3 +95,15 @@ def test_noise_names(spark):
     page = spark.createDataFrame([(1, 0, "sold by corner.shop, whereas all of the other books are not. this differs from all of the other books.")], "doc_id long, page int, normalized string")
     assert [r.sent_no for r in cues.cue_sweep(page).collect()] == [0, 1]
     assert [r.sent_no for r in cues.cue_sweep(page, noise=cues.noise_with("Corner.Shop")).collect()] == [1]
+
+
+def test_read_table(spark, tmp_path, monkeypatch):
+    from quillspan import sources
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(100, numPartitions=1).write.parquet(path)
+    spread = sources.read_table(spark, path, "id")
+    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in spread.collect()) == list(range(100))
+    monkeypatch.setattr(sources, "SPREAD_BYTES", 0)
+    assert sources.read_table(spark, path, "id").rdd.getNumPartitions() == 1
