@@ -20,6 +20,8 @@ SLASH = "⁄"
 SPACES = "     　•·…�"
 _FROM = APOSTROPHES + QUOTES + DASHES + SLASH + SPACES
 _TO = "'" * len(APOSTROPHES) + '"' * len(QUOTES) + "-" * len(DASHES) + "/" + " " * len(SPACES)
+#: Characters before a span that are searched first for the beginning of a word.
+_NEAR = 64
 _SENTENCE = r"(?<=[.!?:;])(?U)\s+(?-U)(?=[\p{L}\p{N}(“\"'])"
 
 
@@ -92,7 +94,10 @@ def snap_to_words(text: Column, start: Column, end: Column) -> tuple[Column, Col
     """A span grown outwards so that it cuts no word."""
     at = lambda i: F.substring(text, i + 1, F.lit(1))
     inside = lambda i: at(i).rlike(r"^[\p{L}\p{N}]$") & at(i - 1).rlike(r"^[\p{L}\p{N}]$")
-    before = F.length(F.regexp_extract(F.substring(text, F.lit(1), start), r"[\p{L}\p{N}]*$", 0))
+    before = lambda at: F.length(F.regexp_extract(F.substring(text, at + 1, start - at), r"[\p{L}\p{N}]*$", 0))
+    # Only where a word fills the last characters before the start is all of the text before it searched.
+    near = before(F.greatest(F.lit(0), start - _NEAR))
+    before = F.when(near < _NEAR, near).otherwise(before(F.lit(0)))
     after = F.length(F.regexp_extract(F.substring(text, end + 1, F.length(text)), r"^[\p{L}\p{N}]*", 0))
     return F.when((start > 0) & inside(start), start - before).otherwise(start), F.when((end < F.length(text)) & inside(end), end + after).otherwise(end)
 

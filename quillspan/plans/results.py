@@ -10,7 +10,7 @@ from ..operators import claim, cues, layout, locate, report, request_log, reques
 from ..sources import load_pages
 from ..settings import HIGHLIGHTS_PER_PAGE, PRESETS
 from ..tables import scratch
-from .queries import _CHUNKS, _CUES, _FOLD, _LADDER, _LOG, _PAGES, _PATHS, _SENT, _STATUS, _TOK, LEXICON, _log, _pages, _paths, _read, _requests, _status, query
+from .queries import _CHUNKS, _CUES, _FOLD, _LADDER, _LOG, _PAGES, _PATHS, _SENT, _STATUS, _TOK, LEXICON, _log, _pages, _paths, _read, _requests, _status, _written, query
 
 # Filters
 
@@ -254,7 +254,7 @@ SELECT doc_id, page, ord AS cand_no, s::INT AS span_start, e::INT AS span_end, r
 )
 def span_dedup(spark, sf):
     """Spans of 100 characters that begin every 25, claimed in their order: repeats, the cap and the ceiling all occur."""
-    pages = _pages(spark, sf).filter("normalized <> ''")
+    pages = _written(spark, sf).filter("normalized <> ''")
     every = F.explode(F.sequence(F.lit(0), F.floor((F.length("normalized") + 24) / 25).cast("int") - 1)).alias("ord")
     spans = pages.select("doc_id", "page", F.length("normalized").alias("n"), every)
     hits = spans.select("doc_id", "page", "ord", F.col("ord").alias("cand_no"), F.lit(0).alias("part"), (F.col("ord") * 25).alias("start"), F.least(F.col("ord") * 25 + 100, F.col("n")).alias("end"), F.lit(1.0).alias("confidence"))

@@ -107,3 +107,21 @@ def test_read_table(spark, tmp_path, monkeypatch):
     assert sorted(r.id for r in spread.collect()) == list(range(100))
     monkeypatch.setattr(sources, "SPREAD_BYTES", 0)
     assert sources.read_table(spark, path, "id").rdd.getNumPartitions() == 1
+
+
+def test_snap_to_words_of_any_length(spark):
+    """Words longer than what is searched first, and spans at a text's ends, against a plain version."""
+    text = "a" * 200 + " é-" + "b" * 64 + " " + "c" * 63 + ", x"
+    inside = lambda i: 0 < i < len(text) and text[i].isalnum() and text[i - 1].isalnum()
+
+    def snapped(start, end):
+        while inside(start):
+            start -= 1
+        while inside(end):
+            end += 1
+        return start, end
+
+    spans = [(s, e) for s in (0, 1, 63, 64, 65, 150, 199, 200, 202, 204, 266, 267, 268, 300, 330) for e in (10, 199, 201, 230, 267, 331, len(text)) if s < e]
+    start, end = T.snap_to_words(F.lit(text), F.col("s"), F.col("e"))
+    rows = spark.createDataFrame(spans, "s int, e int").select("s", "e", start.alias("a"), end.alias("b")).collect()
+    assert {(r.s, r.e): (r.a, r.b) for r in rows} == {(s, e): snapped(s, e) for s, e in spans}
