@@ -94,9 +94,9 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     return base.select("doc_id", "cand_no", text.alias("text"), importance.alias("importance"))
 
 
-def _needles(spark: SparkSession, sf: str) -> DataFrame:
+def _needles(pages: DataFrame) -> DataFrame:
     """A damaged quote of each document, from any of its pages, chosen by hash; all its pages are searched for it."""
-    quotes = _pages(spark, sf).select("doc_id", F.col("page").alias("cand_no"), F.get(F.filter(T.split_sentences(F.col("normalized")), lambda s: F.length(s).between(40, 160)), 0).alias("s")).filter("s IS NOT NULL")
+    quotes = pages.select("doc_id", F.col("page").alias("cand_no"), F.get(F.filter(T.split_sentences(F.col("normalized")), lambda s: F.length(s).between(40, 160)), 0).alias("s")).filter("s IS NOT NULL")
     one = quotes.groupBy("doc_id").agg(F.max_by(F.struct("cand_no", "s"), F.xxhash64("doc_id", "cand_no")).alias("q"))
     return one.select("doc_id", "q.cand_no", T.normalize_quote(F.regexp_replace("q.s", "(.{39}).", "$1")).alias("needle"))
 
@@ -275,13 +275,15 @@ def locate_exact(spark, sf):
 
 @query()
 def locate_fuzzy(spark, sf):
-    found = locate.locate_fuzzy(_pages(spark, sf), _needles(spark, sf), 0.9)
+    pages = _written(spark, sf)
+    found = locate.locate_fuzzy(pages, _needles(pages), 0.9)
     return found.select("doc_id", "cand_no", "page", "start", "end", "confidence")
 
 
 @query()
 def locate_relaxed(spark, sf):
-    return locate.locate_relaxed(_pages(spark, sf), _needles(spark, sf), PRESETS["balanced"])
+    pages = _written(spark, sf)
+    return locate.locate_relaxed(pages, _needles(pages), PRESETS["balanced"])
 
 
 @query()
