@@ -10,7 +10,7 @@ other; only the counts of (partition, source) are gathered, never a source.
 
 Cases: a null or empty text has size 0 and may be emitted, adding no words. A null source is a source of its own
 and comes last. Equal sizes go by id; rows equal in both are interchangeable. An empty table gives an empty
-mix. Further columns stay unless they bear the name of an added one, which then replaces them.
+mix. Further columns stay, whatever they are called, but for those that bear an added name, in any case of letters.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SEED = 20240
+_ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def offset_of(seed: int) -> float:
@@ -67,27 +68,29 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     ``size``: a column that has the sizes already. See the module for method and cases.
     """
     spark = docs.sparkSession
-    sized = docs.withColumn("size", F.col(size) if size else size_of(F.col(text)))
-    order = [F.col(source).asc_nulls_last(), F.col("size"), F.col(doc_id).asc_nulls_first()]
+    # The columns travel as one, so that none clashes with those of the joins.
+    kept = F.struct(*[c for c in docs.columns if c.lower() not in _ADDED])
+    sized = docs.select(kept.alias("own"), (F.col(size) if size else size_of(F.col(text))).alias("size"))
+    own = F.col("own")
+    order = [own[source].asc_nulls_last(), F.col("size"), own[doc_id].asc_nulls_first()]
     ordered = sized.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     row = F.monotonically_increasing_id()
-    ordered = materialize(ordered.withColumns({"_part": F.shiftright(row, 33), "_row": row.bitwiseAND(F.lit((1 << 33) - 1))}))
+    ordered = materialize(ordered.withColumns({"part": F.shiftright(row, 33), "row": row.bitwiseAND(F.lit((1 << 33) - 1))}))
     # One row for each partition and each source that begins in it: at most partitions + sources.
-    spans = ordered.groupBy(F.col(source).alias("_source"), F.col("_part").alias("_at")).agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"), F.min("_row").alias("_from"))
+    spans = ordered.groupBy(own[source].alias("name"), F.col("part").alias("at")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.min("row").alias("from"))
     spans = materialize(spans)
-    targets = source_targets(spans.groupBy("_source").agg(F.sum("_words").alias("source_size")), "_source", weights)
-    earlier = Window.partitionBy("_source").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    spans = spans.alias("s").join(targets.alias("t"), F.expr("s._source <=> t._source")).select("s._source", "_at", "_before", "_from", "source_size", "target")
+    targets = source_targets(spans.groupBy("name").agg(F.sum("words").alias("source_size")), "name", weights)
+    earlier = Window.partitionBy("name").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    spans = spans.alias("s").join(targets.alias("t"), F.expr("s.name <=> t.name")).select("s.name", "at", "before", "from", "source_size", "target")
     if spans.count() <= BROADCAST_ROWS:
         spans = F.broadcast(spans)
-    ordered = ordered.drop(*[c for c in ("source_size", "target", "copies", "taken") if c in ordered.columns])
-    joined = ordered.join(spans, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_at")))
-    rank = (F.col("_before") + F.col("_row") - F.col("_from")).cast("double")
+    joined = ordered.join(spans, own[source].eqNullSafe(F.col("name")) & (F.col("part") == F.col("at")))
+    rank = (F.col("before") + F.col("row") - F.col("from")).cast("double")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = lambda n: F.floor(rate * n + F.lit(offset_of(seed)))
     copies = (crossed(rank + 1) - crossed(rank)).cast("long")
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("_source", "_at", "_before", "_from", "_part", "_row")
+    return joined.select("own.*", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:

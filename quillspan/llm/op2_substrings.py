@@ -409,7 +409,7 @@ def repeated_spans(docs: DataFrame, doc_id: str, text: str, group: int = GROUP)
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept_text``, the text without the words that go."""
     integer_ids(docs, doc_id)
-    docs = docs.drop(*[c for c in _ADDED if c in docs.columns])
+    docs = docs.drop(*_ADDED)
     gone = repeated_spans(docs, doc_id, text, group)
     # The columns travel as one, so that none clashes with those of the join.
     n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(_WORD)), F.lit(0)).cast("long")

@@ -155,7 +155,7 @@ def predict(docs: DataFrame, model: tuple[list[str], list[np.ndarray], np.ndarra
     """``docs``, with or without the text, with ``lang_pred`` and ``score``, and ``known`` if ``near`` is given."""
     shared = docs.sparkSession.sparkContext.broadcast((model, near))
     added = {"lang_pred": "string", "score": "double"} | ({} if near is None else {"known": "boolean"})
-    docs = docs.select(*[c for c in docs.columns if c not in added])
+    docs = docs.drop(*added)
     back = [f for f in docs.schema.fields if keep_text or f.name != text]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in back), *(f"{k} {v}" for k, v in added.items())])
 

@@ -74,6 +74,10 @@ def test_mixing(docs, empty):
         expected[r.source] += target[r.source] / sizes[r.source] if sizes[r.source] else 0
     assert len(rows) == len(ROWS) and all(abs(count[s] - expected[s]) <= 1 for s in names)
     assert op1_mixing.emit(op1_mixing.mix(docs)).count() == sum(count.values())
+    clash = docs.withColumns({c: docs["doc_id"] for c in ("own", "name", "at", "before", "from", "part", "row", "n", "words", "_source", "_at", "Copies")})
+    got = op1_mixing.mix(clash)
+    assert got.columns.count("before") == 1 and "Copies" not in got.columns
+    assert {(r.doc_id, r.text, r.copies, r.before) for r in got.collect()} == {(r.doc_id, r.text, r.copies, r.doc_id) for r in rows}
     assert op1_mixing.mix(empty).count() == 0 and taken is not None
 
 
