@@ -10,7 +10,8 @@
    the differences accumulated so far and prunes a whole node once they pass two. Most pairs are ruled out by step 2
    already; the index saves those of large groups.
 4. Of each group only a forest of its links leaves (each class to the smallest id it reaches there), never all pairs.
-   Connected components then follow by large-star and small-star rounds over Spark tables.
+   Connected components then follow by large-star and small-star rounds over Spark tables. Documents learn theirs in
+   a join by fingerprint, in which one that a third of them share is cut.
 
 Cases: a null, empty or wordless text has fingerprint zero and links like others. A null doc_id gets a fingerprint,
 is linked to nothing and has a null component. Repeated ids are one document per fingerprint. Ids are integers. Further columns are ignored.
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import integer_ids, materialize, partitions
+from .scratch import integer_ids, materialize, partitions, spread_join
 from .words import NOT_SPACE, Chunk, chunks
 
 SHINGLE, SEED, DIFFER = 3, 42, 2
@@ -248,10 +249,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row for each row of ``docs``: ``doc_id``, ``fp`` and ``component_id``, the smallest doc_id that links reach."""
     integer_ids(docs, doc_id)
     prints = materialize(fingerprints(docs, doc_id, text, shingle))
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL"))
+    sizes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    classes = sizes.filter("rep IS NOT NULL").select("fp", "rep")
     roots = components(links(classes, group))
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("component_id"))
-    joined = prints.join(named, F.col("fp") == F.col("_fp"), "left")
+    joined = spread_join(prints, named, "fp", "_fp", sizes, F.col("doc_id"))
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 

@@ -22,7 +22,8 @@ themselves. Then, if the articles of a page hold at least half of the text that
 If names and link lists would leave nothing of a page without an article, they don't count there.
 
 Pages are parsed once, to tables of nodes and pieces of text in the shared folder. Nodes are counted by shuffles on (host,
-node, value), so a host with a third of all pages is spread; a page's text meets its host's removed nodes in a join.
+node, value), so a host with a third of all pages is spread; a page's text meets its host's removed nodes in a join, by broadcast
+of a checked size or by a shuffle that cuts large hosts.
 
 Cases: null, empty or broken HTML gives the text that is found, often none. A null or odd url counts as the host ''. Repeated
 pages are extracted each. What lies before or after a removed element in one block stays, also where that one is inline. Elements
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import BROADCAST_ROWS, materialize, slices
+from .scratch import BROADCAST_ROWS, materialize, slices, spread_join
 
 LOW, NAMED, PRESENTATION, PRIOR_PAGES = 0.5, 0.4, 0.1, 4.0
 LINKS, LINK_SHARE = 3, 0.9
@@ -308,14 +309,20 @@ def importance(parsed: DataFrame) -> DataFrame:
     return nodes.select("host", "node", "pages", "prior", evidence.alias("evidence"), (F.col("prior") * evidence).alias("importance"))
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", priors: bool = True) -> DataFrame:
-    """``page_id``, ``url`` and ``text``, the main text of each page. Without ``priors`` the tree alone decides, but for what is never text."""
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", priors: bool = True, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``page_id``, ``url`` and ``text``, the main text of each page. Without ``priors`` the tree alone decides, but for what is never text.
+
+    At most ``broadcast_rows`` nodes that go are broadcast; of more, the pages meet theirs in a shuffle that cuts large hosts.
+    """
     parsed = materialize(parse(pages, page_id, url, html, priors))
     # What its prior alone removes needs no row here.
     low = materialize(importance(parsed).filter((F.col("importance") < LOW) & (F.col("prior") >= LOW)).select("host", "node"))
-    small = low.count() <= BROADCAST_ROWS  # pairs of two longs and a host's name
     by_host = low.groupBy(F.col("host").alias("_host")).agg(F.collect_set("node").alias("low"))
-    joined = parsed.join(F.broadcast(by_host) if small else by_host.hint("merge"), F.col("host") == F.col("_host"), "left")
+    if low.count() <= broadcast_rows:  # pairs of a long and a host's name
+        joined = parsed.join(F.broadcast(by_host), F.col("host") == F.col("_host"), "left")
+    else:
+        sizes = materialize(parsed.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
+        joined = spread_join(parsed, by_host, "host", "_host", sizes, F.xxhash64("page_id", "url"))
     columns = ["texts", "nodes", "blocks", "ids", "parents", "mains", "priors"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ BROADCAST_ROWS = 200_000
 #: Bits of a table of hashed ids.
 MOST_BITS = 1 << 26
 
-__all__ = ["BROADCAST_ROWS", "integer_ids", "materialize", "maybe_in", "partitions", "slices"]
+__all__ = ["BROADCAST_ROWS", "integer_ids", "materialize", "maybe_in", "partitions", "slices", "spread_join"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -52,3 +52,20 @@ def maybe_in(docs: DataFrame, key: Column, ids: DataFrame, flag: str) -> DataFra
     joined = docs.withColumn("_slot", slot(key)).join(F.broadcast(words), place == F.col("_word"), "left")  # bits / 64 rows at most
     found = F.expr("shiftright(_mask, cast(_slot % 64 AS int)) & 1L") == 1
     return joined.withColumn(flag, F.coalesce(found, F.lit(False))).drop("_slot", "_word", "_mask")
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, other: str, sizes: DataFrame, salt: Column) -> DataFrame:
+    """``left`` left-joined by shuffle with ``right`` on ``key = other``, where a key may hold any share of ``left``.
+
+    ``sizes`` (``key``, ``n``) has the rows of each key of ``left``. A key of more rows than a mean partition is cut by ``salt``
+    into parts of about a mean partition, and its rows of ``right`` are repeated for each. There are fewer such keys
+    than partitions, which bounds the broadcast that tells them, and at most twice as many parts.
+    """
+    many = partitions(left.sparkSession)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = sizes.filter(F.col("n") * many > total).select(F.col(key).alias("_hot"), F.ceil(F.col("n") * many / F.lit(max(total, 1))).cast("int").alias("_parts"))
+    told = lambda df, c: df.join(F.broadcast(hot), F.col(c) == F.col("_hot"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).drop("_hot")
+    dealt = told(left, key).withColumn("_salt", F.pmod(F.xxhash64(salt), F.col("_parts")).cast("int")).drop("_parts")
+    copies = told(right, other).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    joined = dealt.join(copies.hint("merge"), (F.col(key) == F.col(other)) & (F.col("_salt") == F.col("_part")), "left")
+    return joined.drop("_salt", "_part")

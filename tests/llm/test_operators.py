@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 pytest.importorskip("quillspan.llm")
-from quillspan.llm import op1_mixing, op2_substrings, op3_licenses, op4_tokens, op5_language, op6_simhash, op7_extraction, op8_decontamination, op9_revisits, op10_quality  # noqa: E402
+from quillspan.llm import op1_mixing, op2_substrings, op3_licenses, op4_tokens, op5_language, op6_simhash, op7_extraction, op8_decontamination, op9_revisits, op10_quality, scratch  # noqa: E402
 from quillspan.llm.words import NOT_SPACE, chunks, run_hashes  # noqa: E402
 
 SPACE, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -276,6 +277,17 @@ def brute_components(pairs):
     return {i: find(i) for i, _ in pairs}
 
 
+def test_spread_join(spark):
+    rows = [(i, 1 if i % 3 else (i if i % 2 else None)) for i in range(300)]
+    left = spark.createDataFrame(rows, "i long, k long")
+    right = spark.createDataFrame([(k, f"{k} {n}") for k in (1, 3, 9, 500) for n in range(2)], "o long, v string")
+    sizes = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    joined = scratch.spread_join(left, right, "k", "o", sizes, F.col("i"))
+    got = Counter((r.i, r.k, r.v) for r in joined.collect())
+    assert got == Counter((i, k, v) for i, k in rows for v in ([f"{k} {n}" for n in range(2)] if k in (1, 3, 9) else [None]))
+    assert joined.columns == ["i", "k", "o", "v"] and scratch.spread_join(left.limit(0), right, "k", "o", sizes.limit(0), F.col("i")).count() == 0
+
+
 def test_simhash(spark, docs, empty):
     prints = [(i, fingerprint(t)) for i, t, *_ in ROWS]
     got = {r.doc_id: r for r in op6_simhash.near_duplicates(docs).collect()}
@@ -367,8 +379,8 @@ def test_extraction_by_the_tree(spark):
     rows = [(i, page.format(menus[i % 3], i // 2, i, ends[i % 2])) for i in range(200)]
     rows += [(1000 + i, rows[0][1]) for i in range(3)]
     df = spark.createDataFrame([(i, "https://site.org/x", html) for i, html in rows], "page_id long, url string, html string")
-    for priors in (True, False):
-        got = {r.page_id: r.text for r in op7_extraction.extract(df, priors=priors).collect()}
+    for priors, most in ((True, 200_000), (False, 200_000), (True, 0)):
+        got = {r.page_id: r.text for r in op7_extraction.extract(df, priors=priors, broadcast_rows=most).collect()}
         assert all(got[i] == f"Title {i // 2}\n\nStory {i}\n\nRead more." for i in range(200))
     parsed = op7_extraction.parse(df, "page_id", "url", "html")
     nodes = sorted((r.pages, round(r.evidence, 9)) for r in op7_extraction.importance(parsed).collect())
