@@ -17,13 +17,14 @@ SPREAD_BYTES = 16 << 20
 def read_table(spark: SparkSession, path: str, key: str) -> DataFrame:
     """A Parquet table, in tasks enough for costly columns to keep all cores busy.
 
-    One task reads a row group, so a table of few bytes may be read by one task alone. Such a table is dealt by ``key`` to as many
-    tasks as there are cores, which shuffles ``SPREAD_BYTES`` for each of them at most. Larger ones stay as they are read.
+    One task reads a row group, so a small table in fewer files than there are cores may be read by one task alone. Such a table is
+    dealt by ``key`` to as many tasks as there are cores, which shuffles ``SPREAD_BYTES`` for each of them at most. Larger ones, and
+    those of more files, stay as they are read.
     """
     table, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    size = files.agg(F.sum("length")).first()[0] or 0  # contents aren't read
-    return table.repartition(cores, key) if size <= cores * SPREAD_BYTES else table
+    size, n = files.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()  # contents aren't read
+    return table.repartition(cores, key) if n < cores and size <= cores * SPREAD_BYTES else table
 
 
 def load_pages(documents: DataFrame, lines: int = 5, text: str = "text") -> DataFrame:
