@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import read_table
 from .scratch import integer_ids, materialize
 from .words import NOT_SPACE, Chunk, chunks, covered, run_hashes, sums_by_text, whole_runs
 
@@ -139,4 +140,4 @@ def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality(read_table(spark, f"{sf_dir}/documents.parquet", "doc_id"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

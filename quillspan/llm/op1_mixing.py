@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import read_table
 from .scratch import BROADCAST_ROWS, materialize, partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -99,7 +100,7 @@ def emit(mixed: DataFrame) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id")
     narrow = materialize(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
     return mix(narrow, size="size").select("doc_id", "size", "source_size", "target", "taken")
 

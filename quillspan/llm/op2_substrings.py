@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import read_table
 from .scratch import integer_ids, materialize, maybe_in, partitions
 from .words import NOT_SPACE, Chunk, chunks, lists, run_hashes, whole_runs
 
@@ -424,7 +425,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = substring_dedup(read_table(spark, f"{sf_dir}/documents.parquet", "doc_id").select("doc_id", "text"))
     joined = F.regexp_replace(F.regexp_replace(F.coalesce("kept_text", F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+", " ")
     return found.select("doc_id", "n_words", "n_removed", F.sha2(joined, 256).alias("kept_sha256"))
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import read_table
 from .words import ALNUM, Chunk, chunks
 
 #: Fixed values of the contract: phrase and label.
@@ -236,4 +237,4 @@ def licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templa
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return licenses(read_table(spark, f"{sf_dir}/documents.parquet", "doc_id"))

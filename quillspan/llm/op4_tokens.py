@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import read_table
 from .words import texts
 
 MARK = "▁"
@@ -131,4 +132,4 @@ def token_counts(docs: DataFrame, vocabulary: Sequence[tuple[str, float]], doc_i
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), read_vocabulary())
+    return token_counts(read_table(spark, f"{sf_dir}/documents.parquet", "doc_id"), read_vocabulary())

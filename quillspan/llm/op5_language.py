@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import read_table
 from .scratch import BROADCAST_ROWS, materialize
 
 
@@ -196,5 +197,5 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = identify(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"), keep_text=False)
+    found = identify(read_table(spark, f"{sf_dir}/documents.parquet", "doc_id").select("doc_id", "text", "lang"), keep_text=False)
     return found.select("doc_id", "held_out", "lang_pred", "score")

@@ -42,6 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import read_table
 from .scratch import BROADCAST_ROWS, materialize, slices, spread_join
 
 LOW, NAMED, PRESENTATION, PRIOR_PAGES = 0.5, 0.4, 0.1, 4.0
@@ -338,5 +339,5 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
 
 def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = extract(read_table(spark, f"{sf_dir}/pages.parquet", "page_id"))
     return found.withColumn("n_chars", F.length("text").cast("long"))

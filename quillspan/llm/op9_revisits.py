@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import read_table
 from .scratch import BROADCAST_ROWS, materialize, partitions
 
 #: Headers that a 304 answer may update (fixed values of RFC 9110, 15.4.5, with Last-Modified).
@@ -134,7 +135,7 @@ def crawl(pages: DataFrame) -> DataFrame:
 
 
 def op9_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resolve(crawl(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    found = resolve(crawl(read_table(spark, f"{sf_dir}/pages.parquet", "page_id")))
     return found.select("record_id", "target_url", "response_id", "state", F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n").alias("merged_headers"))
 
 
