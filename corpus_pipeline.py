@@ -21,6 +21,7 @@ from quillspan.llm.op5_language import UNKNOWN, identify
 from quillspan.llm.op6_simhash import near_duplicates
 from quillspan.llm.op8_decontamination import contamination
 from quillspan.llm.scratch import materialize, maybe_in
+from quillspan.sources import read_table
 
 #: Columns that the operators read; others are set aside under a prefix, so that they can't clash with added ones.
 _READ = ("doc_id", "text", "lang", "source")
@@ -83,7 +84,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet", "doc_id")
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))
     return docs
