@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_mixing, op2_substrings, op8_decontamination, op9_revisits, op11_repair
+from . import op1_mixing, op2_substrings, op8_decontamination, op9_revisits, op11_repair, op12_clusters
 from .op3_licenses import op3_licenses
 from .op4_tokens import op4_tokens
 from .op5_language import op5_language
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_revisits": op9_revisits.op9_revisits,
     "op10_quality": op10_quality,
     "op11_repair": op11_repair.op11_repair,
+    "op12_clusters": op12_clusters.op12_clusters,
 }
 ORACLES: dict[str, str] = {
     "op1_mixing": op1_mixing.ORACLE,
@@ -33,4 +34,5 @@ ORACLES: dict[str, str] = {
     "op8_decontamination": op8_decontamination.ORACLE,
     "op9_revisits": op9_revisits.ORACLE,
     "op11_repair": op11_repair.ORACLE,
+    "op12_clusters": op12_clusters.ORACLE,
 }
