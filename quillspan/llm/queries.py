@@ -13,6 +13,7 @@ from .op5_language import op5_language
 from .op6_simhash import op6_simhash
 from .op7_extraction import op7_extraction
 from .op10_quality import op10_quality
+from .op13_scoring import op13_scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing.op1_mixing,
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_repair": op11_repair.op11_repair,
     "op12_clusters": op12_clusters.op12_clusters,
+    "op13_scoring": op13_scoring,
 }
 ORACLES: dict[str, str] = {
     "op1_mixing": op1_mixing.ORACLE,
