@@ -40,7 +40,7 @@ from .scratch import integer_ids, materialize, partitions
 from .words import NOT_SPACE, U64, Chunk, _mix, chunks
 
 EXACT, SWEEPS, SAMPLES, SEED = 64, 3, 2, 20_240_101
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 END = U64((1 << 48) - 1)
 _GRID = 0.25 * 2.0 ** np.arange(20)
 _HOT_OF_TASK = 16
@@ -51,6 +51,17 @@ def _short(words: np.ndarray) -> bytes:
     return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
+def _small(numbers: np.ndarray) -> bytes:
+    """Whole numbers, most of them small, packed."""
+    kind = "<u4" if numbers.max(initial=0) < 1 << 32 else "<u8"
+    data = np.ascontiguousarray(numbers, kind).tobytes()
+    return kind.encode() + len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(data[11:], int.from_bytes(data[3:11], "little"), asbytes=True), data[:3].decode())
+
+
 def _long(data: bytes) -> np.ndarray:
     out = np.zeros((len(data) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
@@ -150,7 +161,7 @@ def word_blocks(docs: DataFrame, tasks: int) -> DataFrame:
             at = deal.of_words(words)
             order = np.argsort(at, kind="stable")
             cuts = np.searchsorted(at[order], np.arange(tasks + 1))
-            rows = [(k, number, _short(words[order[a:b]]), counts[order[a:b]].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+            rows = [(k, number, _short(words[order[a:b]]), _small(counts[order[a:b]])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
             yield _rows([list(c) for c in zip(*rows, strict=True)], [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["task", "chunk", "words", "n"])
 
     return docs.mapInArrow(ask, "task int, chunk long, words binary, n binary").repartition(tasks, "task")
@@ -158,7 +169,7 @@ def word_blocks(docs: DataFrame, tasks: int) -> DataFrame:
 
 def _totals(blocks: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The words of a task and their numbers."""
-    words, n = np.concatenate([_long(b) for b in blocks["words"]]), np.concatenate([np.frombuffer(b, np.uint32) for b in blocks["n"]])
+    words, n = np.concatenate([_long(b) for b in blocks["words"]]), np.concatenate([_numbers(b) for b in blocks["n"]])
     found, at = np.unique(words, return_inverse=True)
     return found, np.bincount(at, weights=n, minlength=len(found)).astype(np.int64)
 
@@ -183,8 +194,8 @@ def pair_blocks(docs: DataFrame, deal: Deal) -> DataFrame:
                 if a < b:
                     own = order[a:b]
                     starts = _runs(p.first[own])
-                    sizes = np.diff(np.append(starts, b - a)).astype(np.uint32)
-                    rows.append((k, number, _short(p.words[p.first[own[starts]]]), sizes.tobytes(), _short(p.words[p.second[own]]), counts[own].tobytes()))
+                    sizes = np.diff(np.append(starts, b - a))
+                    rows.append((k, number, _short(p.words[p.first[own[starts]]]), _small(sizes), _short(p.words[p.second[own]]), _small(counts[own])))
             yield _rows([list(c) for c in zip(*rows, strict=True)], [pa.int32(), pa.int64(), *[pa.binary()] * 4], ["task", "chunk", "first", "sizes", "second", "n"])
 
     return docs.mapInArrow(ask, "task int, chunk long, first binary, sizes binary, second binary, n binary").repartition(deal.tasks, "task")
@@ -208,8 +219,8 @@ def draw_tables(c: np.ndarray, others: np.ndarray, prior: np.ndarray, discount:
     order = np.argsort(first, kind="stable")
     cuts = np.searchsorted(first[order], np.arange(2, EXACT + 2))
     for size, (a, b) in zip(range(2, EXACT + 1), zip(cuts[:-1], cuts[1:], strict=True), strict=True):
-        for lo in range(a, b, 1 << 16):
-            at = order[lo : min(b, lo + (1 << 16))]
+        for lo in range(a, b, (1 << 19) // size):
+            at = order[lo : min(b, lo + (1 << 19) // size)]
             k = np.arange(size)
             steps = np.log((strength + discount * (others[at][:, None] + k)) * prior[at][:, None])
             weight = np.cumsum(steps, 1) + stirling[size, 1 : size + 1]
@@ -256,21 +267,23 @@ class Restaurants:
 
     def __init__(self, blocks: pd.DataFrame, deal: Deal) -> None:
         self.chunks = blocks["chunk"].to_numpy()
-        firsts = [_long(b) for b in blocks["first"]]
-        self.firsts = [np.repeat(f, np.frombuffer(s, np.uint32)) for f, s in zip(firsts, blocks["sizes"], strict=True)]
-        seconds = [_long(b) for b in blocks["second"]]
-        first, second = np.concatenate(self.firsts), np.concatenate(seconds)
-        n = np.concatenate([np.frombuffer(b, np.uint32) for b in blocks["n"]])
+        runs = [_numbers(s) for s in blocks["sizes"]]
+        self.starts = [np.cumsum(r) - r for r in runs]  # where each chunk's questions of one first word begin
+        first, seconds = np.concatenate([np.repeat(_long(f), r) for f, r in zip(blocks["first"], runs, strict=True)]), [_long(b) for b in blocks["second"]]
+        second, n = np.concatenate(seconds), np.concatenate([_numbers(b) for b in blocks["n"]])
         order = np.lexsort((second, first))
         a, b = first[order], second[order]
         new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        self.dish_of = np.empty(len(order), np.int64)  # of each question
-        self.dish_of[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+        self.dish_of = np.empty(len(order), np.int32)  # of each question
+        self.dish_of[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(order))))
         self.sums = [int(x.sum() & U64((1 << 62) - 1)) for x in seconds]
         self.sizes = [len(x) for x in seconds]
+        del first, second, seconds
         self.c = np.add.reduceat(n[order].astype(np.int64), new)
-        self.words, self.word = np.unique(b[new], return_inverse=True)
-        self.names, self.room = np.unique(a[new], return_inverse=True)
+        a, b = a[new], b[new]
+        del order, n
+        self.words, self.word = np.unique(b, return_inverse=True)
+        self.names, self.room = np.unique(a, return_inverse=True)
         self.hot = deal.which(self.names)
         self.customers = np.bincount(self.room, weights=self.c, minlength=len(self.names)).astype(np.int64)
         self.scale = np.ones(len(self.names))
@@ -300,7 +313,7 @@ class Restaurants:
         cuts = np.searchsorted(at[order], np.arange(deal.tasks + 1))
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if a < b:
-                yield k, _short(self.words[order[a:b]]), np.ascontiguousarray(have[:, order[a:b]]).tobytes()
+                yield k, _short(self.words[order[a:b]]), _small(have[:, order[a:b]])
 
 
 _OUT = "kind string, target long, source int, a binary, b binary, c binary, d binary, e binary, sum long"
@@ -342,7 +355,7 @@ def _words_told(part: pd.DataFrame, samples: int) -> tuple[np.ndarray, np.ndarra
     """Words of a task, their tables in each sample, and the places of each teller's words."""
     lists = [_long(b) for b in part["a"]]
     words, at = np.unique(np.concatenate(lists), return_inverse=True)
-    have = np.concatenate([np.frombuffer(b, np.uint32).reshape(samples, -1) for b in part["b"]], 1)
+    have = np.concatenate([_numbers(b).reshape(samples, -1) for b in part["b"]], 1)
     sums = np.stack([np.bincount(at, weights=h, minlength=len(words)).astype(np.int64) for h in have])
     return words, sums, np.split(at, np.cumsum([len(x) for x in lists])[:-1])
 
@@ -358,8 +371,7 @@ def first_parent(told: DataFrame, known: int, seed: int) -> DataFrame:
         ones, twos = int((n == 1).sum()), int((n == 2).sum())
         discount = discount_of(ones, twos)
         tables = draw_tables(n, np.full(len(n), float(len(n))), np.full(len(n), 1 / (known + 1)), discount, 1.0, rng, log_stirling(discount))
-        left = (n - discount * tables).astype(np.float32)
-        rows = [("parent", int(source), task, a, left[at].tobytes(), None, None, None, 0) for source, a, at in zip(part["source"], part["a"], places, strict=True)]
+        rows = [("parent", int(source), task, a, _small(n[at]), _small(tables[at]), np.float64(discount).tobytes(), None, 0) for source, a, at in zip(part["source"], part["a"], places, strict=True)]
         return _frame([*rows, _stats(task, [ones, twos, n.sum(), tables.sum()])])
 
     return told.groupBy("target").applyInPandas(seat, _OUT)
@@ -375,8 +387,8 @@ def second_round(blocks: DataFrame, parent: DataFrame, deal: Deal, model: dict,
         part = part.sort_values("chunk", ignore_index=True)
         rooms, rng = Restaurants(part, deal), np.random.default_rng([seed, 3, task])
         left = np.zeros(len(rooms.words))
-        for a, b in zip(probabilities["a"], probabilities["b"], strict=True):
-            left[np.searchsorted(rooms.words, _long(a))] = np.frombuffer(b, np.float32)
+        for x in probabilities.itertuples():
+            left[np.searchsorted(rooms.words, _long(x.a))] = _numbers(x.b) - np.frombuffer(x.c)[0] * _numbers(x.d)
         prior = (left + model["back"] / (model["known"] + 1)) / model["all"]
         discount, strength = model["discount"], model["strength"]
         stirling, drawn, tables = log_stirling(discount), [], []
@@ -387,17 +399,15 @@ def second_round(blocks: DataFrame, parent: DataFrame, deal: Deal, model: dict,
                 tables.append(now)
         parts = np.stack(tables)
         rows = [("told", k, task, w, t, None, None, None, 0) for k, w, t in rooms.told(drawn, deal)]
-        kept = np.where(rooms.c > 1, rooms.c - discount * np.mean(drawn, 0), 0) / (strength + rooms.customers[rooms.room])
-        at = 0
-        for chunk, first, size, checked in zip(rooms.chunks, rooms.firsts, rooms.sizes, rooms.sums, strict=True):
+        seats, at = np.sum(drawn, 0), 0
+        for chunk, starts, size, checked in zip(rooms.chunks, rooms.starts, rooms.sizes, rooms.sums, strict=True):
             own = rooms.dish_of[at : at + size]
             at += size
-            kinds = np.minimum(rooms.c[own], 2).astype(np.uint8)
-            names = rooms.room[own[_runs(first)]]
-            rows.append(("pairs", int(chunk), task, kinds.tobytes(), kept[own[kinds == 2]].astype(np.float32).tobytes(), np.ascontiguousarray(parts[:, names]).astype(np.uint32).tobytes(), rooms.customers[names].astype(np.int64).tobytes(), None, checked))
+            names = rooms.room[own[starts]]
+            rows.append(("pairs", int(chunk), task, _small(rooms.c[own]), _small(seats[own]), _small(parts[:, names]), _small(rooms.customers[names]), None, checked))
         return _frame([*rows, _stats(task, [0.0], rooms, parts)])
 
-    return blocks.groupBy("task").cogroup(parent.select(F.col("target").cast("int").alias("task"), "a", "b").groupBy("task")).applyInPandas(seat, _OUT)
+    return blocks.groupBy("task").cogroup(parent.select(F.col("target").cast("int").alias("task"), "a", "b", F.col("d").alias("c"), F.col("c").alias("d")).groupBy("task")).applyInPandas(seat, _OUT)
 
 
 def second_parent(words: DataFrame, told: DataFrame, model: dict, seed: int) -> DataFrame:
@@ -408,19 +418,19 @@ def second_parent(words: DataFrame, told: DataFrame, model: dict, seed: int) ->
             return _frame([])
         task = int(asked["task"].iloc[0])
         found, count = _totals(asked)
-        left, stats = np.zeros((SAMPLES, len(found)), np.float32), []
+        (customers, tables), stats = np.zeros((2, SAMPLES, len(found)), np.int64), []
         if len(part):
             names, sums, _ = _words_told(part.sort_values("source"), SAMPLES)
             rng, stirling, at = np.random.default_rng([seed, 4, task]), log_stirling(model["root_discount"]), np.searchsorted(found, names)
             for s, n in enumerate(sums):
                 flat = np.full(len(n), 1 / (model["known"] + 1))
-                tables = np.minimum(n, draw_tables(n, np.full(len(n), model["root_tables"]), flat, model["root_discount"], model["root_strength"], rng, stirling))
-                left[s, at] = n - model["root_discount"] * tables
-                stats += [float(n.sum()), float(tables.sum())]
+                customers[s, at] = n
+                tables[s, at] = np.minimum(n, draw_tables(n, np.full(len(n), model["root_tables"]), flat, model["root_discount"], model["root_strength"], rng, stirling))
+                stats += [float(n.sum()), float(tables[s].sum())]
         rows = []
         for chunk, b in zip(asked["chunk"], asked["words"], strict=True):
             own = np.searchsorted(found, _long(b))
-            rows.append(("words", int(chunk), task, count[own].tobytes(), np.ascontiguousarray(left[:, own]).tobytes(), None, None, None, int(found[own].sum() & U64((1 << 62) - 1))))
+            rows.append(("words", int(chunk), task, _small(count[own]), _small(customers[:, own]), _small(tables[:, own]), None, None, int(found[own].sum() & U64((1 << 62) - 1))))
         return _frame([*rows, _stats(task, stats or [0.0] * 2 * SAMPLES)])
 
     return words.groupBy("task").cogroup(told.select(F.col("target").cast("int").alias("task"), "source", "a", "b").groupBy("task")).applyInPandas(seat, _OUT)
@@ -430,7 +440,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks as one row each."""
     for number, ids, train, chunk in _chunks(batches):
         own = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        text = pa.Codec("zstd", compression_level=3).compress(chunk.buf.tobytes(), asbytes=True)
+        text = pa.Codec("zstd", compression_level=6).compress(chunk.buf.tobytes(), asbytes=True)
         yield pa.RecordBatch.from_arrays([pa.array([number]), own, pa.array([train.tobytes()], pa.binary()), pa.array([chunk.offsets.astype(np.int64).tobytes()], pa.binary()), pa.array([text], pa.binary())], names=["chunk", "ids", "train", "offsets", "text"])
 
 
@@ -457,17 +467,16 @@ def answered(packed: DataFrame, answers: DataFrame, deal: Deal, model: dict) ->
                 if x.kind == "words":
                     at = by_word[word_cuts[x.source] : word_cuts[x.source + 1]]
                     _same(x.sum, p.words[at])
-                    count[at], left[:, at] = np.frombuffer(x.a, np.int64), np.frombuffer(x.b, np.float32).reshape(SAMPLES, -1)
+                    count[at] = _numbers(x.a)
+                    left[:, at] = _numbers(x.b).reshape(SAMPLES, -1) - model["root_discount"] * _numbers(x.c).reshape(SAMPLES, -1)
                     seen += len(at)
                     continue
                 at = order[cuts[x.source] : cuts[x.source + 1]]
                 _same(x.sum, p.words[p.second[at]])
                 seen += len(at)
                 names = p.first[at[_runs(p.first[at])]]
-                tables[:, names], customers[names] = np.frombuffer(x.c, np.uint32).reshape(SAMPLES, -1), np.frombuffer(x.d, np.int64)
-                kinds = np.frombuffer(x.a, np.uint8)
-                own[at[kinds == 2]] = np.frombuffer(x.b, np.float32)
-                own[at[kinds == 1]] = (1 - model["discount"]) / (model["strength"] + customers[p.first[at[kinds == 1]]])
+                tables[:, names], customers[names] = _numbers(x.c).reshape(SAMPLES, -1), _numbers(x.d)
+                own[at] = (_numbers(x.a) - model["discount"] * _numbers(x.b) / SAMPLES) / (model["strength"] + customers[p.first[at]])
             if seen != len(p.words) + len(p.first):
                 raise RuntimeError("a chunk has other texts than when it asked; the table must not change while it is scored")
             hot = deal.which(p.words)
