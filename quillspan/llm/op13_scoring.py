@@ -41,6 +41,8 @@ from .words import NOT_SPACE, U64, Chunk, _mix, chunks
 
 EXACT, SWEEPS, SAMPLES, SEED = 64, 3, 2, 20_240_101
 CHUNK_BYTES = 8 << 20
+#: Tasks of restaurants and of words for each shuffle partition of the session.
+TASKS = 2
 END = U64((1 << 48) - 1)
 _GRID = 0.25 * 2.0 ** np.arange(20)
 _HOT_OF_TASK = 16
@@ -273,12 +275,12 @@ class Restaurants:
         second, n = np.concatenate(seconds), np.concatenate([_numbers(b) for b in blocks["n"]])
         order = np.lexsort((second, first))
         a, b = first[order], second[order]
+        sums, sizes = [int(x.sum() & U64((1 << 62) - 1)) for x in seconds], [len(x) for x in seconds]
+        del first, second, seconds
         new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         self.dish_of = np.empty(len(order), np.int32)  # of each question
         self.dish_of[order] = np.repeat(np.arange(len(new), dtype=np.int32), np.diff(np.append(new, len(order))))
-        self.sums = [int(x.sum() & U64((1 << 62) - 1)) for x in seconds]
-        self.sizes = [len(x) for x in seconds]
-        del first, second, seconds
+        self.sums, self.sizes = sums, sizes
         self.c = np.add.reduceat(n[order].astype(np.int64), new)
         a, b = a[new], b[new]
         del order, n
@@ -509,7 +511,7 @@ def _read(stats: DataFrame) -> np.ndarray:
 def score_texts(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``; ``train`` is a SQL condition of training rows."""
     integer_ids(docs, doc_id)
-    tasks, rng = partitions(docs.sparkSession), np.random.default_rng([seed, 0])
+    tasks, rng = TASKS * partitions(docs.sparkSession), np.random.default_rng([seed, 0])
     docs = docs.select(F.col(doc_id).cast("long"), F.coalesce(F.expr(train), F.lit(False)), text)
     kept = [words := word_blocks(docs, tasks).persist(StorageLevel.MEMORY_AND_DISK)]
     rows = words.groupBy("task").applyInPandas(_largest, "word long, n long, v long").collect()
