@@ -307,12 +307,16 @@ class Restaurants:
         self.tables[at] = draw_tables(self.c[at], others, prior[self.word[at]], discount, strength, rng, stirling)
         return np.bincount(self.room, weights=self.tables, minlength=len(self.names)).astype(np.int64)
 
+    def dealt(self, deal: Deal) -> tuple[np.ndarray, np.ndarray]:
+        """The restaurants' words in the order of their tasks, and where each task's begin."""
+        at = deal.of_words(self.words)
+        order = np.argsort(at, kind="stable")
+        return order, np.searchsorted(at[order], np.arange(deal.tasks + 1))
+
     def told(self, samples: list[np.ndarray], deal: Deal) -> Iterator[tuple[int, bytes, bytes]]:
         """For each task of words, the words of these restaurants and their tables in each sample."""
         have = np.stack([np.bincount(self.word, weights=t, minlength=len(self.words)) for t in samples]).astype(np.uint32)
-        at = deal.of_words(self.words)
-        order = np.argsort(at, kind="stable")
-        cuts = np.searchsorted(at[order], np.arange(deal.tasks + 1))
+        order, cuts = self.dealt(deal)
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if a < b:
                 yield k, _short(self.words[order[a:b]]), _small(have[:, order[a:b]])
@@ -373,7 +377,7 @@ def first_parent(told: DataFrame, known: int, seed: int) -> DataFrame:
         ones, twos = int((n == 1).sum()), int((n == 2).sum())
         discount = discount_of(ones, twos)
         tables = draw_tables(n, np.full(len(n), float(len(n))), np.full(len(n), 1 / (known + 1)), discount, 1.0, rng, log_stirling(discount))
-        rows = [("parent", int(source), task, a, _small(n[at]), _small(tables[at]), np.float64(discount).tobytes(), None, 0) for source, a, at in zip(part["source"], part["a"], places, strict=True)]
+        rows = [("parent", int(source), task, np.float64(discount).tobytes(), _small(n[at]), _small(tables[at]), None, None, 0) for source, at in zip(part["source"], places, strict=True)]
         return _frame([*rows, _stats(task, [ones, twos, n.sum(), tables.sum()])])
 
     return told.groupBy("target").applyInPandas(seat, _OUT)
@@ -388,9 +392,9 @@ def second_round(blocks: DataFrame, parent: DataFrame, deal: Deal, model: dict,
         task = int(part["task"].iloc[0])
         part = part.sort_values("chunk", ignore_index=True)
         rooms, rng = Restaurants(part, deal), np.random.default_rng([seed, 3, task])
-        left = np.zeros(len(rooms.words))
+        left, (order, cuts) = np.zeros(len(rooms.words)), rooms.dealt(deal)
         for x in probabilities.itertuples():
-            left[np.searchsorted(rooms.words, _long(x.a))] = _numbers(x.b) - np.frombuffer(x.c)[0] * _numbers(x.d)
+            left[order[cuts[x.source] : cuts[x.source + 1]]] = _numbers(x.b) - np.frombuffer(x.a)[0] * _numbers(x.c)
         prior = (left + model["back"] / (model["known"] + 1)) / model["all"]
         discount, strength = model["discount"], model["strength"]
         stirling, drawn, tables = log_stirling(discount), [], []
@@ -409,7 +413,7 @@ def second_round(blocks: DataFrame, parent: DataFrame, deal: Deal, model: dict,
             rows.append(("pairs", int(chunk), task, _small(rooms.c[own]), _small(seats[own]), _small(parts[:, names]), _small(rooms.customers[names]), None, checked))
         return _frame([*rows, _stats(task, [0.0], rooms, parts)])
 
-    return blocks.groupBy("task").cogroup(parent.select(F.col("target").cast("int").alias("task"), "a", "b", F.col("d").alias("c"), F.col("c").alias("d")).groupBy("task")).applyInPandas(seat, _OUT)
+    return blocks.groupBy("task").cogroup(parent.select(F.col("target").cast("int").alias("task"), "source", "a", "b", "c").groupBy("task")).applyInPandas(seat, _OUT)
 
 
 def second_parent(words: DataFrame, told: DataFrame, model: dict, seed: int) -> DataFrame:
@@ -526,6 +530,7 @@ def score_texts(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str =
     model = {"known": known, "tokens": tokens, "discount": discount_of(total[0], total[1]), "strength": draw_strength(total[2 : 2 + len(_GRID)] if len(total) > 22 or tokens else np.zeros(len(_GRID)), rng)}
     kept.append(parent := first_parent(one.filter("kind = 'told'"), known, seed).persist(StorageLevel.MEMORY_AND_DISK))
     total = _read(parent.filter("kind = 'stats'"))
+    one.unpersist()
     root_discount = discount_of(total[0], total[1])
     root_strength = draw_strength(strength_weights(np.array([total[2]]), np.array([total[3]]), root_discount), rng) if total[2] else 1.0
     model |= {"root_discount": root_discount, "root_strength": root_strength, "root_tables": total[3], "back": root_strength + root_discount * total[3], "all": root_strength + total[2]}
@@ -534,6 +539,8 @@ def score_texts(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str =
     for r in two.filter("kind = 'stats'").select("b", "c").collect():  # the split restaurants' parts in each task
         at = np.frombuffer(r.b, np.int64)
         np.add.at(hot_tables, (slice(None), at), np.frombuffer(r.c, np.int64).reshape(SAMPLES, -1))
+    blocks.unpersist()
+    parent.unpersist()
     kept.append(last := second_parent(words, two.filter("kind = 'told'"), model, seed).persist(StorageLevel.MEMORY_AND_DISK))
     total = _read(last.filter("kind = 'stats'"))[: 2 * SAMPLES].reshape(SAMPLES, 2)
     model |= {"hot_tables": hot_tables, "backs": root_strength + root_discount * total[:, 1], "alls": root_strength + total[:, 0]}
