@@ -40,7 +40,7 @@ from .scratch import integer_ids, materialize, partitions
 from .words import NOT_SPACE, U64, Chunk, _mix, chunks
 
 EXACT, SWEEPS, SAMPLES, SEED = 64, 3, 2, 20_240_101
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 #: Tasks of restaurants and of words for each shuffle partition of the session.
 TASKS = 2
 END = U64((1 << 48) - 1)
