@@ -6,8 +6,9 @@ document with a smaller id. Windows are judged on the input.
 1. Pruning. Each window is named by the smallest hash among its runs of ``STEPS[0]`` words, and consecutive windows
    of one name are one record, about one for each 14 words. A name that only one document holds rules out all its
    windows; what stays are the candidate suffixes.
-2. Symbols. Of a suffix, the words up to each depth in ``STEPS`` make one symbol, so its first ``WINDOW`` words are a
-   string of three, of 64, 32 and 32 bits. Suffixes are equal to that depth if these agree (two that differ do so once in 2**128).
+2. Symbols. Of a suffix, the words up to the first depth in ``STEPS`` make a symbol of 64 bits, those on to the second one of 32 bits, and all
+   ``WINDOW`` words the last, of 64 bits. Suffixes are equal to a depth if their symbols so far agree. Whatever words two windows
+   share, the last symbol alone tells them apart, but for one pair in 2**64; words themselves, of 64-bit hashes, are not compared.
 3. Partition. Suffixes are dealt by a prefix of one symbol. Where more than ``group`` suffixes share a prefix, they are set
    aside, dealt again by a prefix of two symbols, and so on. So what is worked on at a time has a bound, whatever the data's size.
 4. Subtrees. The suffixes of a prefix come sorted by their symbols, which puts its subtree in order; the common prefix
@@ -44,12 +45,12 @@ from .scratch import integer_ids, materialize, maybe_in, partitions
 from .words import NOT_SPACE, Chunk, chunks, lists, run_hashes, whole_runs
 
 WINDOW = 50
-#: Words of the first symbol, and of the first two; all three are a window.
+#: Words of the first symbol, and of the first two; the third is of all words of a window.
 STEPS = (24, 37)
 GROUP = 1_000_000
 _WORD = r"[^\x20\x09-\x0D]+"
 _ADDED = ("n_words", "n_removed", "kept_text")
-_SUFFIX = "a long, b int, c int, doc long, start int, end int"
+_SUFFIX = "a long, b int, c long, doc long, start int, end int"
 _FIELDS = ["a", "b", "c", "doc", "start", "end"]
 
 
@@ -239,9 +240,8 @@ def suffixes(joined: DataFrame) -> DataFrame:
                 if not len(at):
                     continue
                 hashes = chunk.hashes()
-                edges = (0, *STEPS, WINDOW)
-                symbols = [run_hashes(hashes, hi - lo)[at + lo] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
-                symbols[1:] = [s.view(np.int64).astype(np.int32) for s in symbols[1:]]
+                symbols = [run_hashes(hashes, hi - lo)[at + lo] for lo, hi in ((0, STEPS[0]), STEPS, (0, WINDOW))]
+                symbols[1] = symbols[1].view(np.int64).astype(np.int32)
                 text = np.searchsorted(chunk.first, at, "right") - 1
                 doc, place = ids[chunk.rows[text]], at - chunk.first[text]
                 order = np.lexsort((place, doc, *symbols[::-1]))
@@ -268,7 +268,7 @@ def _nodes(symbols: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.Record
 def _ranges(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
     """Ranges of windows as rows without symbols."""
     out = _batch(_SUFFIX, *[np.zeros(len(d), np.int64)] * 3, d, s, e)
-    for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32())):
+    for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64())):
         out = out.set_column(k, "abc"[k], pa.nulls(len(d), kind))
     return out
 
