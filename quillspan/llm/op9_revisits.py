@@ -3,7 +3,7 @@
 Records are ordered by (canonical URL, time, record id) in one range shuffle, which cuts a URL that holds a third of
 all records like any other. Each partition is read once in that order with the latest response of the present URL at hand. Only a
 URL's records at the head of a partition may need a response from before it: each partition's last response is one
-row, and those rows, one for each partition, tell each head what it needs.
+row, and one ordered pass over those rows, one for each partition, tells each head what it needs.
 
 A revisit is ``resolved`` if the validators that both sides have agree (ETag by weak comparison first, else
 Last-Modified), ``mismatch`` if they don't, ``unvalidated`` if there are none to compare, ``orphan`` without an earlier
@@ -12,7 +12,8 @@ them.
 
 Cases: records of one time go by id; a response counts for a revisit of the same time only if its id is smaller. Null URLs
 are one URL of their own, '', null times come first. Null headers are none. Header names count in
-lower case; values of one name are one, joined by ", " in order; null values are none. Ids and times are integers or timestamps. Records other than responses (status 200) and
+lower case; values of one name are one, joined by ", " in order; null values are none. Times are integers, dates or timestamps, compared to the
+microsecond; ids are integers, or strings (URNs), compared by code points. Records other than responses (status 200) and
 revisits are ignored. Repeated rows are resolved each. Further columns are ignored.
 """
 
@@ -21,8 +22,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources import read_table
 from .scratch import BROADCAST_ROWS, materialize, partitions
@@ -30,6 +32,7 @@ from .scratch import BROADCAST_ROWS, materialize, partitions
 #: Headers that a 304 answer may update (fixed values of RFC 9110, 15.4.5, with Last-Modified).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that only track (by prefix or name).
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _TRACKING = r"(?i)^(?:utm_[^=]*|ref|fbclid|gclid|sessionid|sid)(?:=|$)"
 
 
@@ -51,18 +54,27 @@ def _by_name(entries: Column) -> Column:
     return F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(own(n), ", ")))
 
 
-_OUT = "record_id long, target_url string, _head boolean, response_id long, _headers map<string,string>, _own map<string,string>, _part int"
+_OUT = "record_id {id}, target_url string, _head boolean, response_id {id}, _headers map<string,string>, _own map<string,string>, _part int"
 
 
 def resolve(records: DataFrame, record_id: str = "record_id", url: str = "url", time: str = "ts", kind: str = "kind", headers: str = "headers") -> DataFrame:
     """Of records (``kind`` response or revisit), the revisits: ``record_id``, ``target_url``, ``response_id``, ``state``, ``headers``."""
     spark = records.sparkSession
+    id_kind, time_kind = records.schema[record_id].dataType, records.schema[time].dataType
+    for name, kind_of, known in ((record_id, id_kind, (*_WHOLE, T.StringType)), (time, time_kind, (*_WHOLE, T.TimestampType, T.TimestampNTZType, T.DateType))):
+        if not isinstance(kind_of, known):
+            raise TypeError(f"{name} is {kind_of.simpleString()}; ids must be integers or strings, times integers, dates or timestamps")
+    own_id = F.col(record_id) if isinstance(id_kind, T.StringType) else F.col(record_id).cast("long")
+    at = F.col(time).cast("long") if isinstance(time_kind, _WHOLE) else F.unix_micros(F.col(time).cast("timestamp"))
+    out = _OUT.format(id="string" if isinstance(id_kind, T.StringType) else "long")
     lowered = _by_name(F.map_entries(F.coalesce(F.col(headers), F.create_map().cast("map<string,string>"))))
-    cut = records.filter(F.col(kind).isin("response", "revisit")).select(canonical(F.col(url)).alias("u"), F.col(time).cast("long").alias("t"), F.col(record_id).cast("long").alias("i"), (F.col(kind) == "response").alias("full"), lowered.alias("h"))
+    cut = records.filter(F.col(kind).isin("response", "revisit")).select(canonical(F.col(url)).alias("u"), at.alias("t"), own_id.alias("i"), (F.col(kind) == "response").alias("full"), lowered.alias("h"))
     order = ["u", "t", "i", "full"]
     cut = materialize(cut)  # a range shuffle reads its input twice
     dealt = cut.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id())
 
+    text_ids = isinstance(id_kind, T.StringType)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         url_now = first = None
         answer: tuple | None = None
@@ -78,25 +90,27 @@ def resolve(records: DataFrame, record_id: str = "record_id", url: str = "url",
                     continue
                 for column, x in zip(rows, (i, u, answer is None and u == first, answer and answer[0], answer and answer[1], h, p), strict=True):
                     column.append(x)
-            yield _batch(rows)
+            yield _batch(rows, text_ids)
         if part is not None:  # what the partition ends with, for the next ones
-            yield _batch([[None], [url_now], [None], [answer and answer[0]], [answer and answer[1]], [None], [part]])
+            yield _batch([[None], [url_now], [None], [answer and answer[0]], [answer and answer[1]], [None], [part]], text_ids)
 
-    found = materialize(dealt.mapInArrow(scan, _OUT))
+    found = materialize(dealt.mapInArrow(scan, out))
     # One row for each partition, so this window over all of them is as small as their number.
     tails = found.filter("_head IS NULL").select("target_url", "_part", F.struct(F.col("response_id").alias("id"), F.col("_headers").alias("h")).alias("r"))
-    carry = tails.select(F.col("target_url").alias("_u"), F.col("_part").alias("_after"), "r").filter("r.id IS NOT NULL")
-    heads = found.filter("_head").select("target_url", "_part").distinct()
-    given = heads.join(F.broadcast(carry) if partitions(spark) <= BROADCAST_ROWS else carry, (F.col("target_url") == F.col("_u")) & (F.col("_after") < F.col("_part")))
-    given = given.groupBy(F.col("target_url").alias("_u"), F.col("_part").alias("_p")).agg(F.max_by("r", "_after").alias("_r"))
+    # A head takes the last response before its partition, if it is of its URL: partitions are in order of URLs, so any later one is of another.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select("_part", F.struct(F.col("target_url").alias("u"), "r").alias("c"))
+    last = carry.select(F.col("_part").alias("_p"), F.last(F.when(F.col("c.r.id").isNotNull(), F.col("c")), ignorenulls=True).over(before).alias("_c")).filter("_c IS NOT NULL")
+    given = last.select("_p", F.col("_c.u").alias("_u"), F.col("_c.r").alias("_r"))
     joined = found.filter("_head IS NOT NULL").join(F.broadcast(given) if partitions(spark) <= BROADCAST_ROWS else given, F.col("_head") & (F.col("target_url") == F.col("_u")) & (F.col("_part") == F.col("_p")), "left")
     return _judged(joined.withColumn("response_id", F.coalesce("response_id", "_r.id")).withColumn("_headers", F.coalesce("_headers", "_r.h")))
 
 
-def _batch(rows: list[list]) -> pa.RecordBatch:
+def _batch(rows: list[list], text_ids: bool) -> pa.RecordBatch:
+    ids = pa.string() if text_ids else pa.int64()
     pairs = lambda x: [None if m is None else (list(m.items()) if isinstance(m, dict) else m) for m in x]
     headers = pa.map_(pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.bool_()), pa.array(rows[3], pa.int64()), pa.array(pairs(rows[4]), headers), pa.array(pairs(rows[5]), headers), pa.array(rows[6], pa.int32())], names=[x.split()[0] for x in _OUT.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], ids), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.bool_()), pa.array(rows[3], ids), pa.array(pairs(rows[4]), headers), pa.array(pairs(rows[5]), headers), pa.array(rows[6], pa.int32())], names=[x.split()[0] for x in _OUT.split(", ")])
 
 
 def _judged(joined: DataFrame) -> DataFrame:

@@ -106,6 +106,18 @@ def test_substrings(spark, docs, empty):
     assert {r.n_removed for r in op2_substrings.substring_dedup(again).collect()} == {0}
 
 
+def test_windows_that_share_most_words(spark):
+    """Texts of 49 shared words and one of their own: none repeats another's window, though some agree in 32 bits of their last words."""
+    shared = [f"w{i}" for i in range(49)]
+    chunk = next(iter(chunks(pa.array([" ".join([*shared[37:], f"own{i}"]) for i in range(300_000)]), NOT_SPACE, size=1 << 30)))
+    narrow = run_hashes(chunk.hashes(), 13)[::13].view(np.int64).astype(np.int32)
+    _, first, n = np.unique(narrow, return_index=True, return_counts=True)
+    alike = np.flatnonzero(np.isin(narrow, narrow[first[n > 1]]))
+    assert len(alike) > 4
+    docs = spark.createDataFrame([(int(i), " ".join([*shared, f"own{i}"])) for i in alike], "doc_id long, text string")
+    assert {r.n_removed for r in op2_substrings.substring_dedup(docs).collect()} == {0}
+
+
 def most_in_a_run(text, template):
     """The most distinct words of a template that a run of 1.5 times its words holds."""
     v, w = words(text, ALNUM), words(template, ALNUM)
@@ -457,6 +469,19 @@ def test_revisits(spark):
     assert op9_revisits.resolve(df.limit(0)).count() == 0
 
 
+def test_revisits_by_timestamps_and_urns(spark):
+    rows = [("1", "http://a.com", "2024-01-01 00:00:01.900", "response", "x"), ("2", "http://a.com", "2024-01-01 00:00:01.100", "response", "y"), ("3", "http://a.com", "2024-01-01 00:00:01.950", "revisit", "x")]
+    rows += [("9", "http://b.com", "2024-01-01 00:00:01.100", "response", "x"), ("30", "http://b.com", "2024-01-01 00:00:01.950", "revisit", "x")]
+    df = spark.createDataFrame(rows, "record_id string, url string, ts string, kind string, tag string")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("headers", F.create_map(F.lit("ETag"), "tag"))
+    numbered = op9_revisits.resolve(df.withColumn("record_id", F.col("record_id").cast("int"))).collect()
+    assert {(r.record_id, r.response_id, r.state) for r in numbered} == {(3, 1, "resolved"), (30, 9, "resolved")}
+    named = op9_revisits.resolve(df.withColumn("record_id", F.concat(F.lit("urn:uuid:"), "record_id"))).collect()
+    assert {(r.record_id, r.response_id, r.state) for r in named} == {("urn:uuid:3", "urn:uuid:1", "resolved"), ("urn:uuid:30", "urn:uuid:9", "resolved")}
+    with pytest.raises(TypeError):
+        op9_revisits.resolve(df.withColumn("ts", F.lit("today")))
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(3, 1, 0), (4, 1, None), (5, 1, 0), (5, 1, 0), (None, 1, 0), (6, 1, 1), (7, 0, 1)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in op10_quality.quality(docs, labels).collect()}
