@@ -280,6 +280,54 @@ def locate_fuzzy(spark, sf):
     return found.select("doc_id", "cand_no", "page", "start", "end", "confidence")
 
 
+#: Pages and a damaged quote of each, in ASCII (DuckDB's edit distance counts bytes), and the best span of each pair with a common anchor.
+_FUZZY = rf"""{_PAGES},
+apg AS MATERIALIZED (SELECT doc_id, page, regexp_replace(normalized, '[^\x00-\x7F]', 'x', 'g') AS t FROM pg WHERE normalized <> ''),
+aq AS MATERIALIZED (SELECT doc_id * 100000 + page AS quote_id, regexp_replace(s, '(.{{39}}).', '\1', 'g') AS needle FROM (
+  SELECT doc_id, page, list_filter(list_transform({_SENT.format('t')}, lambda x: trim(x)), lambda x: length(x) BETWEEN 40 AND 160)[1] AS s FROM apg) WHERE s IS NOT NULL),
+an AS MATERIALIZED (SELECT quote_id, k, a FROM (SELECT quote_id, unnest(anchors[1:4]) AS a, unnest(range(1, 5)[1 : len(anchors[1:4])]) AS k FROM (
+  SELECT quote_id, list_transform(list_sort(list_transform(list_distinct_first, lambda x: {{'n': -length(x.a), 'i': x.i, 'a': x.a}})), lambda x: x.a) AS anchors FROM (
+    SELECT quote_id, list_filter(list_transform(w, lambda x, i: {{'a': x, 'i': i}}), lambda x: length(x.a) >= 4 AND list_position(w, x.a) = x.i) AS list_distinct_first FROM (SELECT quote_id, {_TOK.format('needle')} AS w FROM aq))))),
+ix AS MATERIALIZED (SELECT DISTINCT doc_id, page, w FROM (SELECT doc_id, page, unnest({_TOK.format('t')}) AS w FROM apg) WHERE length(w) >= 4),
+vg AS MATERIALIZED (SELECT DISTINCT w, unnest(list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4))) AS g FROM (SELECT DISTINCT w FROM ix)),
+held AS MATERIALIZED (SELECT a, w FROM (SELECT DISTINCT a FROM an) JOIN vg ON g = substr(a, 1, 4) WHERE contains(w, a)),
+met AS MATERIALIZED (SELECT DISTINCT quote_id, doc_id, page FROM an JOIN held USING (a) JOIN ix USING (w)),
+st1 AS MATERIALIZED (
+  SELECT quote_id, doc_id, page, k, o, greatest(0, list_sum(list_transform(parts[1:o], lambda x: length(x))) + (o - 1) * length(a) - (strpos(needle, a) - 1))::BIGINT AS s FROM (
+    SELECT *, unnest(range(1, least(25, len(parts)))) AS o FROM (SELECT met.*, k, a, needle, string_split(t, a) AS parts FROM met JOIN an USING (quote_id) JOIN aq USING (quote_id) JOIN apg USING (doc_id, page) WHERE contains(t, a)))),
+sp1 AS (SELECT quote_id, doc_id, page, s, f, row_number() OVER (PARTITION BY quote_id, doc_id, page ORDER BY k, o, f) AS ord FROM (SELECT quote_id, doc_id, page, s, min((k, o)).k AS k, min((k, o)).o AS o FROM (SELECT *, {{'k': k, 'o': o}} AS u FROM st1) GROUP BY 1, 2, 3, 4), (VALUES (0.88::DOUBLE), (1.0), (1.14)) l(f))"""
+_SPANS = """
+{out} AS MATERIALIZED (
+  SELECT quote_id, doc_id, page, max({{'c': 1 - d::DOUBLE / n, 'o': -ord, 's': s, 'e': e}}) AS w FROM (
+    SELECT *, greatest(e - s, length(needle)) AS n, levenshtein(substr(t, s + 1, e - s), needle) AS d FROM (
+      SELECT x.*, t, needle, least(length(t), s + ln) AS e FROM {given} x JOIN aq USING (quote_id) JOIN apg USING (doc_id, page) WHERE s >= 0 AND ln > 0 AND s < length(t)))
+  WHERE d <= ceil(n::DOUBLE * (1.0::DOUBLE - 0.9::DOUBLE)) AND 1 - d::DOUBLE / n >= 0.9::DOUBLE GROUP BY 1, 2, 3)"""
+_FUZZY = _FUZZY.replace("min((k, o)).k", "min(u).k").replace("min((k, o)).o", "min(u).o")
+_FUZZY += ",\nsl1 AS (SELECT quote_id, doc_id, page, s, ord, floor(length(needle) * f + 0.5)::BIGINT AS ln FROM sp1 JOIN aq USING (quote_id)),"
+_FUZZY += _SPANS.format(out="w1", given="sl1")
+_FUZZY += """,
+sl2 AS (SELECT quote_id, doc_id, page, w.s + ds AS s, ord, w.e - w.s + dt AS ln FROM w1, (SELECT 0 AS ord, 0 AS ds, 0 AS dt UNION ALL SELECT row_number() OVER (ORDER BY ds, dt), ds, dt FROM range(-10, 11, 2) a(ds), range(-12, 13, 4) b(dt))),"""
+_FUZZY += _SPANS.format(out="w2", given="sl2")
+
+
+def _plain_pages(spark: SparkSession, sf: str) -> DataFrame:
+    plain = F.regexp_replace("normalized", r"[^\x00-\x7F]", "x")
+    return cut(_pages(spark, sf).select("doc_id", "page", plain.alias("normalized")).filter("normalized <> ''"))
+
+
+def _damaged(pages: DataFrame) -> DataFrame:
+    """A quote of each page: its first sentence of 40 to 160 characters, without every 40th."""
+    first = F.get(F.filter(T.split_sentences(F.col("normalized")), lambda s: F.length(s).between(40, 160)), 0)
+    return pages.select((F.col("doc_id") * 100_000 + F.col("page")).alias("quote_id"), F.regexp_replace(first, "(.{39}).", "$1").alias("needle")).filter("needle IS NOT NULL")
+
+
+@query(f"WITH {_FUZZY} SELECT quote_id, doc_id, page, w.s::INT AS span_start, w.e::INT AS span_end, w.c AS confidence FROM w2")
+def locate_fuzzy_anywhere(spark, sf):
+    """A damaged quote of every page, searched in all documents."""
+    pages = _plain_pages(spark, sf)
+    return locate.locate_fuzzy_anywhere(pages, _damaged(pages), 0.9).select("quote_id", "doc_id", "page", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "confidence")
+
+
 @query()
 def locate_relaxed(spark, sf):
     pages = _written(spark, sf)

@@ -45,5 +45,5 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """Parquet in a folder for each course."""
-    results.write.mode("overwrite").partitionBy("course").parquet(path)
+    """Parquet in a folder for each course; courses that ``results`` doesn't hold stay as they are, whatever the session's mode of overwriting."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("course").parquet(path)
