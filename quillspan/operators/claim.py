@@ -10,6 +10,7 @@ from ..settings import DUPLICATE, MIN_ALLOWANCE, MIN_QUOTE, Settings
 from ..tables import cut
 from .locate import locate, locate_sentences, sentence_parts
 
+# Reasons of failures.
 REPEAT = "duplicate of an earlier highlight"
 CEILING = "page coverage ceiling reached — kept the output from over-highlighting"
 SHORT = "quote too short to match safely"
