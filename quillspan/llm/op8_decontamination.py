@@ -32,7 +32,7 @@ from .scratch import materialize
 from .words import ALNUM, Chunk, chunks, covered, lists, run_hashes, sums_by_text
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
 _TABLE_BITS = 20
 #: Columns that the search adds.
 FOUND = {"n_words": T.LongType(), "spans": T.ArrayType(T.IntegerType()), "items": T.ArrayType(T.StringType())}
