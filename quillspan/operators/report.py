@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_output, output_name, squash_space
@@ -20,6 +20,21 @@ def page_coverage(pages: DataFrame, matched: DataFrame) -> DataFrame:
     return joined.withColumn("share", F.when(F.col("chars") > 0, F.col("marked").cast("double") / F.col("chars")).otherwise(F.lit(0.0)))
 
 
+def union_coverage(pages: DataFrame, spans: DataFrame) -> DataFrame:
+    """Of each page: chars, those under at least one span (doc_id, page, start, end), and their share (0 for an empty page).
+
+    Spans are swept in order of their starts; each adds what lies beyond the furthest end so far. Ends beyond the page count up to it.
+    """
+    chars = F.length("normalized").cast("long")
+    placed = spans.select("doc_id", "page", F.greatest("start", F.lit(0)).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    placed = placed.join(pages.select("doc_id", "page", chars.alias("chars")), ["doc_id", "page"]).withColumn("end", F.least("end", "chars"))
+    before = Window.partitionBy("doc_id", "page").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))), F.lit(0))
+    covered = placed.withColumn("fresh", fresh).groupBy("doc_id", "page").agg(F.sum("fresh").alias("covered"))
+    joined = pages.select("doc_id", "page", chars.alias("chars")).join(covered, ["doc_id", "page"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
+    return joined.withColumn("union_share", F.when(F.col("chars") > 0, F.col("covered").cast("double") / F.col("chars")).otherwise(F.lit(0.0)))
+
+
 def doc_coverage(pages: DataFrame, matched: DataFrame, failures: DataFrame | None = None, cues: DataFrame | None = None, requests: DataFrame | None = None) -> DataFrame:
     """Of each document: share, share of each page, and the long pages without a highlight, counted from 1.
 

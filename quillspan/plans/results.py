@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from .. import sources, streaming
 from ..functions import text as T
-from ..operators import claim, cues, layout, locate, report, request_log, requests
-from ..sources import load_pages
+from ..operators import chain, claim, cues, layout, locate, report, request_log, requests
+from ..sources import load_pages, progress
 from ..settings import HIGHLIGHTS_PER_PAGE, PRESETS
+from ..streaming.chain import process_stream, results
+from ..streaming.ladder import cooldown_events
 from ..tables import scratch
 from .queries import _CHUNKS, _CUES, _FOLD, _LADDER, _LOG, _PAGES, _PATHS, _SENT, _STATUS, _TOK, LEXICON, _log, _pages, _paths, _read, _requests, _status, _written, query
 
@@ -230,12 +232,8 @@ def best_hit(spark, sf):
 
 
 _ALNUM = r"[\p{L}\p{N}]"
-
-
-@query(
-    rf"""WITH RECURSIVE {_PAGES},
-sp AS (SELECT doc_id, page, normalized AS t, ord::INT AS ord, (ord * 25)::INT AS s, least(ord * 25 + 100, length(normalized))::INT AS e FROM (SELECT *, unnest(range(0, (length(normalized) + 24) // 25)) AS ord FROM pg)),
-sn AS (
+#: Spans (doc_id, page, t, ord, s, e) snapped to words and claimed in order.
+_CLAIMS = rf"""sn AS (
   SELECT doc_id, page, ord, length(t) AS chars_in_page,
     CASE WHEN s > 0 AND regexp_matches(t[s + 1], '{_ALNUM}') AND regexp_matches(t[s], '{_ALNUM}') THEN s - length(regexp_extract(t[1:s], '{_ALNUM}*$')) ELSE s END AS s,
     CASE WHEN e < length(t) AND regexp_matches(t[e + 1], '{_ALNUM}') AND regexp_matches(t[e], '{_ALNUM}') THEN e + length(regexp_extract(t[e + 1:], '^{_ALNUM}*')) ELSE e END AS e
@@ -249,7 +247,13 @@ cl AS (
       WHEN len(list_filter(c.claimed, lambda x: greatest(0, least(x.e, n.e) - greatest(x.s, n.s))::DOUBLE / least(x.e - x.s, n.e - n.s) >= 0.7)) > 0 THEN '{claim.REPEAT}'
       WHEN len(c.claimed) >= 10 THEN 'per-page highlight cap (10) reached'
       WHEN len(c.claimed) > 0 AND c.chars + n.e - n.s > greatest(chars_in_page * 0.5::DOUBLE, 240) THEN '{claim.CEILING}' END AS reason
-    FROM cl c JOIN sn n ON n.doc_id = c.doc_id AND n.page = c.page AND n.ord = c.ord + 1))
+    FROM cl c JOIN sn n ON n.doc_id = c.doc_id AND n.page = c.page AND n.ord = c.ord + 1))"""
+
+
+@query(
+    rf"""WITH RECURSIVE {_PAGES},
+sp AS (SELECT doc_id, page, normalized AS t, ord::INT AS ord, (ord * 25)::INT AS s, least(ord * 25 + 100, length(normalized))::INT AS e FROM (SELECT *, unnest(range(0, (length(normalized) + 24) // 25)) AS ord FROM pg)),
+{_CLAIMS}
 SELECT doc_id, page, ord AS cand_no, s::INT AS span_start, e::INT AS span_end, reason FROM cl WHERE ord >= 0"""
 )
 def span_dedup(spark, sf):
@@ -322,6 +326,42 @@ def audit_counts(spark, sf):
     return report.audit_counts(pages, pages.filter("page < 3"), found)
 
 
+# Whole documents
+
+_CHAIN = rf"""{_PAGES}, {_CUES},
+cd AS (SELECT doc_id, text AS needle, row_number() OVER (PARTITION BY doc_id ORDER BY importance <> 'high', page, sent_no) AS rank FROM swept),
+fp AS (SELECT doc_id, rank, needle, min(page) AS page FROM cd JOIN pg USING (doc_id) WHERE contains(normalized, needle) GROUP BY 1, 2, 3),
+sp AS (SELECT doc_id, page, normalized AS t, rank, (row_number() OVER (PARTITION BY doc_id, page ORDER BY rank) - 1)::INT AS ord, (strpos(normalized, needle) - 1)::INT AS s, (strpos(normalized, needle) - 1 + length(needle))::INT AS e FROM fp JOIN pg USING (doc_id, page)),
+{_CLAIMS},
+ok AS (SELECT doc_id, page, s, e FROM cl WHERE ord >= 0 AND reason IS NULL),
+un AS (SELECT doc_id, page, greatest(e - greatest(s, coalesce(max(e) OVER (PARTITION BY doc_id, page ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS fresh, e - s AS n FROM ok),
+ch AS (SELECT doc_id, page, length(normalized)::BIGINT AS chars, coalesce(sum(n), 0)::BIGINT AS marked, coalesce(sum(fresh), 0)::BIGINT AS covered FROM pg LEFT JOIN un USING (doc_id, page) GROUP BY 1, 2, 3)"""
+_CHAINED = f"WITH RECURSIVE {_CHAIN} SELECT doc_id, page, chars, marked, covered, CASE WHEN chars > 0 THEN marked::DOUBLE / chars ELSE 0.0 END AS share, CASE WHEN chars > 0 THEN covered::DOUBLE / chars ELSE 0.0 END AS union_share FROM ch"
+
+
+def _chained(docs):
+    return chain.process(docs, PRESETS["balanced"], lexicon=LEXICON)
+
+
+@query(_CHAINED)
+def process_documents(spark, sf):
+    """Coverage at the end of the whole chain: cues, location, claims."""
+    docs = sources.read_table(spark, f"{sf}/documents.parquet", "doc_id").select("doc_id", "text")
+    return _chained(docs)["coverage"]
+
+
+@query(f"WITH {_STATUS}, l AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 3 = 0 THEN 'pending' ELSE status END AS status FROM st) SELECT doc_id, status, CASE WHEN status = 'pending' THEN 0 ELSE n_chars % 50 END::BIGINT AS highlight_count FROM l")
+def checkpoint_log(spark, sf):
+    """Every document queued, two thirds done in two appends, compacted between them, and resumed."""
+    store, known = scratch(spark), _status(spark, sf)
+    rows = lambda d, status, n: d.select(F.lit("here").alias("root"), "doc_id", status.alias("status"), n.cast("long").alias("highlight_count"), F.lit(None).cast("string").alias("error"))
+    progress.append(rows(known, F.lit("pending"), F.lit(0)), store, 0)
+    for batch in (1, 2):
+        progress.append(rows(known.filter(F.col("doc_id") % 3 == batch), F.col("status"), F.when(F.col("status") != "pending", F.col("n_chars") % 50).otherwise(F.lit(0))), store, batch)
+        progress.compact(spark, store)
+    return report.resume_join(known.select("doc_id"), progress.current(spark, store), "here")
+
+
 # Streams, run to the end of what is there
 
 
@@ -363,6 +403,28 @@ def stream_documents(spark, sf):
     return spark.read.parquet(f"{folder}/rows").drop("batch")
 
 
+@query(_CHAINED)
+def stream_chain(spark, sf):
+    """The whole chain over new documents: coverage of those that are completed."""
+    folder = scratch(spark)
+    process_stream(_streamed(spark, sf, "documents"), _chained, f"{folder}/out", f"{folder}/checkpoint", "here", once=True).awaitTermination()
+    return results(spark, f"{folder}/out", "coverage")
+
+
+@query(
+    f"""WITH {_LADDER},
+w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS passed FROM rl),
+f AS (SELECT key, ts, request_id, state, rest_s, total,
+    bool_or(daily) OVER (PARTITION BY key, CAST(ts AS DATE) ORDER BY ts, request_id) AS day_over, bool_or(outcome = 'auth') OVER (PARTITION BY key ORDER BY ts, request_id) AS off
+  FROM ladder WHERE ts < (SELECT passed FROM w) QUALIFY outcome <> 'success'),
+u AS (SELECT *, CASE state WHEN 'cooling' THEN ts + to_seconds(rest_s) WHEN 'exhausted' THEN CAST(ts AS DATE) + INTERVAL 1 DAY END AS until, lead(ts) OVER (PARTITION BY key ORDER BY ts, request_id) AS nxt FROM f)
+SELECT key, ts AS at, request_id, state, rest_s::INT AS rest_s, total::INT AS total, day_over, off FROM f
+UNION ALL SELECT key, until, NULL, 'ready', NULL, total::INT, false, off FROM u, w WHERE until < passed AND (nxt IS NULL OR until <= nxt)"""
+)
+def stream_cooldown_events(spark, sf):
+    return streaming.drained(_streamed(spark, sf, "events"), lambda s: cooldown_events(_timed(s)), "append", [])
+
+
 def _timed(events):
     return _requests(events).withColumn("ts", F.col("ts").cast("timestamp"))
 
