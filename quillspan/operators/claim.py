@@ -15,6 +15,11 @@ REPEAT = "duplicate of an earlier highlight"
 CEILING = "page coverage ceiling reached — kept the output from over-highlighting"
 SHORT = "quote too short to match safely"
 MISSING = "text not found in the handout"
+UNDRAWABLE = "no drawable coordinates"
+BELOW = "match below confidence floor"
+
+#: Characters of a bin in which spans and pieces of a layout meet.
+BIN = 256
 
 
 def candidate_order(candidates: DataFrame) -> DataFrame:
@@ -52,18 +57,35 @@ def with_pages(hits: DataFrame, pages: DataFrame) -> DataFrame:
     return hits.join(pages.select("doc_id", "page", "normalized"), ["doc_id", "page"])
 
 
+def with_drawable(hits: DataFrame, pages: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Hits with ``drawable``: whether the span, snapped to words, touches a piece of the layout (doc_id, page, norm_start, norm_end).
+
+    Spans and pieces meet in bins of the page, so a long page is no single key.
+    """
+    keys = ["doc_id", "cand_no", "part"]
+    start, end = snap_to_words(F.col("normalized"), F.col("start"), F.col("end"))
+    spans = with_pages(hits, pages).select(*keys, "page", F.explode(F.array(F.struct(start.alias("s"), end.alias("e")))).alias("x")).select(*keys, "page", "x.*")
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BIN), F.greatest(F.floor((F.col(b) - 1) / BIN), F.floor(F.col(a) / BIN)))).alias("bin")
+    laid = pieces.select("doc_id", "page", "norm_start", "norm_end", bins("norm_start", "norm_end"))
+    met = spans.select("*", bins("s", "e")).join(laid, ["doc_id", "page", "bin"]).filter("norm_start < e AND norm_end > s").select(*keys).distinct()
+    return hits.join(met.withColumn("drawable", F.lit(True)), keys, "left").withColumn("drawable", F.coalesce("drawable", F.lit(False)))
+
+
 def claim_spans(hits: DataFrame, pages: DataFrame, settings: Settings) -> DataFrame:
     """Greedy admission in order (ord, part) within each page: ``reason`` null for accepted spans, snapped to words.
 
-    Pages have budgets of their own, so a page is the unit: its few hits are folded in one row.
+    Pages have budgets of their own, so a page is the unit: its few hits are folded in one row. Hits that have a column ``drawable``
+    are refused where it is false, if nothing else refuses them.
     """
+    drawable = F.col("drawable") if "drawable" in hits.columns else F.lit(True)
+    hits = hits.withColumn("drawable", drawable)
     placed = with_pages(hits, pages)
     start, end = snap_to_words(F.col("normalized"), F.col("start"), F.col("end"))
     # An exploded array, so that spans are worked out once and texts go no further.
     spanned = placed.select("*", F.explode(F.array(F.struct(start.alias("s"), end.alias("e")))).alias("x"))
     text = F.substring(F.col("normalized"), F.col("x.s") + 1, F.col("x.e") - F.col("x.s"))
-    placed = spanned.select("doc_id", "page", "ord", "part", "cand_no", "confidence", "x.s", "x.e", text.alias("matched_text"), F.length("normalized").alias("page_chars"))
-    row = F.struct("ord", "part", "cand_no", F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"), "confidence", "matched_text")
+    placed = spanned.select("doc_id", "page", "ord", "part", "cand_no", "confidence", "x.s", "x.e", text.alias("matched_text"), "drawable", F.length("normalized").alias("page_chars"))
+    row = F.struct("ord", "part", "cand_no", F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"), "confidence", "matched_text", "drawable")
     grouped = placed.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.first("page_chars").alias("page_chars"))
     allowance = F.greatest(F.col("page_chars").cast("double") * F.lit(settings.clamped_ceiling), F.lit(float(MIN_ALLOWANCE)))
     cap = F.lit(settings.max_per_page)
@@ -71,7 +93,7 @@ def claim_spans(hits: DataFrame, pages: DataFrame, settings: Settings) -> DataFr
 
     def step(a, x):
         repeated = F.exists(a["claimed"], lambda c: overlap_ratio(x["s"], x["e"], c["s"], c["e"]) >= F.lit(DUPLICATE))
-        reason = F.when(repeated, REPEAT).when((cap > 0) & (a["n"] >= cap), F.concat(F.lit("per-page highlight cap ("), cap.cast("string"), F.lit(") reached"))).when((a["n"] > 0) & ((a["chars"] + x["e"] - x["s"]).cast("double") > allowance), CEILING)
+        reason = F.when(repeated, REPEAT).when((cap > 0) & (a["n"] >= cap), F.concat(F.lit("per-page highlight cap ("), cap.cast("string"), F.lit(") reached"))).when((a["n"] > 0) & ((a["chars"] + x["e"] - x["s"]).cast("double") > allowance), CEILING).when(~x["drawable"], UNDRAWABLE)
 
         def after(r):
             taken = r.isNull()
@@ -88,10 +110,11 @@ def claim_spans(hits: DataFrame, pages: DataFrame, settings: Settings) -> DataFr
     return judged.select("doc_id", "page", "x.rows.cand_no", "x.rows.ord", "x.rows.part", F.col("x.rows.s").alias("start"), F.col("x.rows.e").alias("end"), "x.rows.confidence", "x.rows.matched_text", F.col("x.reasons").alias("reason"))
 
 
-def match_highlights(pages: DataFrame, candidates: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+def match_highlights(pages: DataFrame, candidates: DataFrame, settings: Settings, pieces: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """All of it: (matched spans with ``group_id``, failures with ``reason`` and ``best_confidence``).
 
-    Candidates: doc_id, cand_no, text, importance. Those below the least importance vanish without a failure.
+    Candidates: doc_id, cand_no, text, importance. Those below the least importance vanish without a failure. ``pieces``: the layout
+    (doc_id, page, norm_start, norm_end); a span that touches no piece can't be drawn, and its sentences are tried instead. Without it all can.
     """
     rank = importance_rank(F.col("importance"))
     least = importance_rank(F.lit(settings.min_importance))
@@ -104,15 +127,45 @@ def match_highlights(pages: DataFrame, candidates: DataFrame, settings: Settings
     parts = locate_sentences(pages, lost.select("doc_id", "cand_no", "needle"), settings)
     hits = whole.withColumn("is_whole", F.lit(True)).unionByName(parts.withColumn("is_whole", F.lit(False)))
     hits = cut(hits.join(wanted.select("doc_id", "cand_no", "ord"), ["doc_id", "cand_no"]))
-    claims = cut(claim_spans(hits, pages, settings)).join(hits.select("doc_id", "cand_no", "part", "is_whole"), ["doc_id", "cand_no", "part"])
-    by_candidate = claims.groupBy("doc_id", "cand_no").agg(F.bool_or(F.col("reason").isNull()).alias("taken"), F.max("confidence").alias("best"), F.bool_or("is_whole").alias("is_whole"), F.first("reason", ignorenulls=True).alias("why"))
+    hits, claims = (hits, cut(claim_spans(hits, pages, settings))) if pieces is None else _drawn(hits, pages, wanted, pieces, settings)
+    claims = claims.join(hits.select("doc_id", "cand_no", "part", "is_whole"), ["doc_id", "cand_no", "part"])
+    by_candidate = claims.groupBy("doc_id", "cand_no").agg(F.bool_or(F.col("reason").isNull()).alias("taken"), F.max("confidence").alias("best"), F.max(F.when(F.col("is_whole"), F.col("reason"))).alias("why"))
     groups = assign_groups(by_candidate.filter("taken").join(wanted.select("doc_id", "cand_no", "ord"), ["doc_id", "cand_no"]))
     matched = claims.filter("reason IS NULL").drop("reason", "is_whole").join(groups, ["doc_id", "cand_no"]).join(wanted.select("doc_id", "cand_no", "importance"), ["doc_id", "cand_no"])
     failed = wanted.join(by_candidate, ["doc_id", "cand_no"], "left").filter("taken IS NULL OR NOT taken")
-    reasons = failed.select("doc_id", "cand_no", "text", F.when(F.col("is_whole"), F.col("why")).otherwise(MISSING).alias("reason"), F.coalesce("best", F.lit(0.0)).alias("best_confidence"))
+    if pieces is not None:
+        several = sentence_parts(failed).select("doc_id", "cand_no").distinct().withColumn("several", F.lit(True))
+        failed = failed.join(several, ["doc_id", "cand_no"], "left")
+        failed = failed.withColumn("why", F.when(F.col("why") != UNDRAWABLE, F.col("why")).when((F.col("why") == UNDRAWABLE) & F.col("several").isNull(), BELOW))
+    reasons = failed.select("doc_id", "cand_no", "text", F.coalesce("why", F.lit(MISSING)).alias("reason"), F.coalesce("best", F.lit(0.0)).alias("best_confidence"))
     return matched, short.select("doc_id", "cand_no", "text", "reason", F.lit(0.0).alias("best_confidence")).unionByName(reasons)
 
 
+def _drawn(hits: DataFrame, pages: DataFrame, wanted: DataFrame, pieces: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Hits and their claims where some spans can't be drawn.
+
+    Sentences take part only if the claim of their whole span got as far as its geometry, which hangs on what candidates before it have
+    claimed, on any page. So claims are made again with the sentences of those that got so far, until these stay the same. Each round
+    settles one more such candidate of each document at least, and most need two.
+    """
+    keys = ["doc_id", "cand_no"]
+    hits = cut(with_drawable(hits, pages, pieces))
+    barred = hits.filter("is_whole AND NOT drawable").select(*keys, "ord")
+    spare = locate_sentences(pages, wanted.join(barred.select(*keys), keys, "left_semi").select(*keys, "needle"), settings).withColumn("is_whole", F.lit(False)).join(barred, keys)
+    spare = cut(with_drawable(spare, pages, pieces))
+    # The whole span comes before its sentences, and is never accepted.
+    hits = hits.withColumn("part", F.when(F.col("is_whole") & ~F.col("drawable"), -1).otherwise(F.col("part")))
+    tried, all_hits = hits.select(*keys).limit(0), hits
+    while True:
+        claims = cut(claim_spans(all_hits, pages, settings))
+        reached = claims.filter((F.col("part") == -1) & (F.col("reason") == UNDRAWABLE)).select(*keys)
+        both = reached.withColumn("d", F.lit(1)).unionAll(tried.withColumn("d", F.lit(-1))).groupBy(*keys).agg(F.sum("d").alias("d")).filter("d <> 0")
+        if both.isEmpty():
+            return all_hits, claims
+        tried = cut(reached)
+        all_hits = hits.unionByName(spare.join(tried, keys, "left_semi"))
+
+
 def assign_groups(taken: DataFrame) -> DataFrame:
     """``group_id`` from 0 in order over a document's candidates with an accepted part."""
     return taken.select("doc_id", "cand_no", (F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1).alias("group_id"))
