@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import sources, streaming
@@ -350,6 +351,28 @@ def process_documents(spark, sf):
     return _chained(docs)["coverage"]
 
 
+_PARTS = f"list_filter({_SENT.format('needle')}, lambda x: length(x) >= 10)"
+
+
+@query(
+    f"""WITH {_PAGES},
+q0 AS (SELECT doc_id, page, list_filter(list_transform({_SENT.format('normalized')}, lambda x: trim(x)), lambda x: x <> '') AS a, count(*) OVER (PARTITION BY doc_id) AS n FROM pg),
+q AS (SELECT doc_id, array_to_string(a[1 : 1 + (doc_id + 1) % 2], ' ') AS needle FROM q0 WHERE page = doc_id % n AND len(a) > 0),
+pt AS (SELECT doc_id, 0 AS part, needle AS t FROM q UNION ALL SELECT doc_id, 1, unnest({_PARTS}) FROM q WHERE len({_PARTS}) >= 2),
+dr AS (SELECT doc_id, part, (doc_id + min(page)) % 3 <> 0 AS drawn FROM pt JOIN pg USING (doc_id) WHERE contains(normalized, t) GROUP BY doc_id, part, t)
+SELECT doc_id, needle AS text, CASE WHEN len({_PARTS}) >= 2 THEN '{claim.MISSING}' ELSE '{claim.BELOW}' END AS reason, 1.0::DOUBLE AS best_confidence
+FROM q JOIN (SELECT doc_id FROM dr GROUP BY 1 HAVING NOT bool_or(drawn)) USING (doc_id) WHERE length(needle) >= 14"""
+)
+def failure_geometry(spark, sf):
+    """Failures where every third page has no layout: one quote of each document, of one sentence or two, which is there as it is."""
+    pages = _written(spark, sf)
+    sentences = F.filter(F.transform(T.split_sentences(F.col("normalized")), lambda s: F.trim(s)), lambda s: s != "")
+    numbered = pages.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).filter("page = doc_id % n").select("doc_id", sentences.alias("a")).filter("size(a) > 0")
+    quotes = numbered.select("doc_id", F.lit(0).alias("cand_no"), F.array_join(F.slice("a", 1, (1 + (F.col("doc_id") + 1) % 2).cast("int")), " ").alias("text"), F.lit("high").alias("importance")).filter("length(text) >= 14")
+    pieces = pages.filter("(doc_id + page) % 3 <> 0").select("doc_id", "page", F.lit(0).alias("norm_start"), F.length("normalized").alias("norm_end"))
+    return claim.match_highlights(pages, quotes, PRESETS["balanced"], pieces)[1].drop("cand_no")
+
+
 @query(f"WITH {_STATUS}, l AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 3 = 0 THEN 'pending' ELSE status END AS status FROM st) SELECT doc_id, status, CASE WHEN status = 'pending' THEN 0 ELSE n_chars % 50 END::BIGINT AS highlight_count FROM l")
 def checkpoint_log(spark, sf):
     """Every document queued, two thirds done in two appends, compacted between them, and resumed."""
