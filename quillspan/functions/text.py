@@ -143,13 +143,26 @@ def page_range_label(pages: Column) -> Column:
     return F.when(F.size(pages) > 1, F.concat(F.lit("pages "), first, F.lit("-"), last)).otherwise(F.concat(F.lit("page "), first))
 
 
-def natural_key(text: Column) -> Column:
-    """A sort key that takes digits as numbers: each run of them, without leading zeros, follows its length in eight digits."""
-    parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), 1)
+def _numbers_padded(text: Column) -> Column:
+    """``text`` where each run of digits, without leading zeros, follows its length in eight digits."""
+    parts = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1)
     number = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(number(p)).cast("string"), 8, "0"), number(p))).otherwise(p)), "")
 
 
+def natural_key(text: Column) -> Column:
+    """A sort key that takes digits as numbers: each run of them, without leading zeros, follows its length in eight digits."""
+    return _numbers_padded(F.lower(text))
+
+
+def collated_key(text: Column) -> Column:
+    """A sort key of the order in which readers expect names: by the root locale's collation (letters, then accents, then case), digits 0 to 9 as numbers.
+
+    Names that differ only in leading zeros agree. Null stays null.
+    """
+    return F.collate(_numbers_padded(text), "UNICODE")
+
+
 def output_name(name: Column, suffix: str) -> Column:
     return F.concat(F.regexp_replace(name, r"(?i)\.pdf$", ""), F.lit(f"{suffix}.pdf"))
 

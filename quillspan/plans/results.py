@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from .. import sources, streaming
 from ..functions import text as T
-from ..operators import chain, claim, cues, layout, locate, report, request_log, requests
-from ..sources import load_pages, progress
+from ..operators import chain, claim, cues, layout, locate, order, replies, report, request_log, requests
+from ..sources import load_pages, progress, words
 from ..settings import HIGHLIGHTS_PER_PAGE, PRESETS
 from ..streaming.chain import process_stream, results
 from ..streaming.ladder import cooldown_events
@@ -456,3 +456,91 @@ def _streamed(spark, sf, table):
     path = f"{sf}/{table}.parquet"
     # A stream takes a plain path for a folder; a glob may meet a file as well.
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+
+
+# Order, word files and sources with memory
+
+
+_KEY = r"icu_sort_key(array_to_string(list_transform(regexp_extract_all({0}, '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(length(regexp_replace(p, '^0+(\d)', '\1'))::VARCHAR, 8, '0') || regexp_replace(p, '^0+(\d)', '\1') ELSE p END), ''), 'root')"
+
+
+@query(
+    f"""WITH {_PATHS}, todo AS (SELECT doc_id, course, path FROM corpus c WHERE NOT is_output AND NOT EXISTS (SELECT 1 FROM corpus o WHERE o.is_output AND lower(o.doc_id) = lower(c.output)))
+SELECT doc_id, course, row_number() OVER (ORDER BY {_KEY.format('course')}, course, {_KEY.format('path')}, path) AS rank FROM todo"""
+)
+def scan_order(spark, sf):
+    """Documents that have no output yet, in scan order."""
+    return order.scan_order(report.skip_existing(report.scan_corpus(_paths(spark, sf)))).select("doc_id", "course", "rank")
+
+
+#: Words of all pages in lines of nine, but those of low confidence (every tenth from 3) and those whose row is broken (from 7).
+_READ = f"""{_PAGES}, r0 AS (SELECT doc_id, page, string_split(raw, ' ') AS a FROM pg),
+r1 AS (SELECT doc_id, page, unnest(a) AS str, unnest(range(0, len(a))) AS i FROM r0),
+r2 AS (SELECT doc_id, page, i // 9 AS line, i, trim({_FOLD.format('str')}) AS str FROM r1 WHERE str <> '' AND i % 10 NOT IN (3, 7)),
+r AS (SELECT *, lead(str) OVER o AS nxt, lead(line) OVER o AS nxt_line FROM r2 WHERE str <> '' WINDOW o AS (PARTITION BY doc_id, page ORDER BY i))"""
+
+
+def _word_files(spark, sf):
+    """The folder of word files, one for each document."""
+    folder = scratch(spark)
+    pages = _pages(spark, sf)
+    row = lambda *c: F.concat_ws("\t", *[x if isinstance(x, Column) else F.lit(str(x)) for x in c])
+    number, i = F.col("page") + 1, F.col("i")
+    size = pages.select("doc_id", row(1, number, 0, 0, 0, 0, 0, 0, 1190, 1684, -1, "").alias("value"))
+    split = pages.select("doc_id", "page", F.posexplode(F.split("raw", " ")).alias("i", "text"))
+    confidence = F.when(i % 10 == 3, "41.5").when(i % 10 == 7, "n/a").otherwise("90")
+    boxes = split.select("doc_id", row(5, number, 1, 1, F.floor(i / 9), i % 9, (i % 9) * 60, F.floor(i / 9) * 20, 40, 12, confidence, F.col("text")).alias("value"))
+    head = pages.select("doc_id").distinct().select("doc_id", F.lit(words.HEADER).alias("value"))
+    lines = head.withColumn("n", F.lit(0)).unionByName(size.unionByName(boxes).withColumn("n", F.lit(1)))
+    # A file begins with its header, then rows in any order.
+    rows = lines.repartition("doc_id").sortWithinPartitions("doc_id", "n").select("doc_id", "value")
+    rows.write.partitionBy("doc_id").text(folder)
+    return folder
+
+
+def _document(rows):
+    return rows.withColumn("doc_id", F.regexp_extract("doc_id", r"doc_id=(\d+)", 1).cast("long"))
+
+
+@query(
+    f"""WITH {_READ} SELECT doc_id, page, string_agg(CASE WHEN nxt IS NULL THEN str WHEN nxt_line <> line AND ends_with(str, '-') AND regexp_matches(nxt, '^\\p{{L}}') THEN left(str, length(str) - 1) ELSE str || ' ' END, '' ORDER BY i) AS normalized FROM r GROUP BY 1, 2"""
+)
+def read_word_files(spark, sf):
+    """Texts of pages from files of recognised words."""
+    found, _ = words.words(words.read_rows(spark, _word_files(spark, sf), "*.txt"), 2.0)
+    return _document(layout.ocr_reading_order(found)[0]).select("doc_id", "page", "normalized")
+
+
+@query(f"WITH {_PAGES}, r AS (SELECT doc_id, unnest(string_split(raw, ' ')) AS str, unnest(range(0, len(string_split(raw, ' ')))) AS i FROM pg) SELECT doc_id, count(*) AS broken FROM r WHERE i % 10 = 7 GROUP BY 1")
+def word_file_errors(spark, sf):
+    """Rows of word files that don't fit the columns, by document, from a stream of the files."""
+    files = words.read_rows(spark, _word_files(spark, sf), "*.txt", stream=True)
+    out = scratch(spark)
+    seen = files.filter("error IS NOT NULL").select("doc_id", "error")
+    seen.writeStream.format("parquet").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start(out).awaitTermination()
+    return _document(spark.read.schema("doc_id string, error string").parquet(out)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("broken"))
+
+
+def _beginnings(chunk, name, chosen):
+    """Beginnings of a chunk's pages that aren't chosen yet, of every second page at first; some chunks and documents fail."""
+    if name == "primary" and chunk["doc_id"] % 11 == 5 or name != "primary" and chunk["chunk_no"] % 2 == 1:
+        raise ValueError("no answer")
+    found: list[str] = []
+    for block in chunk["content"].split("\n\n"):
+        head, text = block.split("\n", 1)
+        if (name != "primary" or int(head[6:-1]) % 2 == 1) and text[:40] not in chosen and text[:40] not in found:
+            found.append(text[:40])
+    return [{"text": t, "importance": "high", "reason": name} for t in found]
+
+
+@query(
+    rf"""{_CHUNKS}, b0 AS (SELECT doc_id, chunk_no, string_split(content, chr(10) || chr(10)) AS a FROM ch),
+b AS (SELECT doc_id, chunk_no, unnest(a) AS block, unnest(range(0, len(a))) AS i FROM b0),
+t AS (SELECT doc_id, chunk_no, i, regexp_extract(block, '^\[page (\d+)\]', 1)::INT AS page, left(substr(block, strpos(block, chr(10)) + 1), 40) AS text FROM b),
+e AS (SELECT doc_id, chunk_no, 0 AS pass_no, i, text FROM t WHERE page % 2 = 1 UNION ALL SELECT doc_id, chunk_no, 1, i, text FROM t WHERE chunk_no % 2 = 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY chunk_no, pass_no, i) AS nth FROM e WHERE doc_id % 11 <> 5)
+SELECT doc_id, chunk_no, pass_no, text, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no, pass_no, i)::INT - 1 AS cand_no FROM f WHERE nth = 1"""
+)
+def source_with_memory(spark, sf):
+    """Candidates from a source that doesn't choose a text twice in a document, with passes and documents that fail."""
+    return requests.analyze(_pages(spark, sf), replies.table_source(_beginnings))[0].select("doc_id", "chunk_no", "pass_no", "text", "cand_no")
