@@ -29,6 +29,11 @@ def test_scalars(spark):
     assert one(spark, lambda t: T.occurrences(t, F.lit("aa")), "aaaa b aa") == [0, 2, 7]
 
 
+def test_sentences_keep_digits_at_their_ends(spark):
+    assert one(spark, T.split_sentences, "0 a 0. 16.195.23.11.   2 and 2: 3") == ["0 a 0.", "16.195.23.11.", "2 and 2:", "3"]
+    assert one(spark, T.split_sentences, "so it ends. password=a1") == ["so it ends.", "password=a1"]
+
+
 def test_cues(spark):
     texts = ["inflation is defined as a sustained increase in the general price level of an economy.", "the law of demand states that the quantity demanded falls as the price of a good rises.", "there are four main types of market structure studied in introductory courses.", DEFINITION.lower()]
     pages = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)] + [("d", 9, " ".join(f"item {i} is defined as one distinct element of the overall scheme." for i in range(40)))], "doc_id string, page int, normalized string")
