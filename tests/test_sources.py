@@ -38,6 +38,26 @@ def test_word_files(spark, tmp_path):
         assert rows.filter("error IS NOT NULL").count() == 3
 
 
+def test_word_files_of_many_documents(spark, tmp_path):
+    line = lambda name, r: "\t".join(map(str, (name, *r)))
+    rows = [("CS 101/a", _size(1)), ("CS 101/a", _word(1, 0, 0, "one")), ("b", _word(1, 0, 0, "two", "n/a")), ("b", _size(1)), ("b", _word(1, 0, 1, 'say "hi')), ("b", ("short", 1))]
+    (tmp_path / "x.tsv").write_text("\n".join([words.NAMED_HEADER, *[line(*r) for r in rows], "no tab"]) + "\n")
+    (tmp_path / "y.tsv").write_text("\n".join([words.NAMED_HEADER, line("CS 101/a", _word(1, 1, 0, "more"))]) + "\n")
+    read = words.read_rows(spark, str(tmp_path), named=True)
+    found, rejects = words.words(read, 2.0)
+    assert {(r.doc_id, r.page): r.normalized for r in layout.ocr_reading_order(found)[0].collect()} == {("CS 101/a", 0): "one more", ("b", 0): 'say "hi'}
+    assert sorted((r.doc_id or "", r.reason) for r in rejects.collect()) == [("", "doesn't fit the columns"), *[("b", "doesn't fit the columns")] * 2]
+
+
+def test_word_queries_write_few_files(spark):
+    from quillspan.plans import results
+
+    folder = results._word_files(spark, "/root/testdata/sf0.001")
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text IS NOT NULL").count()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).count()
+    assert 0 < files < documents / 10
+
+
 def test_word_files_as_stream(spark, tmp_path):
     root, out, state = tmp_path / "in", tmp_path / "out", tmp_path / "state"
     run = lambda: words.read_rows(spark, str(root), stream=True).writeStream.format("parquet").option("checkpointLocation", str(state)).trigger(availableNow=True).start(str(out)).awaitTermination()
