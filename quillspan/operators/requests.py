@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..settings import CHUNK_CHARS, CHUNK_HIGHLIGHTS, HIGHLIGHTS_PER_PAGE, PASSES
+from ..tables import cut
 
 
 def build_chunks(pages: DataFrame, mode: str = "balanced", budget: int = CHUNK_CHARS) -> DataFrame:
@@ -95,9 +96,16 @@ def union_passes(candidates: DataFrame, passes: DataFrame) -> DataFrame:
 
 
 def analyze(pages: DataFrame, source: Callable[[DataFrame], DataFrame] | DataFrame, mode: str = "balanced") -> tuple[DataFrame, DataFrame]:
-    """(candidates, rejects) of documents: ``source`` is a table of replies, or makes one (doc_id, chunk_no, pass_no, reply) of their chunks."""
-    replies = source(build_chunks(pages, mode)) if callable(source) else source
+    """(candidates, rejects) of documents: ``source`` is a table of replies, or makes one (doc_id, chunk_no, pass_no, reply) of their chunks.
+
+    A source that makes replies is asked once: what it answers is written, as candidates, rejects and passes are read from it in turn. So are
+    the pages, which chunks need twice, and the few rejects.
+    """
+    replies = source
+    if callable(source):
+        replies = cut(source(build_chunks(cut(pages.select("doc_id", "page", "raw")), mode)).select("doc_id", "chunk_no", "pass_no", "reply"))
     candidates, rejects = parse_replies(replies)
+    rejects = cut(rejects)
     bad = rejects.select("doc_id", "chunk_no", "pass_no").withColumn("bad", F.lit(True))
     passes = replies.select("doc_id", "chunk_no", "pass_no").join(bad, ["doc_id", "chunk_no", "pass_no"], "left").select("doc_id", "chunk_no", "pass_no", F.col("bad").isNull().alias("ok"))
     return union_passes(candidates, passes), rejects

@@ -124,3 +124,14 @@ def test_source_with_memory(spark):
     assert sorted((r.doc_id, r.cand_no, r.text) for r in candidates.collect() if len(r.text) < 9) == [("a", 0, "x"), ("a", 1, "y"), ("a", 2, "z"), ("b", 0, "x"), ("b", 1, "w")]
     assert sorted((r.doc_id, r.chunk_no, r.pass_no) for r in rejects.collect()) == [("b", 0, 1), ("c", 1, 0), ("d", 0, 0)]
     assert source(chunks.limit(0)).count() == 0
+
+
+def test_a_source_is_asked_once(spark):
+    """Candidates, rejects and passes are read from what a source has answered."""
+    asked = spark.sparkContext.accumulator(0)
+    table = spark.createDataFrame([("a", 0, "x y"), ("b", 0, "z")], "doc_id string, page int, raw string")
+    count = F.udf(lambda r: asked.add(1) or r)
+    chunks = requests.build_chunks(table)
+    replied = chunks.select("doc_id", "chunk_no", F.lit(0).alias("pass_no"), count(F.lit('{"highlights": [{"text": "x", "importance": "high"}]}').substr(F.lit(1), F.length("content") + 99)).alias("reply"))
+    candidates, rejects = requests.analyze(table, lambda _: replied)
+    assert candidates.count() == 2 and rejects.count() == 0 and asked.value == 2
