@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import detect_daily_quota
 from ..settings import COOLDOWN_SECONDS, TROUBLE_SECONDS
+from . import DAY
 
-_DAY = 86_400_000_000
-_OUT = {"key": "int64", "at_us": "int64", "request_id": "Int64", "state": "object", "rest_s": "Int32", "total": "int32", "day_over": "bool", "off": "bool"}
 _SCHEMA = "key long, at_us long, request_id long, state string, rest_s int, total int, day_over boolean, off boolean"
+_EVENT = Row("key", "at_us", "request_id", "state", "rest_s", "total", "day_over", "off")
 
 
 class _Ladder(StatefulProcessor):
@@ -23,21 +22,21 @@ class _Ladder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", "us long, request_id long, outcome string, daily boolean")
-        self.state = handle.getValueState("state", "streak int, total int, day_over long, off boolean, until long")
+        self.state = handle.getValueState("state", "streak int, total int, day_over long, off boolean, until long, held int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            self.held.appendList([(int(r.us), int(r.request_id), r.outcome, bool(r.daily)) for r in frame.itertuples()])
-        yield from self._settle(key, timerValues)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r.us, r.request_id, r.outcome, r.daily) for r in rows]
+        yield from self._settle(key, timerValues, new)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key, timerValues)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._settle(key, timerValues, [])
 
-    def _settle(self, key, timer_values) -> Iterator[pd.DataFrame]:
+    def _settle(self, key, timer_values, new: list[tuple]) -> Iterator[Row]:
         """Applies what lies before the watermark, and wakes again when it reaches what is next."""
         passed = timer_values.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.held.get()) if self.held.exists() else []
-        streak, total, day, off, until = self.state.get() if self.state.exists() else (0, 0, -1, False, None)
+        before = self.state.get()
+        streak, total, day, off, until, many = before or (0, 0, -1, False, None, 0)
+        held = sorted([*map(tuple, self.held.get() if many else ()), *new])
         out, n = [], 0
         while n < len(held) and held[n][0] < passed:
             us, request_id, outcome, daily = held[n]
@@ -52,7 +51,7 @@ class _Ladder(StatefulProcessor):
             if outcome == "rate-limit":
                 total += 1
                 if daily and total >= 2:
-                    state, day, until = "exhausted", us // _DAY, (us // _DAY + 1) * _DAY
+                    state, day, until = "exhausted", us // DAY, (us // DAY + 1) * DAY
                 else:
                     state, rest = "cooling", COOLDOWN_SECONDS[min(streak, len(COOLDOWN_SECONDS) - 1)]
                     streak += 1
@@ -63,17 +62,22 @@ class _Ladder(StatefulProcessor):
             else:
                 state = "idle"
             until = until if rest is None else us + rest * 1_000_000
-            out.append((key[0], us, request_id, state, rest, total, day == us // _DAY, off))
+            out.append((key[0], us, request_id, state, rest, total, day == us // DAY, off))
         if until is not None and until < passed:
             out.append((key[0], until, None, "ready", None, total, False, off))
             until = None
-        if n:
+        # Each call to the store is a message to it, so it is told only what has changed.
+        if n and many:
             self.held.put(held[n:]) if held[n:] else self.held.clear()
-        self.state.update((streak, total, day, off, until))
-        for at in {us for us in (until, held[n][0] if n < len(held) else None) if us is not None}:
-            self.handle.registerTimer(at // 1000)
-        if out:
-            yield pd.DataFrame(out, columns=list(_OUT)).astype(_OUT)
+        elif new[: len(held) - n]:
+            self.held.appendList(held[n:] if not many else new)
+        after = (streak, total, day, off, until, len(held) - n)
+        if after != before:
+            self.state.update(after)
+        soon = [us for us in (until, held[n][0] if n < len(held) else None) if us is not None]
+        if soon:
+            self.handle.registerTimer(min(soon) // 1000)
+        yield from (_EVENT(*o) for o in out)
 
     def close(self) -> None:
         """Nothing is held open."""
@@ -90,5 +94,5 @@ def cooldown_events(log: DataFrame, delay: str = "1 hour") -> DataFrame:
     """
     daily = F.coalesce(detect_daily_quota(F.col("message")), F.lit(False))
     rows = log.select("key", "ts", F.unix_micros("ts").alias("us"), "request_id", "outcome", daily.alias("daily"))
-    found = rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(_Ladder(), _SCHEMA, "append", "eventTime")
+    found = rows.withWatermark("ts", delay).groupBy("key").transformWithState(_Ladder(), _SCHEMA, "append", "eventTime")
     return found.select("key", F.timestamp_micros("at_us").alias("at"), "request_id", "state", "rest_s", "total", "day_over", "off")

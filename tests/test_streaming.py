@@ -2,8 +2,12 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
+
 from quillspan import streaming
 from quillspan.operators import request_log
+from quillspan.streaming import _Cooldown
+from quillspan.streaming.ladder import _Ladder
 
 START = datetime(2024, 1, 1, 12)
 
@@ -60,3 +64,33 @@ def test_a_batch_that_is_run_again(spark, tmp_path):
     for checkpoint in ("first", "lost"):  # a lost checkpoint gives the same batch again
         streaming.documents(read(), lambda df: df.select("doc_id"), f"{tmp_path}/out", f"{tmp_path}/{checkpoint}", once=True).awaitTermination()
     assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+
+
+def test_a_key_sends_few_messages_to_its_store():
+    """Rows come as rows, not as a frame for each key, and a new key's requests aren't read back from the store."""
+    calls = []
+
+    class Store:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            return lambda *a: calls.append((self.name, call))
+
+    class Handle:
+        getListState = getValueState = lambda self, name, schema: Store(name)
+        registerTimer = lambda self, at: calls.append(("timer", at))
+
+    class Passed:
+        getCurrentWatermarkInMs = lambda self: 7
+
+    rows = [Row(us=us, request_id=us, outcome="rate-limit", daily=False) for us in (9000, 5000, 8000)]
+    ladder = _Ladder()
+    ladder.init(Handle())
+    assert [tuple(r) for r in ladder.handleInputRows((1,), iter(rows), Passed())] == [(1, 5000, 5000, "cooling", 20, 1, False, False)]
+    assert calls == [("state", "get"), ("held", "appendList"), ("state", "update"), ("timer", 8)]
+    calls.clear()
+    rests = _Cooldown()
+    rests.init(Handle())
+    assert [r.request_id for r in rests.handleInputRows((1,), iter(rows), Passed())] == [5000, 8000, 9000]
+    assert calls == [("streak", "get"), ("streak", "update")]
