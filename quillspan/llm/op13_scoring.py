@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,15 +38,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import integer_ids, materialize, partitions
-from .words import NOT_SPACE, U64, Chunk, _mix, chunks
+from .words import NOT_SPACE, U64, Chunk, _mix, chunks, texts
 
 EXACT, SWEEPS, SAMPLES, SEED = 64, 3, 2, 20_240_101
-CHUNK_BYTES = 5 << 20
+CHUNK_BYTES = 4 << 20
+#: Bytes of the Arrow batches in which Spark sends texts and groups to Python; it keeps a few times as much for each task.
+BATCH_BYTES = 2 << 20
 #: Tasks of restaurants and of words for each shuffle partition of the session.
 TASKS = 2
 END = U64((1 << 48) - 1)
 _GRID = 0.25 * 2.0 ** np.arange(20)
 _HOT_OF_TASK = 16
+#: The most frequent words are written as 2 bytes instead of 6 within pairs; the last code stands for all others.
+FREQUENT = OTHER = (1 << 16) - 1
 
 
 def _short(words: np.ndarray) -> bytes:
@@ -54,14 +59,16 @@ def _short(words: np.ndarray) -> bytes:
 
 
 def _small(numbers: np.ndarray) -> bytes:
-    """Whole numbers, most of them small, packed."""
-    kind = "<u4" if numbers.max(initial=0) < 1 << 32 else "<u8"
-    data = np.ascontiguousarray(numbers, kind).tobytes()
-    return kind.encode() + len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+    """Whole numbers, most of them small, packed: all lowest bytes first, then all next ones."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(numbers.max(initial=0)) < 1 << 8 * w)
+    data = np.ascontiguousarray(numbers, f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return bytes([width]) + len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
 
 
 def _numbers(data: bytes) -> np.ndarray:
-    return np.frombuffer(pa.Codec("zstd").decompress(data[11:], int.from_bytes(data[3:11], "little"), asbytes=True), data[:3].decode())
+    width = data[0]
+    plain = np.frombuffer(pa.Codec("zstd").decompress(data[9:], int.from_bytes(data[1:9], "little"), asbytes=True), np.uint8)
+    return np.ascontiguousarray(plain.reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.uint32 if width < 4 else f"<u{width}", copy=False)
 
 
 def _long(data: bytes) -> np.ndarray:
@@ -78,6 +85,28 @@ class Deal:
     hot: np.ndarray = field(default_factory=lambda: np.empty(0, U64))
     parts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     counts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    frequent: np.ndarray = field(default_factory=lambda: np.empty(0, U64))  # most frequent first
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word among the frequent ones, or ``OTHER``."""
+        if not len(self.frequent):
+            return np.full(len(words), OTHER, np.uint16)
+        order = np.argsort(self.frequent)
+        at = order[np.minimum(np.searchsorted(self.frequent, words, sorter=order), len(order) - 1)]
+        return np.where(self.frequent[at] == words, at, OTHER).astype(np.uint16)
+
+    def written(self, words: np.ndarray, codes: np.ndarray) -> bytes:
+        """Words and their codes as bytes."""
+        head = _small(codes)
+        return len(head).to_bytes(4, "little") + head + _short(words[codes == OTHER])
+
+    def read(self, data: bytes) -> np.ndarray:
+        n = 4 + int.from_bytes(data[:4], "little")
+        codes = _numbers(data[4:n])
+        out, other = np.empty(len(codes), U64), codes == OTHER
+        out[~other] = self.frequent[codes[~other]]
+        out[other] = _long(data[n:])
+        return out
 
     def which(self, words: np.ndarray) -> np.ndarray:
         """The place in ``hot`` of each word, or -1."""
@@ -98,19 +127,35 @@ class Deal:
         return own
 
 
+def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and each value's place among them, as ``np.unique`` gives them, in half its memory."""
+    order = np.argsort(x)
+    ranked = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    found = ranked[new]
+    del ranked
+    place = np.empty(len(x), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return found, place
+
+
 class Pairs:
     """The words and the distinct pairs of some texts, each text followed by its end; before a text stands the end of another."""
 
     def __init__(self, chunk: Chunk) -> None:
         n = chunk.counts
-        self.owner = np.repeat(np.arange(len(n)), n + 1)
+        self.owner = np.repeat(np.arange(len(n), dtype=np.int32), n + 1)
         seq = np.full(int(n.sum()) + len(n), END, U64)
         seq[np.arange(len(chunk.starts)) + chunk.owner()] = chunk.hashes() >> U64(16)
-        self.words, self.word = np.unique(seq, return_inverse=True)
-        before = np.empty_like(self.word)
-        before[1:] = self.word[:-1]
-        before[:1] = np.searchsorted(self.words, END)
-        keys, self.pair = np.unique(before * len(self.words) + self.word, return_inverse=True)
+        self.words, self.word = _unique(seq)
+        del seq
+        keys = np.empty(len(self.word), np.int64)
+        keys[1:] = self.word[:-1]
+        keys[:1] = np.searchsorted(self.words, END)
+        keys *= len(self.words)
+        keys += self.word
+        keys, self.pair = _unique(keys)
         self.first, self.second = keys // len(self.words), keys % len(self.words)
 
     def counts(self, train: np.ndarray) -> np.ndarray:
@@ -134,10 +179,25 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
 
 
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's rows in batches of about ``CHUNK_BYTES`` of text, whatever batches they come in; no text is cut."""
+    rest = None
+    for batch in batches:
+        rest = batch if rest is None else pa.concat_batches([rest, batch])
+        ends, a = texts(rest.column(2))[1], 0
+        while ends[-1] - ends[a] > CHUNK_BYTES:
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + CHUNK_BYTES, side="right")) - 1)
+            yield rest.slice(a, b - a)
+            a = b
+        rest = rest.slice(a)
+    if rest is not None:
+        yield rest
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, Chunk]]:
     """Chunks of a partition with their numbers, ids and training flags."""
     number = TaskContext.get().partitionId() << 24
-    for batch in batches:
+    for batch in _filled(batches):
         train = batch.column(1).to_numpy(zero_copy_only=False)
         for chunk in chunks(batch.column(2), NOT_SPACE, lowered=True, size=CHUNK_BYTES):
             a, n = int(chunk.rows[0]), len(chunk.rows)
@@ -157,7 +217,7 @@ def word_blocks(docs: DataFrame, tasks: int) -> DataFrame:
         for number, _, train, chunk in _chunks(batches):
             n = chunk.counts
             seq = np.concatenate([chunk.hashes() >> U64(16), np.full(len(n), END, U64)])
-            words, word = np.unique(seq, return_inverse=True)
+            words, word = _unique(seq)
             counted = np.concatenate([train[chunk.owner()], train]) if len(n) else np.empty(0, bool)
             counts = np.bincount(word[counted], minlength=len(words)).astype(np.uint32)
             at = deal.of_words(words)
@@ -176,9 +236,9 @@ def _totals(blocks: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found, np.bincount(at, weights=n, minlength=len(found)).astype(np.int64)
 
 
-def _largest(blocks: pd.DataFrame) -> pd.DataFrame:
+def _largest(blocks: pd.DataFrame, most: int) -> pd.DataFrame:
     words, n = _totals(blocks)
-    top = np.argsort(-n, kind="stable")[:_HOT_OF_TASK]
+    top = np.argsort(-n, kind="stable")[:most]
     rows = [(None, int(n.sum()), int((n > 0).sum()))] + [(int(w), int(c), 0) for w, c in zip(words[top], n[top], strict=True)]
     return pd.DataFrame(rows, columns=["word", "n", "v"]).astype({"word": "Int64"})
 
@@ -189,6 +249,7 @@ def pair_blocks(docs: DataFrame, deal: Deal) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, train, chunk in _chunks(batches):
             p = Pairs(chunk)
+            codes = deal.codes(p.words)
             counts = p.counts(train).astype(np.uint32)
             order, cuts = p.dealt(deal)
             rows = []
@@ -197,7 +258,8 @@ def pair_blocks(docs: DataFrame, deal: Deal) -> DataFrame:
                     own = order[a:b]
                     starts = _runs(p.first[own])
                     sizes = np.diff(np.append(starts, b - a))
-                    rows.append((k, number, _short(p.words[p.first[own[starts]]]), _small(sizes), _short(p.words[p.second[own]]), _small(counts[own])))
+                    first, second = p.first[own[starts]], p.second[own]
+                    rows.append((k, number, deal.written(p.words[first], codes[first]), _small(sizes), deal.written(p.words[second], codes[second]), _small(counts[own])))
             yield _rows([list(c) for c in zip(*rows, strict=True)], [pa.int32(), pa.int64(), *[pa.binary()] * 4], ["task", "chunk", "first", "sizes", "second", "n"])
 
     return docs.mapInArrow(ask, "task int, chunk long, first binary, sizes binary, second binary, n binary").repartition(deal.tasks, "task")
@@ -271,7 +333,7 @@ class Restaurants:
         self.chunks = blocks["chunk"].to_numpy()
         runs = [_numbers(s) for s in blocks["sizes"]]
         self.starts = [np.cumsum(r) - r for r in runs]  # where each chunk's questions of one first word begin
-        first, seconds = np.concatenate([np.repeat(_long(f), r) for f, r in zip(blocks["first"], runs, strict=True)]), [_long(b) for b in blocks["second"]]
+        first, seconds = np.concatenate([np.repeat(deal.read(f), r) for f, r in zip(blocks["first"], runs, strict=True)]), [deal.read(b) for b in blocks["second"]]
         second, n = np.concatenate(seconds), np.concatenate([_numbers(b) for b in blocks["n"]])
         order = np.lexsort((second, first))
         a, b = first[order], second[order]
@@ -515,40 +577,61 @@ def _read(stats: DataFrame) -> np.ndarray:
 def score_texts(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``; ``train`` is a SQL condition of training rows."""
     integer_ids(docs, doc_id)
+    with _small_batches(docs.sparkSession):
+        return _scored(docs, train, doc_id, text, seed)
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile Spark's Arrow batches have ``BATCH_BYTES`` at most; all jobs of a scoring run within."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _scored(docs: DataFrame, train: str, doc_id: str, text: str, seed: int) -> DataFrame:
     tasks, rng = TASKS * partitions(docs.sparkSession), np.random.default_rng([seed, 0])
     docs = docs.select(F.col(doc_id).cast("long"), F.coalesce(F.expr(train), F.lit(False)), text)
-    kept = [words := word_blocks(docs, tasks).persist(StorageLevel.MEMORY_AND_DISK)]
-    rows = words.groupBy("task").applyInPandas(_largest, "word long, n long, v long").collect()
+    # Questions are read by tasks once or twice and would fill the heap; only what answers them, and is shuffled anyway, stays in memory.
+    words = word_blocks(docs, tasks).persist(StorageLevel.DISK_ONLY)
+    most = max(_HOT_OF_TASK, -(-FREQUENT // tasks))
+    rows = words.groupBy("task").applyInPandas(lambda part: _largest(part, most), "word long, n long, v long").collect()
     tokens, known = sum(r.n for r in rows if r.word is None), sum(r.v for r in rows if r.word is None)
     hot = sorted((r.word, r.n) for r in rows if r.word is not None and r.n * tasks > tokens > 0)
     counts = np.array([n for _, n in hot], np.int64)
     parts = np.minimum(tasks, -(-counts * tasks // max(tokens, 1)))
-    deal = Deal(tasks, np.array([w for w, _ in hot], U64), parts, counts)
-    kept.append(blocks := pair_blocks(docs, deal).persist(StorageLevel.MEMORY_AND_DISK))
-    kept.append(one := first_round(blocks, deal, known, seed).persist(StorageLevel.MEMORY_AND_DISK))
+    frequent = sorted((-r.n, r.word) for r in rows if r.word is not None and r.n)[:FREQUENT]
+    deal = Deal(tasks, np.array([w for w, _ in hot], U64), parts, counts, np.array([w for _, w in frequent], U64))
+    blocks = pair_blocks(docs, deal).persist(StorageLevel.DISK_ONLY)
+    one = first_round(blocks, deal, known, seed).persist(StorageLevel.DISK_ONLY)
     total = _read(one.filter("kind = 'stats'"))
     model = {"known": known, "tokens": tokens, "discount": discount_of(total[0], total[1]), "strength": draw_strength(total[2 : 2 + len(_GRID)] if len(total) > 22 or tokens else np.zeros(len(_GRID)), rng)}
-    kept.append(parent := first_parent(one.filter("kind = 'told'"), known, seed).persist(StorageLevel.MEMORY_AND_DISK))
+    parent = first_parent(one.filter("kind = 'told'"), known, seed).persist(StorageLevel.DISK_ONLY)
     total = _read(parent.filter("kind = 'stats'"))
     one.unpersist()
     root_discount = discount_of(total[0], total[1])
     root_strength = draw_strength(strength_weights(np.array([total[2]]), np.array([total[3]]), root_discount), rng) if total[2] else 1.0
     model |= {"root_discount": root_discount, "root_strength": root_strength, "root_tables": total[3], "back": root_strength + root_discount * total[3], "all": root_strength + total[2]}
-    kept.append(two := second_round(blocks, parent.filter("kind = 'parent'"), deal, model, seed).persist(StorageLevel.MEMORY_AND_DISK))
+    two = second_round(blocks, parent.filter("kind = 'parent'"), deal, model, seed).persist(StorageLevel.MEMORY_AND_DISK)
     hot_tables = np.zeros((SAMPLES, len(hot)))
     for r in two.filter("kind = 'stats'").select("b", "c").collect():  # the split restaurants' parts in each task
         at = np.frombuffer(r.b, np.int64)
         np.add.at(hot_tables, (slice(None), at), np.frombuffer(r.c, np.int64).reshape(SAMPLES, -1))
     blocks.unpersist()
     parent.unpersist()
-    kept.append(last := second_parent(words, two.filter("kind = 'told'"), model, seed).persist(StorageLevel.MEMORY_AND_DISK))
+    last = second_parent(words, two.filter("kind = 'told'"), model, seed).persist(StorageLevel.MEMORY_AND_DISK)
     total = _read(last.filter("kind = 'stats'"))[: 2 * SAMPLES].reshape(SAMPLES, 2)
+    words.unpersist()
     model |= {"hot_tables": hot_tables, "backs": root_strength + root_discount * total[:, 1], "alls": root_strength + total[:, 0]}
     packed = docs.mapInArrow(_packed, "chunk long, ids array<long>, train binary, offsets binary, text binary")
     answers = two.filter("kind = 'pairs'").unionAll(last.filter("kind = 'words'"))
     scored = materialize(answered(packed, answers, deal, model))
-    for x in kept:
-        x.unpersist()
+    two.unpersist()
+    last.unpersist()
     return scored
 
 

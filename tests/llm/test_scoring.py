@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("quillspan.llm")
@@ -109,3 +110,63 @@ def test_none(spark):
     (r,) = m.score_texts(docs, "false").collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0, 0)
     assert m.score_texts(docs.limit(0), TRAIN).count() == 0
+
+
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def test_chunks_are_the_same_from_batches_of_any_size(monkeypatch):
+    """So Spark may send small batches, of which it keeps less: chunks are filled from several and end at the same rows."""
+    monkeypatch.setattr(m, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(m, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    r = random.Random(5)
+    texts = [None, "", *("wörd " * r.randrange(60) for _ in range(200)), "x" * 5000, *["a b"] * 400, None]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([i % 3 > 0 for i in range(len(texts))]), pa.array(texts)], names=["doc_id", "train", "text"])
+
+    def found(size):
+        parts = m._chunks(iter([whole.slice(0, 0), *(whole.slice(a, size) for a in range(0, len(whole), size))]))
+        return [(number, ids.to_pylist(), train.tolist(), chunk.buf.tobytes(), chunk.offsets.tolist()) for number, ids, train, chunk in parts]
+
+    one = found(len(whole))
+    assert [i for _, ids, *_ in one for i in ids] == list(range(len(texts)))
+    assert [number for number, *_ in one] == [(3 << 24) + i for i in range(len(one))]
+    assert all(len(buf) <= 1000 or len(ids) == 1 for _, ids, _, buf, _ in one) and len(one) < 1.5 * sum(len((x or "").encode()) for x in texts) / 1000
+    assert all(found(size) == one for size in (1, 7, 50))
+    assert list(m._chunks(iter([]))) == list(m._chunks(iter([whole.slice(0, 0)]))) == []
+
+
+@pytest.mark.parametrize("own", [None, "3000000"])
+def test_spark_sends_small_batches_while_texts_are_scored(spark, monkeypatch, own):
+    """Both limits of the session come back, its default and one that the user has set."""
+    seen, plain = [], m.answered
+    monkeypatch.setattr(m, "answered", lambda *a: seen.append(spark.conf.get(BATCHES)) or plain(*a))
+    before = spark.conf.get(BATCHES, None)
+    try:
+        spark.conf.set(BATCHES, own) if own else spark.conf.unset(BATCHES)
+        assert m.score_texts(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string"), "doc_id = 1").count() == 2
+        assert seen == [str(m.BATCH_BYTES)] and spark.conf.get(BATCHES, None) == own
+        with pytest.raises(Exception, match="nowhere"):
+            m.score_texts(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "nowhere = 1")
+        assert spark.conf.get(BATCHES, None) == own
+    finally:
+        spark.conf.unset(BATCHES) if before is None else spark.conf.set(BATCHES, before)
+
+
+def test_packed_words_and_numbers():
+    """Frequent words take 2 bytes before compression, others 6 more; numbers of any width come back."""
+    r = np.random.default_rng(3)
+    words = r.integers(0, 1 << 48, 5000, dtype=np.uint64)
+    deal = m.Deal(4, frequent=words[:3000])
+    asked = r.choice(words, 20_000)
+    data = deal.written(asked, deal.codes(asked))
+    assert (deal.read(data) == asked).all() and len(data) < 0.75 * len(m._short(asked))
+    plain = m.Deal(4)
+    for some in (asked, asked[:0]):
+        assert (plain.read(plain.written(some, plain.codes(some))) == some).all() and (deal.read(deal.written(some, deal.codes(some))) == some).all()
+    for most in (0, 255, 256, 65_535, 65_536, (1 << 32) - 1, 1 << 32, 1 << 62):
+        x = np.array([[most, 0, 1], [min(most, 7), most // 2, most]], np.int64)
+        assert (m._numbers(m._small(x)).reshape(2, 3).astype(np.int64) == x).all()
+    assert not len(m._numbers(m._small(np.empty(0, np.int64))))
+    for x in (asked, asked[:0]):
+        (a, b), (c, d) = m._unique(x), np.unique(x, return_inverse=True)
+        assert (a == c).all() and (b == d).all()
